@@ -54,7 +54,9 @@ def with_chunks(df: DataFrame, roles: Roles, rows_per_chunk: int = ROWS_PER_CHUN
     inner = sorted(set(cuts))
     splits = [-math.inf, *inner, math.inf]
     placed = Bucketizer(splits=splits, inputCol=_TIME, outputCol=_HOT).transform(timed)
-    chunk = F.col(_HOT).cast("long") * _STRIDE
+    # Never NULL, which spares a filter on one side of a later join and lets both sides
+    # share one exchange.
+    chunk = F.coalesce(F.col(_HOT).cast("long"), F.lit(0)) * _STRIDE
     hot = {c: cuts.count(c) for c in inner if cuts.count(c) > 1}
     if not hot or roles.row_id is None:
         return placed.withColumn(CHUNK, chunk).drop(_TIME, _HOT)

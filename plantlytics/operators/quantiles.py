@@ -1,17 +1,20 @@
 """Exact quantiles of groups of any size.
 
-``percentile`` keeps every distinct value of a group in one task. Here the ranks
-wanted are located by counting instead: each pass splits the part of a group that
-holds a wanted rank into equal cells, counts the rows per cell and goes on with the
-cells that hold a rank. A pass is a column-pruned scan with partial counts, so what is
-shuffled is cells and never rows. The last pass ranks only the values of the cells left,
-which hold about ``1 / CELLS ** levels`` of a group.
+``percentile`` keeps every distinct value of a group in one task. Here the wanted ranks
+are located by counting instead: a pass cuts the value range that holds a rank into
+equal cells, counts the rows per cell and goes on inside the cells that hold one. A pass
+is a column-pruned scan with partial counts, so what is shuffled is cells and never rows;
+what comes back to the driver is at most ``2 * len(probs)`` cells per group. Two or three
+passes are usual, as each narrows the ranges some thousand times.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,18 @@ SMALL_ROWS = 2_000_000
 _V = "__v"
 
 
+@dataclass(frozen=True)
+class _Span:
+    """Value range of one group: its rows, those below it, and the wanted ranks in it."""
+
+    group: tuple
+    lo: float
+    hi: float
+    below: int
+    rows: int
+    ranks: list[int]
+
+
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -29,12 +44,59 @@ def quantiles(
     names: Sequence[str],
     small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
-    """Linear quantiles per group: ``percentile`` if the rows are counted to be few, else by cells."""
-    if small_rows and df.select(value).count() <= small_rows:
-        parts = F.percentile(F.col(value), [float(p) for p in probs]).alias("__q")
-        grouped = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(parts)
+    """``keys`` and one column per probability, linearly interpolated, missing values left out.
+
+    Counts the groups first. Few rows in all go through ``percentile``; more are located
+    by passes over the data, all run here. ``keys`` must have few distinct values, such
+    as KPI and state.
+    """
+    keys = list(keys)
+    base = df.select(*keys, F.col(value).alias(_V)).where(F.col(_V).isNotNull())
+    counted = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(_V).alias("lo"), F.max(_V).alias("hi"))
+    groups = {tuple(r[k] for k in keys): r for r in counted.collect()}
+    if not groups or sum(r.n for r in groups.values()) <= small_rows:
+        parts = F.percentile(F.col(_V), [float(p) for p in probs]).alias("__q")
+        grouped = base.groupBy(*keys).agg(parts)
         return grouped.select(*keys, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(names)])
-    return exact_quantiles(df, keys, value, probs, names)
+
+    spans = [
+        _Span(g, r.lo, r.hi, 0, r.n, sorted({f((r.n - 1) * p) for p in probs for f in (math.floor, math.ceil)}))
+        for g, r in groups.items()
+    ]
+    found = _locate(base, keys, spans, small_rows)
+
+    def between(group: tuple, p: float) -> float:
+        position = (groups[group].n - 1) * p
+        a, b = math.floor(position), math.ceil(position)
+        return found[group, a] * (1 - position + a) + found[group, b] * (position - a)
+
+    values = [[between(group, p) for p in probs] for group in groups]
+    return _table(base, keys, list(groups), **dict(zip(names, zip(*values))))
+
+
+def _table(df: DataFrame, keys: list[str], groups: list[tuple], **columns: Sequence) -> DataFrame:
+    """Small local table: one row per group with further columns."""
+    key_columns = dict(zip(keys, zip(*groups)))
+    data = {name: list(column) for name, column in {**key_columns, **columns}.items()}
+    kinds = {f.name: f.dataType for f in df.schema}
+    table = df.sparkSession.createDataFrame(pa.table(data))
+    return table.select(*[F.col(k).cast(kinds[k]) for k in keys], *columns)
+
+
+def _locate(base: DataFrame, keys: list[str], spans: list[_Span], small_rows: int) -> dict[tuple, float]:
+    """Value at every wanted rank: cut the open spans until each holds one value."""
+    found: dict[tuple, float] = {}
+    last = None
+    while True:
+        found |= {(s.group, r): s.lo for s in spans if s.lo == s.hi for r in s.ranks}
+        spans = [s for s in spans if s.lo != s.hi]
+        if not spans:
+            return found
+        rows = sum(s.rows for s in spans)
+        # Few rows are ranked one by one; so are ranges too narrow for a width.
+        by_value = rows <= small_rows or [(s.lo, s.hi) for s in spans] == last
+        last = [(s.lo, s.hi) for s in spans]
+        spans = _cut(base, keys, spans, by_value)
 
 
 def _cell(v: Column, lo: Column, hi: Column) -> Column:
@@ -47,89 +109,29 @@ def _cell(v: Column, lo: Column, hi: Column) -> Column:
     return F.when(width > 0, F.least(F.floor(share * CELLS).cast("int"), F.lit(CELLS - 1))).otherwise(0)
 
 
-def _ranks(n: Column, probs: Sequence[float]) -> Column:
-    """Zero-based ranks next to each wanted position."""
-    positions = [(n - 1) * F.lit(float(p)) for p in probs]
-    return F.array_distinct(F.array(*[f(x).cast("long") for x in positions for f in (F.floor, F.ceil)]))
-
-
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    names: Sequence[str],
-    levels: int = 2,
-) -> DataFrame:
-    """``keys`` and one column per probability, linearly interpolated, missing values left out.
-
-    ``keys`` must have few distinct values (KPI and state): the tables of cells, at
-    most ``2 * len(probs)`` rows per group, are broadcast to the scans.
-    """
-    keys = list(keys)
-    base = df.select(*keys, F.col(value).alias(_V)).where(F.col(_V).isNotNull())
-    targets = (
-        base.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"), F.min(_V).alias("__lo"), F.max(_V).alias("__hi"))
-        .withColumn("__below", F.lit(0).cast("long"))
-        .withColumn("__ranks", _ranks(F.col("__n"), probs))
-    )
-    sizes = targets.select(*keys, "__n")
-    path: list[str] = []
-    narrowed = base
-    for level in range(levels):
-        cell = f"__c{level}"
-        ends = targets.select(*keys, *path, "__lo", "__hi")
-        narrowed = (
-            narrowed.join(F.broadcast(ends), [*keys, *path])
-            .withColumn(cell, _cell(F.col(_V), F.col("__lo"), F.col("__hi")))
-            .drop("__lo", "__hi")
-        )
-        counted = narrowed.groupBy(*keys, *path, cell).agg(
-            F.count(F.lit(1)).alias("__rows"), F.min(_V).alias("__lo"), F.max(_V).alias("__hi")
-        )
-        targets = _holding(counted, targets, keys, path, cell).select(
-            *keys, *path, cell, "__lo", "__hi", "__below", "__ranks"
-        )
-        path.append(cell)
-
-    left = narrowed.join(F.broadcast(targets.select(*keys, *path)), [*keys, *path], "left_semi")
-    counted = left.groupBy(*keys, *path, _V).agg(F.count(F.lit(1)).alias("__rows"))
-    found = (
-        _holding(counted, targets, keys, path, _V)
-        .select(*keys, _V, F.explode("__ranks").alias("__rank"))
-        .join(F.broadcast(sizes), keys)
-    )
-
-    def at(p: float, end) -> Column:
-        return F.max(F.when(F.col("__rank") == end((F.col("__n") - 1) * F.lit(float(p))).cast("long"), F.col(_V)))
-
-    aggs = [F.max("__n").alias("__n")]
-    for i, p in enumerate(probs):
-        aggs += [at(p, F.floor).alias(f"__a{i}"), at(p, F.ceil).alias(f"__b{i}")]
-
-    def between(i: int, p: float) -> Column:
-        position = (F.col("__n") - 1) * F.lit(float(p))
-        share = position - F.floor(position)
-        a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
-        return a * (1 - share) + b * share
-
-    return found.groupBy(*keys).agg(*aggs).select(
-        *keys, *[between(i, p).alias(name) for i, (p, name) in enumerate(zip(probs, names))]
-    )
-
-
-def _holding(counted: DataFrame, parents: DataFrame, keys: list[str], path: list[str], by: str) -> DataFrame:
-    """Counted cells that hold a wanted rank, with the rows below them and those ranks."""
-    parent = parents.select(*keys, *path, F.col("__below").alias("__under"), F.col("__ranks").alias("__wanted"))
-    earlier = (
-        Window.partitionBy(*keys, *path).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+def _cut(base: DataFrame, keys: list[str], spans: list[_Span], by_value: bool) -> list[_Span]:
+    """The parts of the spans that hold a wanted rank."""
+    wanted = _table(
+        base,
+        keys,
+        [s.group for s in spans],
+        span=list(range(len(spans))),
+        lo=[s.lo for s in spans],
+        hi=[s.hi for s in spans],
+        below=[s.below for s in spans],
+        ranks=[s.ranks for s in spans],
     )
-    below, rows = F.col("__below"), F.col("__rows")
-    return (
-        counted.withColumn("__sum", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
-        .join(F.broadcast(parent), [*keys, *path])
-        .withColumn("__below", F.col("__under") + F.col("__sum"))
-        .withColumn("__ranks", F.filter("__wanted", lambda r: (r >= below) & (r < below + rows)))
-        .where(F.size("__ranks") > 0)
+    # Spans of a group do not overlap, so a row meets at most one of them.
+    inside = base.join(F.broadcast(wanted), keys).where(F.col(_V).between(F.col("lo"), F.col("hi")))
+    part = F.col(_V) if by_value else _cell(F.col(_V), F.col("lo"), F.col("hi"))
+    earlier = Window.partitionBy("span").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    start, end = F.col("from"), F.col("from") + F.col("rows")
+    held = (
+        inside.groupBy("span", "below", "ranks", part.alias("part"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.min(_V).alias("part_lo"), F.max(_V).alias("part_hi"))
+        .withColumn("from", F.col("below") + F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+        .withColumn("held", F.filter("ranks", lambda r: (r >= start) & (r < end)))
+        .where(F.size("held") > 0)
+        .select("span", "part_lo", "part_hi", "from", "rows", "held")
     )
+    return [_Span(spans[r.span].group, r.part_lo, r.part_hi, r["from"], r.rows, r.held) for r in held.collect()]
