@@ -47,22 +47,29 @@ def num(df: DataFrame, name: str) -> Column:
     return to_num(col(name), df.schema[name].dataType)
 
 
+def is_set(df: DataFrame, name: str) -> Column:
+    """Flag of at least 1, NULL or false otherwise; plain enough to be pushed into a scan."""
+    x, data_type = col(name), df.schema[name].dataType
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return (x >= 1) & ~F.isnan(x)
+    if isinstance(data_type, T.NumericType):
+        return x >= 1
+    return to_num(x, data_type) >= 1
+
+
 def to01(df: DataFrame, name: str) -> Column:
     """Truncate to an integer and clip to 0..1, unusable values count as 0.
 
     That is 1 exactly for values of at least 1 (an infinite number included).
     """
-    x, data_type = col(name), df.schema[name].dataType
-    if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        value = F.when(~F.isnan(x), x.cast("double"))
-    else:
-        value = to_num(x, data_type)
-    return F.coalesce((value >= 1).cast("int"), F.lit(0))
+    return F.coalesce(is_set(df, name).cast("int"), F.lit(0))
 
 
 def flag_int(df: DataFrame, name: str) -> Column:
     """Flag as INT, truncated but not clipped, missing as 0."""
-    return F.coalesce(num(df, name).try_cast("int"), F.lit(0))
+    integral = isinstance(df.schema[name].dataType, T.IntegralType)
+    value = col(name) if integral else num(df, name)
+    return F.coalesce(value.try_cast("int"), F.lit(0))
 
 
 def parse_log_time(x: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -35,10 +36,16 @@ def date_range_filter(df: DataFrame, start: dt.date, end: dt.date, time: str | N
     return kept
 
 
+def _in_range(df: DataFrame, name: str, lo: float, hi: float) -> Column:
+    """Inclusive range test. NaN sorts above every number, so finite ends keep it out."""
+    plain = isinstance(df.schema[name].dataType, T.NumericType) and math.isfinite(lo) and math.isfinite(hi)
+    return (col(name) if plain else S.num(df, name)).between(lo, hi)
+
+
 def range_predicate(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> Column:
-    """AND of inclusive ranges; unknown columns are ignored, unusable values fail."""
-    tests = [S.num(df, name).between(lo, hi) for name, (lo, hi) in ranges.items() if name in df.columns]
-    return F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(False))
+    """AND of inclusive ranges; unknown columns are ignored, unusable values never pass."""
+    tests = [_in_range(df, name, lo, hi) for name, (lo, hi) in ranges.items() if name in df.columns]
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
 def range_filter(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
@@ -146,7 +153,7 @@ def text_search(df: DataFrame, needle: str | None, columns: Sequence[str], **opt
 
 def ready_filter(df: DataFrame, ready: str | None) -> DataFrame:
     """Rows of a ready plant; every row when there is no such flag."""
-    return df if ready is None or ready not in df.columns else df.where(S.to01(df, ready) == 1)
+    return df if ready is None or ready not in df.columns else df.where(S.is_set(df, ready))
 
 
 def filter_summary(df: DataFrame, predicate: Column) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ def with_chunks(df: DataFrame, roles: Roles, rows_per_chunk: int = ROWS_PER_CHUN
     """Add ``__chunk`` BIGINT, growing with ``(time, row_id)``.
 
     An instant so frequent that it fills several chunks is split further by
-    ``row_id``. At most ``2 * MAX_CHUNKS`` chunks exist, whatever the row count.
+    ``row_id``. At most about ``3 * MAX_CHUNKS`` chunks exist, whatever the row count.
     """
     timed = df.withColumn(_TIME, S.micros(col(roles.time)))
     rows = timed.select(_TIME).count()
@@ -63,17 +64,30 @@ def with_chunks(df: DataFrame, roles: Roles, rows_per_chunk: int = ROWS_PER_CHUN
 
     # A repeated cut point is a hot instant. Cuts are closed below, so its chunk starts
     # with it; the rows after it up to the next cut follow behind all its parts.
-    parts = max(hot.values()) + 1
-    at_hot = F.col(_TIME).isin([int(c) for c in hot])
-    pieces = (
-        timed.where(at_hot)
-        .groupBy(_TIME)
-        .agg(F.percentile_approx(col(roles.row_id), [i / parts for i in range(1, parts)], 10 * parts).alias(_SPLITS))
-    )
-    # One row per hot instant: fewer than MAX_CHUNKS rows, MAX_CHUNKS cut points in all.
-    joined = placed.join(F.broadcast(pieces), _TIME, "left")
-    part = F.when(
-        F.col(_SPLITS).isNotNull(),
-        F.size(F.filter(_SPLITS, lambda s: s <= col(roles.row_id))),
-    ).otherwise(F.when(F.col(_HOT).isin([float(inner.index(c) + 1) for c in hot]), F.lit(parts)).otherwise(0))
+    table = pa.table({
+        _TIME: pa.array([int(c) for c in hot], pa.int64()),
+        _SPLITS: pa.array(_row_splits(timed, roles.row_id, hot), pa.list_(pa.int64())),
+    })
+    # One row per hot instant, at most MAX_CHUNKS / 2, with about MAX_CHUNKS cut points in all.
+    joined = placed.join(F.broadcast(df.sparkSession.createDataFrame(table)), _TIME, "left")
+    own = F.size(F.filter(_SPLITS, lambda s: s <= col(roles.row_id)))
+    shared = F.col(_HOT).isin([float(inner.index(c) + 1) for c in hot])
+    part = F.when(F.col(_SPLITS).isNotNull(), own).otherwise(F.when(shared, F.lit(_STRIDE - 1)).otherwise(0))
     return joined.withColumn(CHUNK, chunk + part).drop(_TIME, _HOT, _SPLITS)
+
+
+def _row_splits(timed: DataFrame, row_id: str, hot: dict[float, int]) -> list[list[int]]:
+    """Cut points in ``row_id`` inside each hot instant, about as many as chunks it fills.
+
+    Instants of like frequency share a job, so few more points are found than needed.
+    The points are fixed here once: approximate ones must not be found anew per branch.
+    """
+    splits: dict[int, list[int]] = {}
+    for size in sorted({n.bit_length() for n in hot.values()}):
+        instants = [int(c) for c, n in hot.items() if n.bit_length() == size]
+        parts = 1 << size
+        shares = [i / parts for i in range(1, parts)]
+        points = F.percentile_approx(col(row_id), shares, 10 * parts).alias(_SPLITS)
+        rows = timed.where(F.col(_TIME).isin(instants)).groupBy(_TIME).agg(points).collect()
+        splits |= {r[_TIME]: sorted(set(r[_SPLITS])) for r in rows}
+    return [splits[int(c)] for c in hot]

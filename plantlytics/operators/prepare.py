@@ -51,11 +51,10 @@ def prepare(raw: DataFrame, prefix: str | None = None, keep: tuple[str, ...] = (
 def write_silver(df: DataFrame, path: str, time: str = TIME, row_id: str | None = None) -> None:
     """Typed table as Parquet, range-split and sorted by time, so date filters skip files."""
     order = [col(time)] + ([col(row_id)] if row_id else [])
-    day = F.to_date(col(time)).alias("day")
     (
-        df.select("*", day)
+        df.withColumn("day", F.to_date(col(time)))
         .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        .sortWithinPartitions("day", *order)
         .write.mode("errorifexists")
         .partitionBy("day")
         .parquet(path)

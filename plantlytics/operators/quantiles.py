@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CELLS = 4096
 # Up to this many rows in all, one task can hold every distinct value of a group.
@@ -46,18 +47,24 @@ def quantiles(
 ) -> DataFrame:
     """``keys`` and one column per probability, linearly interpolated, missing values left out.
 
-    Counts the groups first. Few rows in all go through ``percentile``; more are located
-    by passes over the data, all run here. ``keys`` must have few distinct values, such
-    as KPI and state.
+    The jobs run here, and the result is a small local table that later steps can use
+    many times. It counts the groups first: few rows in all go through ``percentile``,
+    more are located by passes over the data. ``keys`` must have few distinct values,
+    such as KPI and state.
     """
     keys = list(keys)
     base = df.select(*keys, F.col(value).alias(_V)).where(F.col(_V).isNotNull())
     counted = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(_V).alias("lo"), F.max(_V).alias("hi"))
     groups = {tuple(r[k] for k in keys): r for r in counted.collect()}
-    if not groups or sum(r.n for r in groups.values()) <= small_rows:
-        parts = F.percentile(F.col(_V), [float(p) for p in probs]).alias("__q")
-        grouped = base.groupBy(*keys).agg(parts)
-        return grouped.select(*keys, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    if not groups:
+        return base.sparkSession.createDataFrame(
+            [], T.StructType([df.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in names])
+        )
+    if sum(r.n for r in groups.values()) <= small_rows:
+        parts = F.percentile(F.col(_V), [float(p) for p in probs]).alias("q")
+        rows = base.groupBy(*keys).agg(parts).collect()
+        small = {tuple(r[k] for k in keys): r.q for r in rows}
+        return _table(base, keys, list(small), **dict(zip(names, zip(*small.values()))))
 
     spans = [
         _Span(g, r.lo, r.hi, 0, r.n, sorted({f((r.n - 1) * p) for p in probs for f in (math.floor, math.ceil)}))

@@ -56,8 +56,19 @@ def _quartiles(long: DataFrame, keys: Sequence[str], small_rows: int) -> DataFra
     return quantiles(long, keys, "value", QUARTILES, QUARTILE_NAMES, small_rows)
 
 
-def onoff_stats(
+def onoff_quartiles(
     df: DataFrame, roles: Roles, kpis: Sequence[str], small_rows: int = SMALL_ROWS
+) -> DataFrame:
+    """Quartiles per KPI and state on ready rows: pass them on where several tables need them."""
+    return _quartiles(ready_values(df, roles, kpis), GROUP, small_rows)
+
+
+def onoff_stats(
+    df: DataFrame,
+    roles: Roles,
+    kpis: Sequence[str],
+    small_rows: int = SMALL_ROWS,
+    quartiles: DataFrame | None = None,
 ) -> DataFrame:
     """Per KPI and state on ready rows: records, values, mean, sample deviation, min, quartiles, max.
 
@@ -73,7 +84,9 @@ def onoff_stats(
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     )
-    stats = basic.join(F.broadcast(_quartiles(long, GROUP, small_rows)), GROUP, "left")
+    if quartiles is None:
+        quartiles = _quartiles(long, GROUP, small_rows)
+    stats = basic.join(F.broadcast(quartiles), GROUP, "left")
     return _with_all_states(stats, kpis, ["n", "valid_n"]).select(
         *GROUP, "n", "valid_n", "mean", "std", "min", *QUARTILE_NAMES, "max"
     )
@@ -134,21 +147,26 @@ def describe_profile(df: DataFrame, kpis: Sequence[str], small_rows: int = SMALL
     return joined.select("kpi", "count", "null_count", "mean", "std", "min", *QUARTILE_NAMES, "max")
 
 
-def _fences(long: DataFrame, small_rows: int) -> DataFrame:
+def _fences(long: DataFrame, small_rows: int, quartiles: DataFrame | None) -> DataFrame:
     spread = F.col("q3") - F.col("q1")
+    if quartiles is None:
+        quartiles = _quartiles(long, GROUP, small_rows)
     return (
-        _quartiles(long, GROUP, small_rows)
-        .withColumn("fence_lo", F.col("q1") - FENCE * spread)
+        quartiles.withColumn("fence_lo", F.col("q1") - FENCE * spread)
         .withColumn("fence_hi", F.col("q3") + FENCE * spread)
     )
 
 
 def box_summary(
-    df: DataFrame, roles: Roles, kpis: Sequence[str], small_rows: int = SMALL_ROWS
+    df: DataFrame,
+    roles: Roles,
+    kpis: Sequence[str],
+    small_rows: int = SMALL_ROWS,
+    quartiles: DataFrame | None = None,
 ) -> DataFrame:
     """Per KPI and state on ready rows: records, quartiles, mean, whiskers, number of outliers."""
     long = ready_values(df, roles, kpis)
-    fences = _fences(long, small_rows)
+    fences = _fences(long, small_rows, quartiles)
     v = F.col("value")
     inside = v.between(F.col("fence_lo"), F.col("fence_hi"))
     # The fences have two rows per KPI.
@@ -170,12 +188,16 @@ def box_summary(
 
 
 def box_outliers(
-    df: DataFrame, roles: Roles, kpis: Sequence[str], small_rows: int = SMALL_ROWS
+    df: DataFrame,
+    roles: Roles,
+    kpis: Sequence[str],
+    small_rows: int = SMALL_ROWS,
+    quartiles: DataFrame | None = None,
 ) -> DataFrame:
     """Every ready row whose value lies beyond the fences of its state."""
     ids = [col(c) for c in roles.order]
     long = ready_values(df, roles, kpis, ids)
-    fences = _fences(long, small_rows).select(*GROUP, "fence_lo", "fence_hi")
+    fences = _fences(long, small_rows, quartiles).select(*GROUP, "fence_lo", "fence_hi")
     outside = ~F.col("value").between(F.col("fence_lo"), F.col("fence_hi"))
     return (
         long.join(F.broadcast(fences), GROUP).where(outside).select(*ids, *GROUP, "value")

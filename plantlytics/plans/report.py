@@ -58,13 +58,14 @@ def report_tables(
         "state_shares": states.state_shares(efficiency_df, efficiency_roles),
     }
     if known:
+        quartiles = stats.onoff_quartiles(df, roles, known)
         tables |= {
             "series": states.state_blocks(df, roles, known),
             "means": stats.onoff_means(df, roles, known),
-            "box": stats.box_summary(df, roles, known),
-            "outliers": stats.box_outliers(df, roles, known),
+            "box": stats.box_summary(df, roles, known, quartiles=quartiles),
+            "outliers": stats.box_outliers(df, roles, known, quartiles=quartiles),
             "distribution": distribution.distribution(df, roles, known),
-            "statistics": stats.onoff_stats(df, roles, known),
+            "statistics": stats.onoff_stats(df, roles, known, quartiles=quartiles),
             "delta": stats.onoff_delta(df, roles, known),
         }
     if missing:
