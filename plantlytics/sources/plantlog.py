@@ -3,21 +3,23 @@
 Spark's text reader does the reading, so any file system works and large files are
 split. Only the place of a line inside its file decides whether it is data, and Spark
 hands a task the lines of one split in order: a small Arrow function counts them,
-drops the preamble and numbers the rest.
+drops the preamble, and numbers and cuts the rest, whole batches at a time.
 """
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantlytics.operators.prepare import prepare
-from plantlytics.roles import parse_header
+from plantlytics.roles import col, parse_header
 
 # Fixed values of the log format.
 HEADER_INDEX = 1
@@ -34,7 +36,6 @@ MISSING_TEXT = (
 
 ROW_ID = "row_id"
 _FILE_BITS, _PLACE_BITS = 22, 41  # files up to 2 TB
-_LINES = "line string, row_id long, file_id long"
 
 
 class HeaderMismatch(ValueError):
@@ -60,7 +61,22 @@ def _segments(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int]]:
             yield int(files[a]), int(starts[a]), int(a), int(b)
 
 
-def _body(expected: list[str] | None):
+def _cut(lines: pa.Array) -> pa.Array:
+    """Fields per line. Lines with quotes are rare and read one by one."""
+    if pc.any(pc.match_substring(lines, '"')).as_py():
+        rows = (next(csv.reader([x], delimiter="\t")) if '"' in x else x.split("\t") for x in lines.to_pylist())
+        return pa.array(rows, pa.list_(pa.string()))
+    return pc.split_pattern(lines, "\t")
+
+
+def _field(cells: pa.Array, number: int) -> pa.Array:
+    """One field of every line, NULL where a line is shorter."""
+    starts = cells.offsets.to_numpy()
+    places = starts[:-1] + number
+    return cells.values.take(pa.array(places, mask=places >= starts[1:]))
+
+
+def _body(expected: list[str] | None, fields: list[int]):
     """Arrow function that keeps data lines; a differing header fails at the first data line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,30 +95,45 @@ def _body(expected: list[str] | None):
                 seen += b - a
                 if first == b:
                     continue
-                body = lines.slice(first, b - first)
-                if header is not None and any(x.as_py() for x in body):
-                    names = parse_header(header)
-                    if expected is not None and names != expected:
-                        raise HeaderMismatch(f"header {names} differs from {expected}")
-                    header = None
-                ids = ((file & ((1 << _FILE_BITS) - 1)) << _PLACE_BITS) + places
+                body = lines.slice(first, b - first).cast(pa.string())
+                filled = pc.not_equal(body, "")
+                body, places = body.filter(filled), places[filled.to_numpy(zero_copy_only=False)]
+                if not len(body):
+                    continue
+                if header is not None and expected is not None and parse_header(header) != expected:
+                    raise HeaderMismatch(f"header {parse_header(header)} differs from {expected}")
+                header = None
+                cells = _cut(body)
                 yield pa.RecordBatch.from_arrays(
-                    [body.cast(pa.string()), pa.array(ids), pa.array(np.full(b - first, file, dtype=np.int64))],
-                    names=["line", "row_id", "file_id"],
+                    [
+                        *[_field(cells, i) for i in fields],
+                        pc.list_value_length(cells),
+                        pa.array(((file & ((1 << _FILE_BITS) - 1)) << _PLACE_BITS) + places),
+                        pa.array(np.full(len(body), file, dtype=np.int64)),
+                    ],
+                    names=[*[f"c{i}" for i in fields], "fields", "row_id", "file_id"],
                 )
 
     return run
 
 
-def data_lines(spark: SparkSession, paths: Sequence[str] | str, header: Sequence[str] | None = None) -> DataFrame:
-    """``(line, row_id, file_id)`` of all non-blank lines after the preamble.
+def data_lines(
+    spark: SparkSession,
+    paths: Sequence[str] | str,
+    header: Sequence[str] | None = None,
+    fields: Sequence[int] = (),
+) -> DataFrame:
+    """``(c<i> ..., fields, row_id, file_id)`` of all non-blank lines after the preamble.
 
-    ``row_id`` follows the place in the file and tells equal times of different files
-    apart. With ``header`` every file that has data must carry exactly these names.
+    ``c<i>`` is the text of a wanted field, ``fields`` how many the line has. ``row_id``
+    follows the place in the file and tells equal times of different files apart. With
+    ``header`` every file that has data must carry exactly these names.
     """
     expected = None if header is None else list(header)
-    lines = _text(spark, paths).mapInArrow(_body(expected), _LINES)
-    return lines.where(F.col("line") != "")
+    cells = "".join(f"c{i} string, " for i in fields)
+    return _text(spark, paths).mapInArrow(
+        _body(expected, list(fields)), f"{cells}fields int, row_id long, file_id long"
+    )
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
@@ -122,31 +153,22 @@ def _bytes(text: str) -> int:
     return int(number[:-1]) << units[number[-1]] if number[-1] in units else int(number)
 
 
-def _parsed(lines: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Split data lines into text columns: short rows are padded, further fields dropped."""
-    fields = [f"c{i}" for i in range(len(names))]
-    options = {"sep": "\t", "mode": "PERMISSIVE", "escape": '"'}
-    record = F.from_csv("line", ", ".join(f"{f} string" for f in fields), options).alias("r")
-    parsed = lines.select(ROW_ID, record)
-
-    def cell(field: str):
-        x = F.col(f"r.{field}")
-        return F.when(~x.isin(*MISSING_TEXT), x)
-
-    return parsed.select(*[cell(f).alias(n) for f, n in zip(fields, names)], ROW_ID)
-
-
 def read_plant_log(
     spark: SparkSession,
     paths: Sequence[str] | str,
     header: Sequence[str] | None = None,
     allow_missing: bool = False,
+    columns: Sequence[str] | None = None,
+    blank_missing: bool = True,
 ) -> DataFrame:
     """All files stacked as a table of text columns, in source order, plus ``row_id``.
 
     The header comes from the first file and every other file must agree, or the job
     fails. ``allow_missing`` instead reads the files by header (one more scan to learn
-    them) and fills columns a file lacks with NULL. Files without data give nothing.
+    them) and fills columns a file lacks with NULL. Files without data give nothing,
+    short lines are padded with NULL and surplus fields dropped. ``columns`` keeps only
+    some columns. Text for a missing value becomes NULL, unless ``blank_missing`` is off
+    because the typing that follows does it anyway.
     """
     if allow_missing:
         by_header: dict[tuple[str, ...], list[str]] = {}
@@ -154,18 +176,27 @@ def read_plant_log(
             by_header.setdefault(tuple(parse_header(row.header)), []).append(row.file)
         if not by_header:
             raise ValueError("no file has data")
-        parts = [read_plant_log(spark, files, list(names)) for names, files in sorted(by_header.items())]
+        parts = [
+            read_plant_log(spark, files, list(names), columns=columns, blank_missing=blank_missing)
+            for names, files in sorted(by_header.items())
+        ]
         stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        return stacked.select(*[c for c in stacked.columns if c != ROW_ID], ROW_ID)
+        return stacked.select(*[col(c) for c in stacked.columns if c != ROW_ID], ROW_ID)
     if header is None:
         header = read_header(spark, _first_file(spark, paths))
-    return _parsed(data_lines(spark, paths, header), header)
+    wanted = [i for i, name in enumerate(header) if columns is None or name in columns]
+
+    def cell(i: int) -> Column:
+        x = F.col(f"c{i}")
+        return (F.when(~x.isin(*MISSING_TEXT), x) if blank_missing else x).alias(header[i])
+
+    return data_lines(spark, paths, header, wanted).select(*[cell(i) for i in wanted], ROW_ID)
 
 
 def surplus_fields(spark: SparkSession, paths: Sequence[str] | str, header: Sequence[str]) -> DataFrame:
     """How many data lines have more fields than the header: those fields are not read."""
-    fields = F.size(F.split("line", "\t"))
-    return data_lines(spark, paths, header).agg(F.count_if(fields > len(header)).alias("lines_with_surplus"))
+    longer = F.col("fields") > len(header)
+    return data_lines(spark, paths, header).agg(F.count_if(longer).alias("lines_with_surplus"))
 
 
 def _listing(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
@@ -213,7 +244,8 @@ def load_logs(
     spark: SparkSession, paths: Sequence[str] | str, prefix: str | None = None, allow_missing: bool = False
 ) -> DataFrame:
     """Files to typed telemetry in one go."""
-    return prepare(read_plant_log(spark, paths, allow_missing=allow_missing), prefix, keep=(ROW_ID,))
+    raw = read_plant_log(spark, paths, allow_missing=allow_missing, blank_missing=False)
+    return prepare(raw, prefix, keep=(ROW_ID,))
 
 
 def load_summary(spark: SparkSession, paths: Sequence[str] | str, records: DataFrame) -> DataFrame:

@@ -17,9 +17,10 @@ def results(df, expression):
 
 
 def test_numbers_from_text(spark):
-    texts = ["1.5", " 1e3 ", "+.5", "7.", "1d", "1f", "NaN", "inf", "", "  ", "abc", None, "0x10", "1,5", "-3"]
+    texts = ["1.5", " 1e3 ", "+.5", "7.", "1d", "1f", "NaN", "inf", "", "  ", "abc", None, "0x10", "1,5", "0x1p3", "2.5D ", "1e999",
+             "Infinity", "1e", ".", "-3"]
     df = column(spark, texts, "string")
-    assert results(df, S.num(df, "x")) == [1.5, 1000.0, 0.5, 7.0] + [None] * 10 + [-3.0]
+    assert results(df, S.num(df, "x")) == [1.5, 1000.0, 0.5, 7.0] + [None] * 16 + [-3.0]
 
 
 def test_nan_is_missing(spark):
