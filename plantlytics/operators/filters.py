@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import math
-import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,20 +96,11 @@ def clamped_range_filter(df: DataFrame, wanted: Mapping[str, tuple[float, float]
     return range_filter(df, clamp_ranges(bounds, wanted))
 
 
-def is_valid_pattern(pattern: str) -> bool:
-    """Patterns are checked up front: Spark would only fail once the job runs."""
+def is_valid_pattern(spark: SparkSession, pattern: str) -> bool:
+    """Patterns are tried up front, on one literal: otherwise only the running job would fail."""
     try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    if spark is None or spark.sparkContext._jvm is None:
-        return True
-    try:
-        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-    except Exception:
+        spark.sql("SELECT '' RLIKE :pattern", {"pattern": pattern}).collect()
+    except PySparkException:
         return False
     return True
 
@@ -131,7 +122,7 @@ def text_predicate(
     columns = [c for c in columns if c in df.columns]
     if not needle or not columns:
         return None
-    regex = use_regex and is_valid_pattern(needle)
+    regex = use_regex and is_valid_pattern(df.sparkSession, needle)
 
     def hit(name: str) -> Column:
         text = S.as_text(df, name)

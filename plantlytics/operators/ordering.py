@@ -13,7 +13,7 @@ import math
 
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantlytics.functions import scalars as S
@@ -55,12 +55,10 @@ def with_chunks(df: DataFrame, roles: Roles, rows_per_chunk: int = ROWS_PER_CHUN
     inner = sorted(set(cuts))
     splits = [-math.inf, *inner, math.inf]
     placed = Bucketizer(splits=splits, inputCol=_TIME, outputCol=_HOT).transform(timed)
-    # Never NULL, which spares a filter on one side of a later join and lets both sides
-    # share one exchange.
-    chunk = F.coalesce(F.col(_HOT).cast("long"), F.lit(0)) * _STRIDE
+    chunk = F.col(_HOT).cast("long") * _STRIDE
     hot = {c: cuts.count(c) for c in inner if cuts.count(c) > 1}
     if not hot or roles.row_id is None:
-        return placed.withColumn(CHUNK, chunk).drop(_TIME, _HOT)
+        return placed.withColumn(CHUNK, _never_null(chunk)).drop(_TIME, _HOT)
 
     # A repeated cut point is a hot instant. Cuts are closed below, so its chunk starts
     # with it; the rows after it up to the next cut follow behind all its parts.
@@ -73,7 +71,12 @@ def with_chunks(df: DataFrame, roles: Roles, rows_per_chunk: int = ROWS_PER_CHUN
     own = F.size(F.filter(_SPLITS, lambda s: s <= col(roles.row_id)))
     shared = F.col(_HOT).isin([float(inner.index(c) + 1) for c in hot])
     part = F.when(F.col(_SPLITS).isNotNull(), own).otherwise(F.when(shared, F.lit(_STRIDE - 1)).otherwise(0))
-    return joined.withColumn(CHUNK, chunk + part).drop(_TIME, _HOT, _SPLITS)
+    return joined.withColumn(CHUNK, _never_null(chunk + part)).drop(_TIME, _HOT, _SPLITS)
+
+
+def _never_null(chunk: Column) -> Column:
+    """Spares a NULL filter on one side of a later join, so both sides can share one exchange."""
+    return F.coalesce(chunk, F.lit(0).cast("long"))
 
 
 def _row_splits(timed: DataFrame, row_id: str, hot: dict[float, int]) -> list[list[int]]:

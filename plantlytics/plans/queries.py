@@ -174,9 +174,7 @@ def filter_pipeline(spark, sf_dir):
     done = pipeline.filter_and_export(datasets, MAIN, {"kpi": (5.0, 60.0)}, "1", ["on_flag"])
     csv = spark.read.option("header", True).csv(done.csv_path).agg(F.count(F.lit(1)).alias("csv_rows"))
     kept = datasets.get(done.name).agg(F.count(F.lit(1)).alias("dataset_rows"), F.sum("kpi").alias("kpi_sum"))
-    one = F.lit(1).alias("one")
-    joined = done.summary.select("*", one).join(csv.select("*", one), "one").join(kept.select("*", one), "one")
-    return joined.drop("one")
+    return plantlog.side_by_side(done.summary, csv, kept)
 
 
 # Statistics

@@ -38,6 +38,12 @@ ROW_ID = "row_id"
 _FILE_BITS, _PLACE_BITS = 22, 41  # files up to 2 TB
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Tables of one row each as one row, without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return stacked.agg(*[F.max(col(c)).alias(c) for c in stacked.columns])
+
+
 class HeaderMismatch(ValueError):
     """A file's header differs from the one the table is read with."""
 
@@ -171,9 +177,7 @@ def read_plant_log(
     because the typing that follows does it anyway.
     """
     if allow_missing:
-        by_header: dict[tuple[str, ...], list[str]] = {}
-        for row in file_headers(spark, paths).collect():
-            by_header.setdefault(tuple(parse_header(row.header)), []).append(row.file)
+        by_header = _files_by_header(spark, paths)
         if not by_header:
             raise ValueError("no file has data")
         parts = [
@@ -240,6 +244,19 @@ def file_headers(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     return listing.join(found, "file_id").select("file", "header")
 
 
+def _files_by_header(spark: SparkSession, paths: Sequence[str] | str) -> dict[tuple[str, ...], list[str]]:
+    """Files per list of column names. The driver gets each header once and the paths."""
+    found = file_headers(spark, paths).withColumn("code", F.xxhash64("header")).persist()
+    try:
+        headers = {r.code: tuple(parse_header(r.header)) for r in found.select("code", "header").distinct().collect()}
+        result: dict[tuple[str, ...], list[str]] = {}
+        for row in found.select("code", "file").collect():
+            result.setdefault(headers[row.code], []).append(row.file)
+        return result
+    finally:
+        found.unpersist()
+
+
 def load_logs(
     spark: SparkSession, paths: Sequence[str] | str, prefix: str | None = None, allow_missing: bool = False
 ) -> DataFrame:
@@ -256,9 +273,7 @@ def load_summary(spark: SparkSession, paths: Sequence[str] | str, records: DataF
         F.count(F.lit(1)).alias("file_count"),
         (F.coalesce(F.sum(F.when(F.col("kept"), F.col("bytes"))), F.lit(0)) / (1 << 20)).alias("total_mb"),
     )
-    counted = records.agg(F.count(F.lit(1)).alias("records"))
-    one = F.lit(1).alias("one")
-    return sizes.select("*", one).join(counted.select("*", one), "one").drop("one")
+    return side_by_side(sizes, records.agg(F.count(F.lit(1)).alias("records")))
 
 
 def discover(

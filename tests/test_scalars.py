@@ -127,3 +127,26 @@ def test_silver_keeps_rows_and_prunes_days(spark, golden, tmp_path):
 
 def test_roles_without_row_id(golden):
     assert Roles("datetime").order == ["datetime"]
+
+
+def pushed(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("PushedFilters: [")[1].split("]")[0]
+
+
+def test_filters_reach_the_scan(spark, golden, tmp_path):
+    path = str(tmp_path / "t")
+    golden.write.parquet(path)
+    df = spark.read.parquet(path)
+    day = dt.date(2025, 3, 1)
+    assert "GreaterThanOrEqual(datetime" in pushed(filters.date_range_filter(df, day, day))
+    assert "GreaterThanOrEqual(kpi,10.0), LessThanOrEqual(kpi,24.0)" in pushed(filters.range_filter(df, {"kpi": (10, 24)}))
+    assert "GreaterThanOrEqual(ready,1)" in pushed(filters.ready_filter(df, "ready"))
+
+
+def test_only_needed_columns_are_read(spark, golden, tmp_path):
+    path = str(tmp_path / "t")
+    golden.withColumn("other", F.lit(1.0)).write.parquet(path)
+    plan = stats.onoff_delta(spark.read.parquet(path), Roles("datetime", "on", "ready"), ["kpi"])
+    schema = plan._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1].split("\n")[0]
+    assert schema.startswith("struct<on:int,ready:int,kpi:double>")

@@ -120,8 +120,9 @@ def test_empty_table(spark):
     assert states.state_blocks(df, ROLES, []).count() == 0
 
 
-def test_both_branches_share_one_shuffle(spark):
-    df = telemetry(spark, random_rows(5, 3000))
+@pytest.mark.parametrize("hot_share", [0.0, 0.5])
+def test_both_branches_share_one_shuffle(spark, hot_share):
+    df = telemetry(spark, random_rows(5, 3000, hot_share, 400))
     path_df = states.status_runs(df, ROLES, 100)
     path_df.collect()
     plan = path_df._jdf.queryExecution().executedPlan().toString()
