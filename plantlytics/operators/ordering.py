@@ -53,6 +53,8 @@ def with_chunks(df: DataFrame, roles: Roles, rows_per_chunk: int = ROWS_PER_CHUN
 
     cuts = _time_splits(timed.select(_TIME), rows, chunks)
     inner = sorted(set(cuts))
+    if not inner:
+        return timed.withColumn(CHUNK, F.lit(0).cast("long")).drop(_TIME)
     splits = [-math.inf, *inner, math.inf]
     placed = Bucketizer(splits=splits, inputCol=_TIME, outputCol=_HOT).transform(timed)
     chunk = F.col(_HOT).cast("long") * _STRIDE

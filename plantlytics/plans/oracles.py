@@ -198,6 +198,15 @@ FROM s GROUP BY state""",
     "status_timeline": f"WITH {TELE} SELECT row_id, datetime, {STATUS} AS status FROM tele",
     "status_runs": _runs(TELE),
     "status_runs_hot_instant": _runs(HOT),
+    "status_runs_by_unit": f"""WITH {TELE},
+s AS (SELECT unit, row_id, datetime, {STATUS} AS status FROM tele),
+c AS (SELECT *, CASE WHEN lag(status) OVER w IS DISTINCT FROM status THEN 1 ELSE 0 END AS chg
+      FROM s WINDOW w AS (PARTITION BY unit ORDER BY datetime, row_id)),
+b AS (SELECT *, sum(chg) OVER (PARTITION BY unit ORDER BY datetime, row_id ROWS UNBOUNDED PRECEDING) AS block FROM c)
+SELECT unit, CAST(block AS BIGINT) AS block, CAST(max(status) AS INT) AS status, min(datetime) AS x0,
+       CASE WHEN max(datetime) = min(datetime) THEN max(datetime) + INTERVAL 1 MINUTE ELSE max(datetime) END AS x1,
+       count(*) AS n
+FROM b GROUP BY unit, block""",
     "state_blocks": f"WITH {BLOCKS} SELECT datetime, row_id, state, kpi, block FROM b",
     "block_points": f"""WITH {BLOCKS}
 SELECT datetime, row_id, state, kpi, block, state AS block_state FROM b
@@ -232,6 +241,9 @@ WHERE contains(CAST(kpi AS VARCHAR), '9.1') OR contains(CAST(on_flag AS VARCHAR)
        {_r('100.0 * (count(*) - count(*) FILTER (WHERE ok)) / count(*)')} AS reduction_pct
 FROM (SELECT l_quantity BETWEEN 10 AND 24 AND l_discount BETWEEN 0.02 AND 0.08 AS ok FROM lineitem)""",
     "preview_topk": f"WITH {TELE} SELECT * FROM tele ORDER BY datetime, row_id LIMIT 1000",
+    "dataset_registry": f"""WITH {TELE}
+SELECT 'df_principal' AS name, 0 AS place, count(*) AS rows FROM tele
+UNION ALL SELECT 'ready_rows', 1, count(*) FROM tele WHERE ready = 1""",
     "filter_pipeline": f"""WITH {TELE},
 k AS (SELECT *, kpi BETWEEN 5 AND 60 AND on_flag = 1 AS ok FROM tele)
 SELECT count(*) AS rows_before, count(*) FILTER (WHERE ok) AS rows_after,
@@ -289,6 +301,19 @@ long AS (SELECT 'kpi_txt' AS kpi, CAST(coalesce({_num('"X_ON"')} >= 1, FALSE) AS
          FROM dirty WHERE {_num('"X_READY"')} >= 1)""",
         scale="min(n_rows) / min(n)",
     ),
+    "kde_counts_binned": f"""WITH {LONG},
+g AS (SELECT kpi, "on", stddev_samp(value) * power(count(value), -0.2) AS h FROM long GROUP BY kpi, "on"),
+e AS (SELECT kpi, min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 16383 AS step FROM long GROUP BY kpi),
+placed AS (SELECT kpi, "on", (value - lo) / step AS position, least(floor((value - lo) / step), 16382) AS cell
+       FROM long JOIN e USING (kpi)),
+w AS (SELECT kpi, "on", cell, sum(part) AS weight
+      FROM (SELECT kpi, "on", cell, 1 - (position - cell) AS part FROM placed
+            UNION ALL SELECT kpi, "on", cell + 1, position - cell FROM placed) GROUP BY kpi, "on", cell),
+p AS (SELECT kpi, "on", CAST(i AS INT) AS i, h, lo, step, hi - lo AS span, lo + i * ((hi - lo) / 299) AS x
+      FROM g JOIN e USING (kpi), range(300) AS grid(i))
+SELECT kpi, "on", i, """ + _r("min(x)") + """ AS x,
+       """ + _r("sum(weight * exp(-0.5 * ((x - lo - cell * step) / h) * ((x - lo - cell * step) / h))) / min(h) / sqrt(2 * pi()) * min(span) / 300") + """ AS y
+FROM p JOIN w USING (kpi, "on") GROUP BY kpi, "on", i""",
     "histogram_counts": f"""WITH {_bars(LONG)}
 SELECT kpi, "on", bin, {_r('min(lo + (bin - 1) * width)')} AS x, count(*) AS n FROM binned GROUP BY kpi, "on", bin""",
     "distribution_curves": f"""SELECT kpi, "on", 'curve' AS shape, i, x, y FROM ({_kde(FLAT)})
@@ -305,6 +330,8 @@ FROM tele, chosen GROUP BY time_bucket(to_seconds(width_seconds), tele.datetime)
     "bucket_width": f"WITH {TELE}, {WIDTH} SELECT {_r('span_days')} AS span_days, width_seconds FROM chosen",
     "typed_projection": f"WITH {TYPED} SELECT * FROM typed",
     "drop_null_time": f"WITH {TYPED} SELECT row_id, datetime FROM typed WHERE datetime IS NOT NULL",
+    "silver_date_range": f"""WITH {TYPED}
+SELECT *, CAST(datetime AS DATE) AS day FROM typed WHERE datetime >= {START} AND datetime < {END}""",
     "to01": f"""WITH {DIRTY}
 SELECT row_id, CAST(coalesce({_num('"X_ON"')} >= 1, FALSE) AS INT) AS "X_ON",
        CAST(coalesce({_num('"X_READY"')} >= 1, FALSE) AS INT) AS "X_READY",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +79,12 @@ def status_runs_hot_instant(spark, sf_dir):
     return states.status_runs(tm.hot_orders(spark, sf_dir), ROLES, CHUNK_ROWS)
 
 
+@query
+def status_runs_by_unit(spark, sf_dir):
+    by_unit = Roles("datetime", "on_flag", "ready", "row_id", "unit")
+    return states.status_runs(tm.tele(spark, sf_dir), by_unit, CHUNK_ROWS)
+
+
 @query
 def state_blocks(spark, sf_dir):
     return states.state_blocks(tm.tele(spark, sf_dir), ROLES, ["kpi"], CHUNK_ROWS)
@@ -166,6 +172,20 @@ def preview_topk(spark, sf_dir):
     return filters.preview(tm.tele(spark, sf_dir), ROLES)
 
 
+@query
+def dataset_registry(spark, sf_dir):
+    """Rows of every dataset that is offered: an empty one is not."""
+    datasets, main = Datasets(spark), tm.tele(spark, sf_dir)
+    datasets.register("ready_rows", filters.ready_filter(main, ROLES.ready))
+    datasets.register("nothing", main.where("row_id < 0"))
+    datasets.register(MAIN, main)
+    counts = [
+        datasets.get(name).agg(F.lit(name).alias("name"), F.lit(i).alias("place"), F.count(F.lit(1)).alias("rows"))
+        for i, name in enumerate(datasets.available())
+    ]
+    return reduce(DataFrame.unionAll, counts)
+
+
 @query
 def filter_pipeline(spark, sf_dir):
     """Summary of the whole pipeline with the rows read back from its CSV and its dataset."""
@@ -275,6 +295,11 @@ def kde_counts_row_scale(spark, sf_dir):
     return distribution.kde_counts(df, Roles("Date", "X_ON", "X_READY"), ["kpi_txt"], scale="rows")
 
 
+@query
+def kde_counts_binned(spark, sf_dir):
+    return distribution.kde_counts(tm.tele(spark, sf_dir), ROLES, ["kpi"], method="binned")
+
+
 @query
 def histogram_counts(spark, sf_dir):
     return distribution.histogram_counts(tm.tele(spark, sf_dir), ROLES, ["kpi"])
@@ -318,6 +343,14 @@ def drop_null_time(spark, sf_dir):
     return prepare.prepare(tm.dirty(spark, sf_dir), keep=("row_id",)).select("row_id", "datetime")
 
 
+@query
+def silver_date_range(spark, sf_dir):
+    """Typed table written by day and read back through a date filter."""
+    path = fresh_path(spark, "silver")
+    prepare.write_silver(prepare.prepare(tm.dirty(spark, sf_dir), keep=("row_id",)), path, row_id="row_id")
+    return filters.date_range_filter(spark.read.parquet(path), START, END)
+
+
 @query
 def to01(spark, sf_dir):
     df = tm.dirty(spark, sf_dir)
@@ -425,7 +458,4 @@ def report_tables(spark, sf_dir):
         spark.read.parquet(f"{path}/section={name}").agg(F.lit(name).alias("section"), F.count(F.lit(1)).alias("rows"))
         for name in tables
     ]
-    result = counts[0]
-    for part in counts[1:]:
-        result = result.unionAll(part)
-    return result
+    return reduce(DataFrame.unionAll, counts)
