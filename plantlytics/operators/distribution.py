@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantlytics.operators.stats import GROUP, ready_values
@@ -29,11 +29,15 @@ def _groups(long: DataFrame) -> DataFrame:
         F.min(v).alias("smallest"),
         F.max(v).alias("largest"),
     )
-    ranges = states.groupBy("kpi").agg(F.min("smallest").alias("lo"), F.max("largest").alias("hi"))
+    both = Window.partitionBy("kpi")  # two rows
     # Scott's rule: the spread shrinks with the fifth root of the number of values.
     h = F.col("std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    # One row per KPI.
-    return states.where(F.col("n") > 0).join(F.broadcast(ranges), "kpi").withColumn("h", h)
+    return (
+        states.withColumn("lo", F.min("smallest").over(both))
+        .withColumn("hi", F.max("largest").over(both))
+        .where(F.col("n") > 0)
+        .withColumn("h", h)
+    )
 
 
 def _has_curve() -> Column:

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 
-import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +22,8 @@ CHUNK = "__chunk"
 ROWS_PER_CHUNK = 1_000_000
 MAX_CHUNKS = 8192
 _SAMPLE_PER_CHUNK = 200
-_STRIDE = 2 * MAX_CHUNKS  # parts of one hot instant fit between two chunk numbers
-_TIME, _HOT, _SPLITS = "__micros", "__hot", "__splits"
+_STRIDE = 8 * MAX_CHUNKS  # the parts of all hot instants fit between two chunk numbers
+_TIME, _HOT, _AT, _PART = "__micros", "__hot", "__at", "__part"
 
 
 def _time_splits(times: DataFrame, rows: int, chunks: int) -> list[float]:
@@ -63,36 +62,40 @@ def with_chunks(df: DataFrame, roles: Roles, rows_per_chunk: int = ROWS_PER_CHUN
         return placed.withColumn(CHUNK, _never_null(chunk)).drop(_TIME, _HOT)
 
     # A repeated cut point is a hot instant. Cuts are closed below, so its chunk starts
-    # with it; the rows after it up to the next cut follow behind all its parts.
-    table = pa.table({
-        _TIME: pa.array([int(c) for c in hot], pa.int64()),
-        _SPLITS: pa.array(_row_splits(timed, roles.row_id, hot), pa.list_(pa.int64())),
-    })
-    # One row per hot instant, at most MAX_CHUNKS / 2, with about MAX_CHUNKS cut points in all.
-    joined = placed.join(F.broadcast(df.sparkSession.createDataFrame(table)), _TIME, "left")
-    own = F.size(F.filter(_SPLITS, lambda s: s <= col(roles.row_id)))
-    shared = F.col(_HOT).isin([float(inner.index(c) + 1) for c in hot])
-    part = F.when(F.col(_SPLITS).isNotNull(), own).otherwise(F.when(shared, F.lit(_STRIDE - 1)).otherwise(0))
-    return joined.withColumn(CHUNK, _never_null(chunk + part)).drop(_TIME, _HOT, _SPLITS)
-
-
-def _never_null(chunk: Column) -> Column:
-    """Spares a NULL filter on one side of a later join, so both sides can share one exchange."""
-    return F.coalesce(chunk, F.lit(0).cast("long"))
-
-
-def _row_splits(timed: DataFrame, row_id: str, hot: dict[float, int]) -> list[list[int]]:
+    # with it; the rows after it up to the next cut follow behind all its parts. One number
+    # places a hot row: its chunk plus its row_id as a fraction, which grows with row_id.
+    at_hot = F.col(_TIME).isin([int(c) for c in hot])
+    ids = col(roles.row_id).cast("double")
+    low, high = timed.where(at_hot).agg(F.min(ids), F.max(ids)).first()
+    width = high - low + 1.0
+    own = {inner.index(c) + 1: points for c, points in _row_splits(timed, roles.row_id, hot).items()}
+    points = sorted({chunk_no + (p - low) / width for chunk_no, ps in own.items() for p in ps})
+    at = F.when(at_hot, F.col(_HOT) + (ids - low) / width).otherwise(-1.0)
+    parted = Bucketizer(splits=[-math.inf, *points, math.inf], inputCol=_AT, outputCol=_PART).transform(
+        placed.withColumn(_AT, at)
+    )
+    behind = F.when(F.col(_HOT).isin([float(i) for i in own]), F.lit(_STRIDE - 1)).otherwise(0)
+    part = F.when(at_hot, F.col(_PART).cast("long")).otherwise(behind)
+    return parted.withColumn(CHUNK, _never_null(chunk + part)).drop(_TIME, _HOT, _AT, _PART)
+
+
+def _row_splits(timed: DataFrame, row_id: str, hot: dict[float, int]) -> dict[float, list[int]]:
     """Cut points in ``row_id`` inside each hot instant, about as many as chunks it fills.
 
     Instants of like frequency share a job, so few more points are found than needed.
     The points are fixed here once: approximate ones must not be found anew per branch.
     """
-    splits: dict[int, list[int]] = {}
+    splits: dict[float, list[int]] = {}
     for size in sorted({n.bit_length() for n in hot.values()}):
         instants = [int(c) for c, n in hot.items() if n.bit_length() == size]
         parts = 1 << size
         shares = [i / parts for i in range(1, parts)]
-        points = F.percentile_approx(col(row_id), shares, 10 * parts).alias(_SPLITS)
+        points = F.percentile_approx(col(row_id), shares, 10 * parts).alias("points")
         rows = timed.where(F.col(_TIME).isin(instants)).groupBy(_TIME).agg(points).collect()
-        splits |= {r[_TIME]: sorted(set(r[_SPLITS])) for r in rows}
-    return [splits[int(c)] for c in hot]
+        splits |= {float(r[_TIME]): r["points"] for r in rows}
+    return splits
+
+
+def _never_null(chunk: Column) -> Column:
+    """Spares a NULL filter on one side of a later join, so both sides can share one exchange."""
+    return F.coalesce(chunk, F.lit(0).cast("long"))

@@ -32,7 +32,7 @@ def quoted(name: str) -> str:
 class Roles:
     """Columns the operators work on.
 
-    ``row_id`` breaks ties between rows of the same time, so that runs, first and
+    ``row_id``, a whole number, breaks ties of equal times, so that runs, first and
     last values do not depend on task order. ``unit`` separates plants that share
     a table; without it the table is one plant.
     """
