@@ -93,6 +93,12 @@ def to_datetime(x: Column, data_type: T.DataType | None = None) -> Column:
     return x.try_cast("timestamp_ntz")
 
 
+def time_of(df: DataFrame, name: str) -> Column:
+    """A time column; text is read leniently, unreadable text is NULL."""
+    is_text = isinstance(df.schema[name].dataType, T.StringType)
+    return to_datetime(col(name)) if is_text else col(name)
+
+
 def micros(x: Column) -> Column:
     """Microseconds since the epoch of a wall-clock time (session zone UTC)."""
     return F.unix_micros(x.cast("timestamp"))

@@ -27,9 +27,9 @@ def date_range_filter(df: DataFrame, start: dt.date, end: dt.date, time: str | N
     if time is None or time not in df.columns:
         return df
     after = end + dt.timedelta(days=1)
+    at = S.time_of(df, time)
     kept = df.where(
-        (col(time) >= F.lit(start.isoformat()).cast("timestamp_ntz"))
-        & (col(time) < F.lit(after.isoformat()).cast("timestamp_ntz"))
+        (at >= F.lit(start.isoformat()).cast("timestamp_ntz")) & (at < F.lit(after.isoformat()).cast("timestamp_ntz"))
     )
     if "day" in df.columns and isinstance(df.schema["day"].dataType, T.DateType):
         kept = kept.where(F.col("day").between(F.lit(start), F.lit(end)))

@@ -116,9 +116,11 @@ def status_runs(df: DataFrame, roles: Roles, rows_per_chunk: int = ROWS_PER_CHUN
     """``(block, status, x0, x1, n)``: maximal stretches of equal status.
 
     ``x1`` is the last time inside the run, one minute later for a run of one instant.
+    A table without readiness has no runs.
     """
-    d = df.where(col(roles.time).isNotNull())
-    d = d.select(*[col(k) for k in roles.keys], *[col(c) for c in roles.order], status(df, roles).alias("status"))
+    d = _timed(df, roles, [status(df, roles).alias("status")])
+    if roles.ready is None:
+        d = d.limit(0)
     runs = (
         _numbered(d, roles, "status", rows_per_chunk)
         .groupBy(*[col(k) for k in roles.keys], "block")
@@ -135,15 +137,17 @@ def status_runs(df: DataFrame, roles: Roles, rows_per_chunk: int = ROWS_PER_CHUN
     )
 
 
+def _timed(df: DataFrame, roles: Roles, columns: list[Column]) -> DataFrame:
+    """Unit, time and ``row_id`` with further columns, without rows that have no time."""
+    ids = [*roles.keys, *([roles.row_id] if roles.row_id else [])]
+    d = df.select(*[col(c) for c in ids], S.time_of(df, roles.time).alias(roles.time), *columns)
+    return d.where(col(roles.time).isNotNull())
+
+
 def _ready_series(df: DataFrame, roles: Roles, kpis: list[str]) -> DataFrame:
-    """Ready rows with a time: order columns, ``state`` and the KPIs as numbers."""
-    d = ready_filter(df, roles.ready).where(col(roles.time).isNotNull())
-    return d.select(
-        *[col(k) for k in roles.keys],
-        *[col(c) for c in roles.order],
-        S.to01(df, roles.on).alias("state"),
-        *[S.num(df, k).alias(k) for k in kpis],
-    )
+    """Ready rows with a time: ``state`` and the KPIs as numbers."""
+    ready = ready_filter(df, roles.ready)
+    return _timed(ready, roles, [S.to01(ready, roles.on).alias("state"), *[S.num(ready, k).alias(k) for k in kpis]])
 
 
 def state_blocks(

@@ -111,7 +111,7 @@ def onoff_delta(df: DataFrame, roles: Roles, kpis: Sequence[str]) -> DataFrame:
 
 def onoff_means(df: DataFrame, roles: Roles, kpis: Sequence[str]) -> DataFrame:
     """Mean lines: per KPI and state the mean and the time extent of all ready rows."""
-    long = ready_values(df, roles, kpis, [col(roles.time).alias("t")])
+    long = ready_values(df, roles, kpis, [S.time_of(df, roles.time).alias("t")])
     # Four columns per state and one row per KPI: the extent spans both states.
     one = long.groupBy("kpi").agg(
         F.min("t").alias("t_min"),
@@ -245,7 +245,7 @@ def binary_signal_profile(df: DataFrame, signals: Sequence[str]) -> DataFrame:
 
 def period_summary(df: DataFrame, time: str | None) -> DataFrame:
     """First and last day, number of days with both counted, and records."""
-    day = F.to_date(col(time)) if time else F.lit(None).cast("date")
+    day = F.to_date(S.time_of(df, time)) if time else F.lit(None).cast("date")
     return df.agg(
         F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count(F.lit(1)).alias("records")
     ).withColumn("days", F.datediff("last_day", "first_day") + 1)

@@ -110,6 +110,12 @@ def resolve_roles(
     return Roles(time, on_column(columns, prefix), ready_column(columns, prefix), row_id, unit)
 
 
+def primary_roles(columns: Sequence[str], prefix: str | None = None, row_id: str | None = None) -> Roles:
+    """Roles for the efficiency counts: only the optimiser's own flags, no stand-ins."""
+    on, ready = primary_flags(columns, prefix)
+    return Roles(TIME, on, ready, row_id)
+
+
 def numeric_columns(schema: T.StructType) -> list[str]:
     return [f.name for f in schema if isinstance(f.dataType, T.NumericType)]
 

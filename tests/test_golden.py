@@ -7,7 +7,7 @@ from conftest import at
 from pyspark.sql import functions as F
 
 from plantlytics.operators import distribution, filters, rollup, series, states, stats
-from plantlytics.roles import Roles
+from plantlytics.roles import Roles, primary_roles, resolve_roles
 
 CHUNKS = [1, 2, 3, 5, 1000]
 
@@ -243,3 +243,27 @@ def test_units_are_separate(golden, roles):
     for rows in (2, 1000):
         runs = states.status_runs(two, by_unit, rows).collect()
         assert sorted((r.unit, r.block) for r in runs) == [(u, b) for u in "ab" for b in range(1, 8)]
+
+
+def test_time_as_text(golden, roles):
+    text = golden.withColumn("datetime", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss"))
+    broken = text.unionAll(text.limit(1).withColumn("datetime", F.lit("soon")))
+    runs = states.status_runs(broken, roles, 3).orderBy("block").collect()
+    assert [(r.status, r.n) for r in runs] == [(2, 2), (1, 3), (2, 1), (0, 2), (2, 1), (0, 1), (1, 2)]
+    assert states.state_blocks(broken, roles, ["kpi"], 3).count() == 9
+    assert filters.date_range_filter(broken, dt.date(2025, 3, 1), dt.date(2025, 3, 1)).count() == 4
+    assert stats.period_summary(broken, "datetime").first().days == 2
+
+
+def test_tables_without_readiness(golden):
+    bare = golden.select("row_id", "datetime", F.col("on").alias("X_ON"), "kpi")
+    found = resolve_roles(bare.columns, row_id="row_id")
+    assert (found.on, found.ready) == ("X_ON", None)
+    assert states.status_runs(bare, found).count() == 0
+    assert states.state_blocks(bare, found, ["kpi"]).agg(F.max("block")).first()[0] == 6
+    off, on = stats.onoff_stats(bare, found, ["kpi"]).orderBy("on").collect()
+    assert (off.n, on.n) == (7, 5)
+    named = golden.withColumnRenamed("ready", "Ready")
+    assert resolve_roles(named.columns).ready == "Ready"
+    counts = states.state_efficiency(named, primary_roles(named.columns)).first()
+    assert (counts.total_records, counts.on_ready, counts.not_ready) == (12, 0, 0)
