@@ -15,8 +15,8 @@ def typed_projection(
 ) -> DataFrame:
     """Type every column: the time strictly, the flags as INT, all else as DOUBLE.
 
-    Source order is kept and ``datetime`` appended as the canonical time; a source
-    column of that very name is used as it is. ``keep`` names columns passed through.
+    Source order is kept and ``datetime`` appended as the canonical time; it takes the
+    place of a source column of that very name. ``keep`` names columns passed through.
     """
     columns = [c for c in raw.columns if c not in keep]
     time = load_time_column(columns)
@@ -25,12 +25,12 @@ def typed_projection(
     def typed(name: str):
         if name in keep:
             return col(name)
-        if name == time:
-            return S.parse_log_time(col(name)).alias(name)
+        if name in (time, TIME):
+            return S.parse_log_time(col(time)).alias(name)
         return (S.flag_int(raw, name) if name in flags else S.num(raw, name)).alias(name)
 
     typed_columns = [typed(c) for c in raw.columns]
-    if time != TIME:
+    if TIME not in raw.columns:
         typed_columns.append(S.parse_log_time(col(time)).alias(TIME))
     return raw.select(*typed_columns)
 

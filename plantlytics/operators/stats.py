@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plantlytics.functions import scalars as S
 from plantlytics.operators.filters import ready_filter
 from plantlytics.operators.quantiles import SMALL_ROWS, quantiles
-from plantlytics.roles import Roles, col, quoted, signal_category
+from plantlytics.roles import CONTROL_CATEGORY, CONTROL_WORDS, PROCESS_CATEGORY, Roles, col, quoted
 
 QUARTILES = (0.25, 0.5, 0.75)
 QUARTILE_NAMES = ("q1", "median", "q3")
@@ -235,11 +235,10 @@ def binary_signal_profile(df: DataFrame, signals: Sequence[str]) -> DataFrame:
         F.first("near").alias("near"), F.min(inner).alias("mid_lo"), F.max(inner).alias("mid_hi")
     )
     few = F.col("mid_lo").isNull() | (F.col("mid_lo") == F.col("mid_hi"))
-    categories = F.lit(None).cast("string")
-    for name in signals:
-        categories = F.when(F.col("kpi") == name, signal_category(name)).otherwise(categories)
+    control = F.lower("kpi").rlike("|".join(CONTROL_WORDS))
+    category = F.when(control, CONTROL_CATEGORY).otherwise(PROCESS_CATEGORY)
     return middle.select(
-        "kpi", F.coalesce(F.col("near") & few, F.lit(False)).alias("is_binary"), categories.alias("category")
+        "kpi", F.coalesce(F.col("near") & few, F.lit(False)).alias("is_binary"), category.alias("category")
     )
 
 

@@ -32,12 +32,14 @@ def filter_and_export(
     use_regex: bool = False,
     case_sensitive: bool = False,
     csv_path: str | None = None,
+    order: Sequence[str] = (),
 ) -> PipelineResult:
     """Apply the filters to a dataset, write the cleaned rows as CSV, register the rows themselves.
 
     The filtered rows are written once, to the shared folder, and everything after
     reads them there: no step filters again, and a lost executor costs no recomputation.
-    An empty result writes and registers nothing.
+    With ``order``, the time columns for instance, the CSV parts are sorted. An empty
+    result writes and registers nothing.
     """
     spark, source = datasets.spark, datasets.get(name)
     clamped = filters.clamp_ranges(_bounds(source, ranges), ranges or {})
@@ -52,7 +54,7 @@ def filter_and_export(
     if filtered.isEmpty():
         return PipelineResult(summary, None, None, None)
     csv_path = csv_path or fresh_path(spark, f"{name}_filtrado")
-    write_csv(filtered, csv_path)
+    write_csv(filtered, csv_path, order)
     new_name = f"{name}_exportado_{datetime.now():%Y%m%d_%H%M%S}"
     datasets.register(FILTERED, filtered)
     datasets.register(new_name, filtered)

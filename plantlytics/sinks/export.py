@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -20,20 +22,25 @@ def _text_form(df: DataFrame) -> DataFrame:
     )
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def _ordered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Part files in the order of their names, if an order is given: a distributed sort."""
+    return df.orderBy(*[col(c) for c in order]) if order else df
+
+
+def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
     """Cleaned table with a header; missing values read ``Null``."""
     (
-        _text_form(clean_for_export(df))
+        _text_form(clean_for_export(_ordered(df, order)))
         .write.mode("errorifexists")
         .options(header=True, nullValue=MISSING_IN_CSV, emptyValue="", escape='"')
         .csv(path)
     )
 
 
-def write_tsv(df: DataFrame, path: str) -> None:
+def write_tsv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
     """Table as it is, tab-separated with a header; missing values are empty."""
     (
-        _text_form(df)
+        _text_form(_ordered(df, order))
         .write.mode("errorifexists")
         .options(header=True, sep="\t", nullValue="", emptyValue="", escape='"')
         .csv(path)

@@ -115,6 +115,13 @@ def test_source_time_named_datetime(spark):
     assert prepare.typed_projection(raw).columns == ["datetime", "a"]
 
 
+def test_canonical_time_replaces_a_column_of_its_name(spark):
+    raw = spark.createDataFrame([("x", "2025-03-01 00:00:01")], "datetime string, Date string")
+    assert prepare.typed_projection(raw.select("Date", "datetime")).columns == ["Date", "datetime"]
+    row = prepare.typed_projection(raw.select("Date", "datetime")).first()
+    assert row.datetime == row.Date == dt.datetime(2025, 3, 1, 0, 0, 1)
+
+
 def test_silver_keeps_rows_and_prunes_days(spark, golden, tmp_path):
     path = str(tmp_path / "silver")
     prepare.write_silver(golden, path, row_id="row_id")

@@ -136,6 +136,13 @@ def test_tsv_export(spark, tmp_path):
     assert text == "a\tb\tc\td\te\n1\t\t\t1e-05\tx\n"
 
 
+def test_ordered_export(spark, golden, tmp_path):
+    export.write_tsv(golden.orderBy(F.rand(1)), str(tmp_path / "out"), ["datetime", "row_id"])
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    ids = [int(x.split("\t")[0]) for p in parts for x in p.read_text().splitlines() if not x.startswith("row_id")]
+    assert ids == list(range(1, 13))
+
+
 def test_datasets(spark, golden):
     datasets = Datasets(spark)
     datasets.register("other", golden.withColumnRenamed("datetime", "Date"))
