@@ -10,6 +10,7 @@ recomputed task sees the same chunks.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -57,7 +58,7 @@ def with_chunks(df: DataFrame, roles: Roles, rows_per_chunk: int = ROWS_PER_CHUN
     splits = [-math.inf, *inner, math.inf]
     placed = Bucketizer(splits=splits, inputCol=_TIME, outputCol=_HOT).transform(timed)
     chunk = F.col(_HOT).cast("long") * _STRIDE
-    hot = {c: cuts.count(c) for c in inner if cuts.count(c) > 1}
+    hot = {c: n for c, n in Counter(cuts).items() if n > 1}
     if not hot or roles.row_id is None:
         return placed.withColumn(CHUNK, _never_null(chunk)).drop(_TIME, _HOT)
 
