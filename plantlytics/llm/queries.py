@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from plantlytics.llm.decontaminate import OP3_SQL, op3_fm_decontamination
+from plantlytics.llm.mixing import OP1_SQL, op1_mixture_raking
 from plantlytics.llm.near_dup import op6_minhash_near_dedup
+from plantlytics.llm.secrets import OP7_SQL, op7_entropy_secrets
+from plantlytics.llm.toxicity import op4_noisy_channel_toxicity
 
 QUERIES = {
+    "op1_mixture_raking": op1_mixture_raking,
+    "op3_fm_decontamination": op3_fm_decontamination,
+    "op4_noisy_channel_toxicity": op4_noisy_channel_toxicity,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_entropy_secrets": op7_entropy_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mixture_raking": OP1_SQL,
+    "op3_fm_decontamination": OP3_SQL,
+    "op7_entropy_secrets": OP7_SQL,
+}
