@@ -19,8 +19,10 @@ from plantlytics.llm.kernels import NOT_BLANK, blocks, mix, shingles, u64, words
 BANDS, ROWS = 40, 5
 #: Sets a task keeps at hand while it checks pairs.
 RECENT = 4000
-#: One-bit bins by which pairs left over by the stars are sifted before the exact check.
-BITS = 1024
+#: One-bit bins, and bits of a plain bitmap of the set, by which pairs left over by the stars are sifted before the exact check.
+BITS, MAP = 1024, 2048
+#: Members of an open bucket that are compared with as many at once.
+MEMBERS = 256
 
 
 def _sets(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -86,7 +88,7 @@ def _signatures(k: int):
 
 
 def _bits(k: int):
-    """Columns ``key, packed`` to ``key`` and one bit of each of the BITS bins, as sixteen longs."""
+    """Columns ``key, packed`` to ``key``, one bit of each of the BITS bins and the bitmap of the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes, unpack = _probes(BITS), zstandard.ZstdDecompressor()
         salt = mix(np.arange(1, BITS + 1, dtype=np.uint64))
@@ -95,10 +97,52 @@ def _bits(k: int):
                 part = batch.slice(a, 64)
                 texts = [unpack.decompress(x) for x in part.column(1).to_pylist()]
                 off = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
-                sk = sketch(_sets(np.frombuffer(b"".join(texts), np.uint8), off, k), probes)
-                longs = np.packbits((mix(sk ^ salt) & u64(1)).astype(np.uint8), axis=1).view(np.int64)
+                sets = _sets(np.frombuffer(b"".join(texts), np.uint8), off, k)
+                bits = np.packbits((mix(sketch(sets, probes) ^ salt) & u64(1)).astype(np.uint8), axis=1)
+                there = np.zeros((len(sets), MAP), np.uint8)
+                for row, s in zip(there, sets, strict=True):
+                    row[(s % u64(MAP)).astype(np.int64)] = 1
+                maps = np.packbits(there, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(list(longs), pa.list_(pa.int64()))], ["key", "bits"])
+                    [part.column(0), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array([x.tobytes() for x in maps], pa.binary())],
+                    ["key", "bits", "map"])
+
+    return run
+
+
+def _sift(percent: int):
+    """Pairs of blocks of one bucket, columns ``h, same, one, two``, to the pairs of keys worth an exact check.
+
+    Sifted are pairs of one component, of sizes too different, with fewer equal bits than six standard deviations below what
+    the wanted similarity gives, and whose bitmaps show too few common shingles (each bit that one set has and the
+    other lacks is a shingle of its own). A pair that shares several buckets comes out of the first.
+    """
+    alike = (1 + percent / 100) / 2
+    most = int(BITS * (1 - alike) + 6 * (BITS * alike * (1 - alike)) ** 0.5)
+
+    def members(block: pa.Scalar) -> dict[str, np.ndarray]:
+        rows = block.values
+        fixed = lambda name: np.frombuffer(b"".join(rows.field(name).to_pylist()), np.uint64).reshape(len(rows), -1)
+        bands = np.array(rows.field("bands").to_pylist(), np.int64)
+        return {"keys": rows.field("key").to_pylist(), "n": rows.field("n").to_numpy(), "label": fixed("label"), "bits": fixed("bits"),
+                "map": fixed("map"), "bands": bands}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                x, y = members(batch.column(2)[r]), members(batch.column(3)[r])
+                small, large = np.minimum.outer(x["n"], y["n"]), np.maximum.outer(x["n"], y["n"])
+                fits = (100 * small >= percent * large) & (x["label"][:, None] != y["label"]).any(2)
+                i, j = np.nonzero(np.triu(fits, 1) if batch.column(1)[r].as_py() else fits)
+                near = np.bitwise_count(x["bits"][i] ^ y["bits"][j]).sum(1) <= most
+                i, j = i[near], j[near]
+                n, m, one, two = x["n"][i], y["n"][j], x["map"][i], y["map"][j]
+                shared = np.minimum(n - np.bitwise_count(one & ~two).sum(1, dtype=np.int64), m - np.bitwise_count(two & ~one).sum(1, dtype=np.int64))
+                common = x["bands"][i] == y["bands"][j]
+                first = x["bands"][i, common.argmax(1)] if len(i) else np.zeros(0, np.int64)
+                good = ((100 + percent) * shared >= percent * (n + m)) & (first == batch.column(0)[r].as_py())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x["keys"][t] for t in i[good]], pa.binary()), pa.array([y["keys"][t] for t in j[good]], pa.binary())], ["a", "b"])
 
     return run
 
@@ -144,11 +188,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     whole sequence of a shorter text. Returns ``doc_id, n_shingles, component_id, kept``.
 
     Equal sets are one vertex. A set is sketched by one permutation into 200 bins; empty bins borrow from
-    full ones in an order fixed per bin (optimal densification). Each band bucket sends only a star of edges,
-    from its least member, to the exact check on full sets. Where a bucket's members end in several
-    components, the pairs between these are left over: a join inside the bucket sifts them by set size
-    and by 1024 one-bit bins (six standard deviations below what the wanted similarity gives), and the
-    exact check decides on the rest, so no link is lost.
+    full ones in an order fixed per bin (optimal densification). Each band bucket sends only a star of edges
+    to the exact check on full sets, its centre chosen by hash, so a document meets up to 40 centres. Where a bucket's
+    members end in several components, the pairs between these are left over: a join inside the bucket sifts them by
+    set size, by 1024 one-bit bins (six standard deviations below what the wanted similarity gives) and by the
+    most shingles that two bitmaps can share, and the exact check decides on the rest, so no link is lost.
 
     NULL, empty and blank texts: ``n_shingles`` 0, a component of their own. A NULL ``doc_id`` is never
     the least; a component of such rows alone has a NULL id and all are kept. Repeated rows and other rows
@@ -161,7 +205,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = some.groupBy("key").agg(F.min("doc_id").alias("least"))
 
     bucket = some.select("v", F.explode("bands").alias("h"))
-    star = bucket.groupBy("h").agg(F.min("v").alias("c"), F.max("v").alias("hi")).where("c <> hi").drop("hi")
+    star = bucket.groupBy("h").agg(F.min(F.expr("v ^ h")).alias("c"), F.max(F.expr("v ^ h")).alias("hi")).where("c <> hi")
+    star = star.select("h", F.expr("c ^ h").alias("c"))
     arms = stored(bucket.join(star, "h").distinct(), "arms")
     ends = arms.select("v").distinct()
     firsts = classes.select(F.xxhash64("key").alias("v"), F.col("key").alias("k"), "least").join(ends, "v", "left_semi").drop("v")
@@ -181,16 +226,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rest = arms.where("v <> c").join(known, "v")
     open_h = rest.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
     rest = stored(rest.join(open_h, "h").select("h", "key", "n", "label"), "open")
-    sift = stored(reps.join(rest.select("key").distinct(), "key", "left_semi").select("key", "packed")
-                  .mapInArrow(_bits(k), schema(key="binary", bits="array<bigint>")), "bits").dropDuplicates(["key"])
-    wide = rest.join(sift, "key")
-    left = wide.select("h", F.col("key").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"), F.col("bits").alias("ba"))
-    apart = " + ".join(f"bit_count(bits[{i}] ^ ba[{i}])" for i in range(BITS // 64))
-    alike = (1 + percent / 100) / 2
-    most = int(BITS * (1 - alike) + 6 * (BITS * alike * (1 - alike)) ** 0.5)
-    pairs = left.join(wide, "h").where(
-        f"la < label AND 100 * least(n, m) >= {percent} * greatest(n, m) AND {apart} <= {most}")
-    more = confirmed(pairs.select("a", F.col("key").alias("b")).distinct(), "key")
+    marked = stored(reps.join(rest.select("key").distinct(), "key", "left_semi").select("key", "packed")
+                    .mapInArrow(_bits(k), schema(key="binary", bits="binary", map="binary")), "bits")
+    bands = some.join(firsts, F.expr("key = k AND doc_id <=> least")).select("key", "bands")
+    marked = marked.join(bands, "key").dropDuplicates(["key"])
+    sizes = rest.groupBy("h").agg(F.ceil(F.count("*") / MEMBERS).alias("cuts"))
+    block = rest.join(marked, "key").join(sizes, "h").groupBy("h", F.expr("pmod(xxhash64(key), cuts)").alias("i")).agg(
+        F.collect_list(F.struct("key", "n", "label", "bits", "map", "bands")).alias("two"))
+    pairs = block.select("h", F.col("i").alias("j"), F.col("two").alias("one")).join(block, "h").where("j <= i").select("h", F.expr("i = j").alias("same"), "one", "two")
+    sifted = stored(pairs.mapInArrow(_sift(percent), schema(a="binary", b="binary")), "pairs")
+    more = confirmed(sifted.distinct(), "key")
     labels = components(links.union(more)).withColumnRenamed("v", "key")
 
     named = classes.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
