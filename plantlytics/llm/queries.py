@@ -6,6 +6,7 @@ from plantlytics.llm.decontaminate import OP3_SQL, op3_fm_decontamination
 from plantlytics.llm.lm_score import op10_deleted_interpolation_lm
 from plantlytics.llm.mixing import OP1_SQL, op1_mixture_raking
 from plantlytics.llm.near_dup import op6_minhash_near_dedup
+from plantlytics.llm.quality_rules import op8_mcd_quality_rules
 from plantlytics.llm.secrets import OP7_SQL, op7_entropy_secrets
 from plantlytics.llm.suffix_dedup import op2_suffix_array_dedup
 from plantlytics.llm.toxicity import op4_noisy_channel_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_noisy_channel_toxicity": op4_noisy_channel_toxicity,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_entropy_secrets": op7_entropy_secrets,
+    "op8_mcd_quality_rules": op8_mcd_quality_rules,
     "op10_deleted_interpolation_lm": op10_deleted_interpolation_lm,
 }
 
