@@ -49,6 +49,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: the same partitions, in the same order, for every later read."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def fold(key: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; NULL ids count as fold 0 of an empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts
