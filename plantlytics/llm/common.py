@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,5 +66,5 @@ def line(text: Column) -> Column:
     return F.concat(F.coalesce(text, F.lit("")), F.lit("\n"))
 
 
-def schema(**kinds: str) -> T.StructType:
-    return T._parse_datatype_string(", ".join(f"`{n}` {k}" for n, k in kinds.items()))
+def schema(**kinds: str) -> str:
+    return ", ".join(f"`{n}` {k}" for n, k in kinds.items())

@@ -7,9 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from plantlytics.llm.common import line
+from plantlytics.llm.common import line, schema
 
 
 def map_text(docs: DataFrame, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], text: str = "text",
@@ -24,16 +23,14 @@ def map_text(docs: DataFrame, make: Callable[[], Callable[[pa.Array], list[pa.Ar
     places = [names.index(n) for n in keep] if keep is not None else list(range(len(names)))
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     source = F.col(f"c{names.index(text)}").cast("string") if text in names else F.lit("")
-    extra = [T.StructField(n, T._parse_datatype_string(k)) for n, k in kinds.items()]
-    fields = [plain.schema[i] for i in places]
+    fields = {f"c{i}": plain.schema[i].dataType.simpleString() for i in places} | kinds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             columns = [batch.column(i) for i in range(len(places))]
             arrays = columns + work(batch.column(len(places)))
-            yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields] + list(kinds))
+            yield pa.RecordBatch.from_arrays(arrays, list(fields))
 
-    out = plain.select(*[f"c{i}" for i in places], line(source).alias("_line")).mapInArrow(
-        run, T.StructType([T.StructField(f.name, f.dataType) for f in fields] + extra))
+    out = plain.select(*[f"c{i}" for i in places], line(source).alias("_line")).mapInArrow(run, schema(**fields))
     return out if plain_names else out.toDF(*[names[i] for i in places], *kinds)
