@@ -44,7 +44,6 @@ def cell_rates(rows: DataFrame, targets: dict[str, dict[str, float]], temperatur
     spark = rows.sparkSession
     cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0").withColumn("w", F.col("t")), "cells")
     total = cells.agg(F.sum("t")).first()[0] or 0.0
-    shares = {}
     for d in DIMENSIONS:
         own = cells.groupBy(d).agg(F.sum("t").alias("s"))
         if d in targets:
@@ -53,12 +52,12 @@ def cell_rates(rows: DataFrame, targets: dict[str, dict[str, float]], temperatur
         else:
             own = own.withColumn("raw", F.pow("s", F.lit(temperature)))
         scale = own.agg(F.sum("raw")).first()[0] or 1.0
-        shares[d] = stored(own.select(d, (F.col("raw") / F.lit(scale) * F.lit(total)).alias("goal")), "goals")
+        cells = stored(cells.join(own.select(d, (F.col("raw") / F.lit(scale) * F.lit(total)).alias(f"goal_{d}")), d), "cells")
     for _ in range(rounds):
         for d in DIMENSIONS:
-            sums = cells.groupBy(d).agg(F.sum("w").alias("s")).join(shares[d], d).select(d, (F.col("goal") / F.col("s")).alias("f"))
-            cells = cells.join(sums, d).withColumn("w", F.col("w") * F.col("f")).drop("f")
-        cells = stored(cells.select(*DIMENSIONS, "t", "w"), "cells")
+            sums = cells.groupBy(d).agg(F.sum("w").alias("s"))
+            cells = cells.join(sums, d).withColumn("w", F.col("w") * (F.col(f"goal_{d}") / F.col("s"))).drop("s")
+        cells = stored(cells, "cells")
     factor = budget
     for _ in range(CAPS):
         capped = F.col("w") * F.lit(factor) >= F.col("t")
@@ -66,7 +65,7 @@ def cell_rates(rows: DataFrame, targets: dict[str, dict[str, float]], temperatur
         if not rest:
             break
         factor = max(factor, (budget * total - full) / rest)
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("w") * F.lit(factor) / F.col("t"))).drop("t", "w")
+    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("w") * F.lit(factor) / F.col("t"))).select(*DIMENSIONS, "probability")
 
 
 def draw(doc_id: Column) -> Column:
