@@ -73,13 +73,14 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
-def mix(rows: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
+def mix(rows: DataFrame, targets: dict[str, dict[str, float]], budget: float = BUDGET) -> DataFrame:
     """``rows`` (of :func:`with_tokens`, other columns may follow) with ``probability`` and ``sampled``.
 
+    Expected token shares meet the targets as long as no cell needs more than its tokens; such cells are taken whole.
     Rows without tokens are in no cell: probability 0, never sampled. NULL source or language is the value ''. Repeated
     rows and rows with one id share a draw. An empty table gives an empty result.
     """
-    rates = cell_rates(rows, targets)
+    rates = cell_rates(rows, targets, budget=budget)
     out = rows.join(rates, list(DIMENSIONS), "left").withColumn("probability", F.when(F.col("tokens") > 0, F.col("probability")).otherwise(0.0))
     return out.withColumn("sampled", draw(F.col("doc_id")) < F.col("probability"))
 

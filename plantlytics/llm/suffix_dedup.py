@@ -237,6 +237,9 @@ def earlier_cover(group: np.ndarray, left: np.ndarray, context: np.ndarray, size
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts in order of (h, doc, ver, pos) to ranges (doc, ver, start, stop) that repeat something earlier."""
     def cover(table: pa.Table) -> pa.RecordBatch:
+        place = [table.column(i).to_numpy() for i in range(4)]
+        # Repeated rows bring a context twice; it is one place all the same.
+        table = table.filter(pa.array(np.logical_or.reduce([np.concatenate(([True], x[1:] != x[:-1])) for x in place])))
         h, doc, ver, pos, left = (table.column(i).to_numpy() for i in range(5))
         texts = table.column(5).to_pylist()
         size = np.array([len(t) for t in texts])
