@@ -25,12 +25,16 @@ def finite(x: Column) -> Column:
     return F.when(F.abs(x) < F.lit(_INFINITY), x)
 
 
+#: What a cast strips from the ends of a text: blanks and control characters.
+_STRIPPED = "".join(map(chr, [*range(33), *range(127, 160)]))
+
+
 def text_to_num(x: Column) -> Column:
     """Plain decimal numbers, blanks around them allowed.
 
     ``try_cast`` also takes Java's '1d', '1f' and '0x1p3', which are no numbers here.
     """
-    java_suffix = F.substring(F.rtrim(x), -1, 1).isin("d", "D", "f", "F")
+    java_suffix = F.substring(F.rtrim(x, F.lit(_STRIPPED)), -1, 1).isin("d", "D", "f", "F")
     java_hex = x.contains("x") | x.contains("X")
     value = x.try_cast("double")
     return F.when((F.abs(value) < F.lit(_INFINITY)) & ~java_suffix & ~java_hex, value)

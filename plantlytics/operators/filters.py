@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import re
+import warnings
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -105,6 +107,15 @@ def is_valid_pattern(spark: SparkSession, pattern: str) -> bool:
     return True
 
 
+def java_pattern(pattern: str) -> str:
+    """Named groups as Java writes them; its group names have letters and digits only."""
+    def name(m: re.Match) -> str:
+        return "".join(c if c.isascii() and c.isalnum() else f"x{ord(c):x}x" for c in m[1])
+
+    pattern = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{name(m)}>", pattern)
+    return re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{name(m)}>", pattern)
+
+
 def text_predicate(
     df: DataFrame,
     needle: str | None,
@@ -122,14 +133,17 @@ def text_predicate(
     columns = [c for c in columns if c in df.columns]
     if not needle or not columns:
         return None
-    regex = use_regex and is_valid_pattern(df.sparkSession, needle)
+    pattern = java_pattern(needle) if use_regex else needle
+    regex = use_regex and is_valid_pattern(df.sparkSession, pattern)
+    if use_regex and not regex:
+        warnings.warn(f"not a pattern, searched literally: {needle}", stacklevel=2)
 
     def hit(name: str) -> Column:
         text = S.as_text(df, name)
         if null_as_text is not None:
             text = F.coalesce(text, F.lit(null_as_text))
         if regex:
-            return text.rlike(("(?U)" if case_sensitive else "(?iuU)") + needle)
+            return text.rlike(("(?U)" if case_sensitive else "(?iuU)") + pattern)
         if case_sensitive:
             return text.contains(needle)
         return F.upper(text).contains(F.upper(F.lit(needle)))
@@ -159,4 +173,4 @@ def filter_summary(df: DataFrame, predicate: Column) -> DataFrame:
 
 def preview(df: DataFrame, roles: Roles, rows: int = PREVIEW_ROWS) -> DataFrame:
     """First rows by time, as a top-k: no full sort."""
-    return df.orderBy(*[col(c) for c in roles.order]).limit(min(rows, PREVIEW_ROWS))
+    return df.orderBy(*[col(c) for c in roles.order]).limit(rows)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantlytics.functions import scalars as S
-from plantlytics.roles import TIME, col, drop_duplicate_time, load_time_column, primary_flags
+from plantlytics.roles import TIME, col, converted_flags, drop_duplicate_time, load_time_column
 
 
 def typed_projection(
@@ -20,7 +20,7 @@ def typed_projection(
     """
     columns = [c for c in raw.columns if c not in keep]
     time = load_time_column(columns)
-    flags = primary_flags(columns, prefix) if flags is None else flags
+    flags = converted_flags(columns, prefix) if flags is None else flags
 
     def typed(name: str):
         if name in keep:

@@ -58,6 +58,8 @@ def status(df: DataFrame, roles: Roles) -> Column:
 
     This differs from the counts above on purpose: there ON needs readiness too.
     """
+    if roles.on is None:
+        return F.lit(None).cast("int")
     on = S.flag_int(df, roles.on)
     ready = S.flag_int(df, roles.ready) if roles.ready else F.lit(0)
     return (
@@ -69,7 +71,8 @@ def status(df: DataFrame, roles: Roles) -> Column:
 
 
 def status_timeline(df: DataFrame, roles: Roles) -> DataFrame:
-    return df.withColumn("status", status(df, roles))
+    """Without an ON flag there is no status and no row."""
+    return (df if roles.on else df.limit(0)).withColumn("status", status(df, roles))
 
 
 def _numbered(df: DataFrame, roles: Roles, state: str, rows_per_chunk: int) -> DataFrame:
@@ -119,7 +122,7 @@ def status_runs(df: DataFrame, roles: Roles, rows_per_chunk: int = ROWS_PER_CHUN
     A table without readiness has no runs.
     """
     d = _timed(df, roles, [status(df, roles).alias("status")])
-    if roles.ready is None:
+    if roles.ready is None or roles.on is None:
         d = d.limit(0)
     runs = (
         _numbered(d, roles, "status", rows_per_chunk)
@@ -146,8 +149,9 @@ def _timed(df: DataFrame, roles: Roles, columns: list[Column]) -> DataFrame:
 
 def _ready_series(df: DataFrame, roles: Roles, kpis: list[str]) -> DataFrame:
     """Ready rows with a time: ``state`` and the KPIs as numbers."""
-    ready = ready_filter(df, roles.ready)
-    return _timed(ready, roles, [S.to01(ready, roles.on).alias("state"), *[S.num(ready, k).alias(k) for k in kpis]])
+    ready = ready_filter(df, roles.ready) if roles.on else df.limit(0)
+    state = S.to01(ready, roles.on) if roles.on else F.lit(0)
+    return _timed(ready, roles, [state.alias("state"), *[S.num(ready, k).alias(k) for k in kpis]])
 
 
 def state_blocks(

@@ -32,6 +32,8 @@ def unpivot_numeric(df: DataFrame, kpis: Sequence[str], ids: Sequence[Column] =
 
 def ready_values(df: DataFrame, roles: Roles, kpis: Sequence[str], ids: Sequence[Column] = ()) -> DataFrame:
     """Long form of the ready rows: ``ids``, ``on`` (0/1), ``kpi``, ``value``."""
+    if roles.on is None:  # no state, so nothing to compare
+        return unpivot_numeric(df.limit(0), kpis, [*ids, F.lit(0).alias("on")])
     ready = ready_filter(df, roles.ready)
     return unpivot_numeric(ready, kpis, [*ids, S.to01(ready, roles.on).alias("on")])
 

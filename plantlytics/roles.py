@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 # Names and words the log format and its users rely on.
 LOAD_TIME_NAMES = ("date", "fecha", "datetime", "timestamp", "time")
+SOURCE_TIME_NAMES = ("date", "fecha", "timestamp", "time")
 ANALYSIS_TIME_WORDS = ("date", "time", "fecha")
 READY_FALLBACKS = ("Flag_Ready", "Ready")
 CONTROL_WORDS = ("sp", "setpoint", "target", "opt_")
@@ -89,6 +90,20 @@ def primary_flags(columns: Sequence[str], prefix: str | None = None) -> tuple[st
     return tuple(n if n in columns else None for n in names)  # type: ignore[return-value]
 
 
+def converted_flags(columns: Sequence[str], prefix: str | None = None) -> tuple[str, ...]:
+    """Columns typed as flags: the pair of the given prefix, or of the only prefix that has both names.
+
+    A name that merely ends like a flag may be an analog signal, so nothing is guessed from it.
+    """
+    if prefix is None:
+        ready = _prefixes(columns, READY_SUFFIX)
+        pairs = [p for p in _prefixes(columns, ON_SUFFIX) if p in ready]
+        if len(pairs) != 1:
+            return ()
+        prefix = pairs[0]
+    return tuple(n for n in primary_flags(columns, prefix) if n)
+
+
 def ready_column(columns: Sequence[str], prefix: str | None = None) -> str | None:
     """Readiness flag; ``None`` means the ready filter keeps every row."""
     ready = primary_flags(columns, prefix)[1]
@@ -170,6 +185,6 @@ def rename_date_column(df: DataFrame) -> DataFrame:
 
 def drop_duplicate_time(df: DataFrame) -> DataFrame:
     """Drop ``datetime`` when the source's own time column is still there."""
-    if TIME in df.columns and any(c != TIME and c.lower() in LOAD_TIME_NAMES for c in df.columns):
+    if TIME in df.columns and any(c != TIME and c.lower() in SOURCE_TIME_NAMES for c in df.columns):
         return df.drop(TIME)
     return df
