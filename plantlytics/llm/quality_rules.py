@@ -156,7 +156,15 @@ def quality_verdicts(stats: DataFrame) -> DataFrame:
     return judged.select(*stats.columns, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))).alias("kept"))
 
 
+def judge_quality(docs: DataFrame) -> DataFrame:
+    """One row per document: ids, statistics and verdict. The statistics are stored, as every step reads them.
+
+    NULL, empty and blank texts have no words and fail the base rule; repeated rows are judged alike; other columns
+    are ignored; an empty table gives an empty result.
+    """
+    own = pick(docs, doc_id="bigint", text="string", lang="string", source="string")
+    return quality_verdicts(stored(text_statistics(own).drop("text"), "statistics"))
+
+
 def op8_mcd_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = pick(read(spark, sf_dir, "documents"), doc_id="bigint", text="string", lang="string", source="string")
-    stats = stored(text_statistics(docs).drop("text"), "statistics")
-    return quality_verdicts(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    return judge_quality(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")

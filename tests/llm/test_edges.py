@@ -7,7 +7,6 @@ import corpus_pipeline
 from plantlytics.llm import (decontaminate, lm_score, mixing, near_dup, quality_classifier, quality_rules, secrets, suffix_dedup, toxicity,
                              url_rules)
 from plantlytics.llm.common import pick
-from plantlytics.llm.kernels import NOT_BLANK  # noqa: F401
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -37,7 +36,7 @@ OPERATORS = {
     "toxicity": lambda d, b, l: toxicity.toxicity(d, toxicity.toxicity_model(pick(d, doc_id="long", text="string"), l), keep=["doc_id"]),
     "near_dup": lambda d, b, l: near_dup.near_duplicates(d),
     "secrets": lambda d, b, l: secrets.find_secrets(pick(d, doc_id="long", text="string")),
-    "quality_rules": lambda d, b, l: quality_rules.quality_verdicts(quality_rules.text_statistics(pick(d, doc_id="long", text="string", lang="string", source="string"))),
+    "quality_rules": lambda d, b, l: quality_rules.judge_quality(d),
     "quality_classifier": lambda d, b, l: quality_classifier.quality_scores(d, l),
     "lm_score": lambda d, b, l: lm_score.interpolated_scores(d),
 }
