@@ -21,9 +21,7 @@ from plantlytics.roles import Roles, col
 
 CHUNK = "__chunk"
 ROWS_PER_CHUNK = 1_000_000
-MAX_CHUNKS = 8192
 _SAMPLE_PER_CHUNK = 200
-_STRIDE = 8 * MAX_CHUNKS  # the parts of all hot instants fit between two chunk numbers
 _TIME, _HOT, _AT, _PART = "__micros", "__hot", "__at", "__part"
 
 
@@ -42,12 +40,14 @@ def _time_splits(times: DataFrame, rows: int, chunks: int) -> list[float]:
 def with_chunks(df: DataFrame, roles: Roles, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Add ``__chunk`` BIGINT, growing with ``(time, row_id)``.
 
-    An instant so frequent that it fills several chunks is split further by
-    ``row_id``. At most about ``3 * MAX_CHUNKS`` chunks exist, whatever the row count.
+    There is about one chunk per ``rows_per_chunk`` rows, however many rows there are.
+    An instant so frequent that it fills several chunks is split further by ``row_id``;
+    without one such an instant is an error, as a single task would have to order it.
     """
     timed = df.withColumn(_TIME, S.micros(col(roles.time)))
     rows = timed.select(_TIME).count()
-    chunks = min(MAX_CHUNKS, math.ceil(rows / rows_per_chunk)) if rows else 1
+    chunks = math.ceil(rows / rows_per_chunk) if rows else 1
+    stride = 8 * chunks  # the parts of all hot instants fit between two chunk numbers
     if chunks == 1:
         return timed.withColumn(CHUNK, F.lit(0).cast("long")).drop(_TIME)
 
@@ -57,9 +57,11 @@ def with_chunks(df: DataFrame, roles: Roles, rows_per_chunk: int = ROWS_PER_CHUN
         return timed.withColumn(CHUNK, F.lit(0).cast("long")).drop(_TIME)
     splits = [-math.inf, *inner, math.inf]
     placed = Bucketizer(splits=splits, inputCol=_TIME, outputCol=_HOT).transform(timed)
-    chunk = F.col(_HOT).cast("long") * _STRIDE
+    chunk = F.col(_HOT).cast("long") * stride
     hot = {c: n for c, n in Counter(cuts).items() if n > 1}
-    if not hot or roles.row_id is None:
+    if hot and roles.row_id is None:
+        raise ValueError(f"{len(hot)} instants hold more than {rows_per_chunk} rows each: name a row_id that orders them")
+    if not hot:
         return placed.withColumn(CHUNK, _never_null(chunk)).drop(_TIME, _HOT)
 
     # A repeated cut point is a hot instant. Cuts are closed below, so its chunk starts
@@ -75,7 +77,7 @@ def with_chunks(df: DataFrame, roles: Roles, rows_per_chunk: int = ROWS_PER_CHUN
     parted = Bucketizer(splits=[-math.inf, *points, math.inf], inputCol=_AT, outputCol=_PART).transform(
         placed.withColumn(_AT, at)
     )
-    behind = F.when(F.col(_HOT).isin([float(i) for i in own]), F.lit(_STRIDE - 1)).otherwise(0)
+    behind = F.when(F.col(_HOT).isin([float(i) for i in own]), F.lit(stride - 1)).otherwise(0)
     part = F.when(at_hot, F.col(_PART).cast("long")).otherwise(behind)
     return parted.withColumn(CHUNK, _never_null(chunk + part)).drop(_TIME, _HOT, _AT, _PART)
 

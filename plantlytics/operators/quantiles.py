@@ -1,11 +1,15 @@
-"""Exact quantiles of groups of any size.
+"""Exact quantiles of groups of any size, in at most three scans.
 
 ``percentile`` keeps every distinct value of a group in one task. Here the wanted ranks
-are located by counting instead: a pass cuts the value range that holds a rank into
-equal cells, counts the rows per cell and goes on inside the cells that hold one. A pass
-is a column-pruned scan with partial counts, so what is shuffled is cells and never rows;
-what comes back to the driver is at most ``2 * len(probs)`` cells per group. Two or three
-passes are usual, as each narrows the ranges some thousand times.
+are located by counting instead, the same way for every size and spread:
+
+1. cells of equal width in the logarithm, a thousand per factor of e and sign,
+2. inside the cells that hold a wanted rank, two million cells of equal width,
+3. inside those, the single values; a cell of step 2 has at most a few million DOUBLEs.
+
+A scan is column-pruned and counts partially, so what is shuffled is cells and never rows.
+What comes back to the driver is at most ``2 * len(probs)`` cells per group. Step 3 is left
+out where every cell of step 2 holds one value, and step 2 likewise.
 """
 
 from __future__ import annotations
@@ -19,66 +23,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CELLS = 4096
-# Up to this many rows in all, one task can hold every distinct value of a group.
-SMALL_ROWS = 2_000_000
+LOG_CELLS = 1000  # per factor of e
+CELLS = 1 << 21
 _V = "__v"
 
 
 @dataclass(frozen=True)
 class _Span:
-    """Value range of one group: its rows, those below it, and the wanted ranks in it."""
+    """Value range of one group: the rows of the group, those below the range, and the wanted ranks in it."""
 
     group: tuple
     lo: float
     hi: float
     below: int
-    rows: int
+    total: int
     ranks: list[int]
 
 
 def quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    names: Sequence[str],
-    small_rows: int = SMALL_ROWS,
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]
 ) -> DataFrame:
     """``keys`` and one column per probability, linearly interpolated, missing values left out.
 
     The jobs run here, and the result is a small local table that later steps can use
-    many times. It counts the groups first: few rows in all go through ``percentile``,
-    more are located by passes over the data. ``keys`` must have few distinct values,
-    such as KPI and state.
+    many times. ``keys`` must have few distinct values, such as KPI and state.
     """
     keys = list(keys)
     base = df.select(*keys, F.col(value).alias(_V)).where(F.col(_V).isNotNull())
-    counted = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(_V).alias("lo"), F.max(_V).alias("hi"))
-    groups = {tuple(r[k] for k in keys): r for r in counted.collect()}
-    if not groups:
+    found: dict[tuple, float] = {}
+    totals: dict[tuple, int] = {}
+    spans = _first_cut(base, keys, probs)
+    for step in (_equal_cell, lambda v, lo, hi: v):
+        totals |= {s.group: s.total for s in spans}
+        found |= {(s.group, r): s.lo for s in spans if s.lo == s.hi for r in s.ranks}
+        spans = [s for s in spans if s.lo != s.hi]
+        if spans:
+            spans = _cut(base, keys, spans, step)
+    found |= {(s.group, r): s.lo for s in spans for r in s.ranks}
+    if not totals:
         return base.sparkSession.createDataFrame(
             [], T.StructType([df.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in names])
         )
-    if sum(r.n for r in groups.values()) <= small_rows:
-        parts = F.percentile(F.col(_V), [float(p) for p in probs]).alias("q")
-        rows = base.groupBy(*keys).agg(parts).collect()
-        small = {tuple(r[k] for k in keys): r.q for r in rows}
-        return _table(base, keys, list(small), **dict(zip(names, zip(*small.values()))))
-
-    spans = [
-        _Span(g, r.lo, r.hi, 0, r.n, sorted({f((r.n - 1) * p) for p in probs for f in (math.floor, math.ceil)}))
-        for g, r in groups.items()
-    ]
-    found = _locate(base, keys, spans, small_rows)
 
     def between(group: tuple, p: float) -> float:
-        position = (groups[group].n - 1) * p
+        position = (totals[group] - 1) * p
         a, b = math.floor(position), math.ceil(position)
         return found[group, a] * (1 - position + a) + found[group, b] * (position - a)
 
-    values = [[between(group, p) for p in probs] for group in groups]
-    return _table(base, keys, list(groups), **dict(zip(names, zip(*values))))
+    values = [[between(group, p) for p in probs] for group in totals]
+    return _table(base, keys, list(totals), **dict(zip(names, zip(*values))))
 
 
 def _table(df: DataFrame, keys: list[str], groups: list[tuple], **columns: Sequence) -> DataFrame:
@@ -90,33 +83,49 @@ def _table(df: DataFrame, keys: list[str], groups: list[tuple], **columns: Seque
     return table.select(*[F.col(k).cast(kinds[k]) for k in keys], *columns)
 
 
-def _locate(base: DataFrame, keys: list[str], spans: list[_Span], small_rows: int) -> dict[tuple, float]:
-    """Value at every wanted rank: cut the open spans until each holds one value."""
-    found: dict[tuple, float] = {}
-    last = None
-    while True:
-        found |= {(s.group, r): s.lo for s in spans if s.lo == s.hi for r in s.ranks}
-        spans = [s for s in spans if s.lo != s.hi]
-        if not spans:
-            return found
-        rows = sum(s.rows for s in spans)
-        # Few rows are ranked one by one; so are ranges too narrow for a width.
-        by_value = rows <= small_rows or [(s.lo, s.hi) for s in spans] == last
-        last = [(s.lo, s.hi) for s in spans]
-        spans = _cut(base, keys, spans, by_value)
+def _log_cell(v: Column) -> Column:
+    """Cell number that never falls as the value grows; 0 is a cell of its own."""
+    # The logarithm of a DOUBLE lies between -746 and 710.
+    size = F.floor(F.log(F.abs(v)) * LOG_CELLS) + 750 * LOG_CELLS
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("long"))
 
 
-def _cell(v: Column, lo: Column, hi: Column) -> Column:
-    """Cell number of a value, never falling as the value grows.
+def _equal_cell(v: Column, lo: Column, hi: Column) -> Column:
+    return F.floor((v - lo) / (hi - lo) * CELLS)
+
+
+def _holding(cells: DataFrame, ids: list[str], below: Column, ranks: Column) -> DataFrame:
+    """Of counted cells (``part, rows, part_lo, part_hi``) those that hold one of the ``ranks``, as ``held``."""
+    earlier = Window.partitionBy(*ids).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    start, end = F.col("from"), F.col("from") + F.col("rows")
+    return (
+        cells.withColumn("from", below + F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+        .withColumn("held", F.filter(ranks, lambda r: (r >= start) & (r < end)))
+        .where(F.size("held") > 0)
+    )
 
-    Halved ends keep the width finite even for the widest DOUBLE range.
-    """
-    width = hi * 0.5 - lo * 0.5
-    share = (v * 0.5 - lo * 0.5) / width
-    return F.when(width > 0, F.least(F.floor(share * CELLS).cast("int"), F.lit(CELLS - 1))).otherwise(0)
 
+_COUNTS = (F.count, F.min, F.max)
 
-def _cut(base: DataFrame, keys: list[str], spans: list[_Span], by_value: bool) -> list[_Span]:
+
+def _counted(rows: DataFrame, ids: Sequence[Column | str], part: Column) -> DataFrame:
+    return rows.groupBy(*ids, part.alias("part")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(_V).alias("part_lo"), F.max(_V).alias("part_hi")
+    )
+
+
+def _first_cut(base: DataFrame, keys: list[str], probs: Sequence[float]) -> list[_Span]:
+    """The logarithmic cells of each group that hold a wanted rank."""
+    cells = _counted(base, keys, _log_cell(F.col(_V))).withColumn("total", F.sum("rows").over(Window.partitionBy(*keys)))
+    places = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
+    ranks = F.array_distinct(F.array(*[f(x) for x in places for f in (F.floor, F.ceil)]))
+    held = _holding(cells, keys, F.lit(0), ranks)
+    return [
+        _Span(tuple(r[k] for k in keys), r.part_lo, r.part_hi, r["from"], r.total, r.held) for r in held.collect()
+    ]
+
+
+def _cut(base: DataFrame, keys: list[str], spans: list[_Span], part) -> list[_Span]:
     """The parts of the spans that hold a wanted rank."""
     wanted = _table(
         base,
@@ -130,15 +139,8 @@ def _cut(base: DataFrame, keys: list[str], spans: list[_Span], by_value: bool) -
     )
     # Spans of a group do not overlap, so a row meets at most one of them.
     inside = base.join(F.broadcast(wanted), keys).where(F.col(_V).between(F.col("lo"), F.col("hi")))
-    part = F.col(_V) if by_value else _cell(F.col(_V), F.col("lo"), F.col("hi"))
-    earlier = Window.partitionBy("span").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    start, end = F.col("from"), F.col("from") + F.col("rows")
-    held = (
-        inside.groupBy("span", "below", "ranks", part.alias("part"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.min(_V).alias("part_lo"), F.max(_V).alias("part_hi"))
-        .withColumn("from", F.col("below") + F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
-        .withColumn("held", F.filter("ranks", lambda r: (r >= start) & (r < end)))
-        .where(F.size("held") > 0)
-        .select("span", "part_lo", "part_hi", "from", "rows", "held")
-    )
-    return [_Span(spans[r.span].group, r.part_lo, r.part_hi, r["from"], r.rows, r.held) for r in held.collect()]
+    cells = _counted(inside, ["span", "below", "ranks"], part(F.col(_V), F.col("lo"), F.col("hi")))
+    held = _holding(cells, ["span"], F.col("below"), F.col("ranks"))
+    return [
+        _Span(spans[r.span].group, r.part_lo, r.part_hi, r["from"], spans[r.span].total, r.held) for r in held.collect()
+    ]

@@ -83,24 +83,43 @@ def _numbered(df: DataFrame, roles: Roles, state: str, rows_per_chunk: int) -> D
     key they are already partitioned by.
     """
     keys = [*roles.keys, CHUNK]
-    inside = Window.partitionBy(*[col(k) for k in keys]).orderBy(*[col(c) for c in roles.order])
     s = col(state)
-    stepped = (
-        with_chunks(df, roles, rows_per_chunk)
-        .withColumn("__prev", F.lag(s).over(inside))
-        .withColumn("__next", F.lead(s).over(inside))
-        .withColumn("__step", F.coalesce((F.col("__prev") != s).cast("long"), F.lit(0)))
-        .withColumn("__local", F.sum("__step").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    )
+    stepped = _stepped(df, roles, state, rows_per_chunk)
     ends = stepped.groupBy(*[col(k) for k in keys]).agg(
         F.max("__local").alias("__steps"),
         F.max(F.when(F.col("__prev").isNull(), s)).alias("__first"),
         F.max(F.when(F.col("__next").isNull(), s)).alias("__last"),
     )
-    # Without units this window holds at most one row per chunk, a bounded number.
+    offsets = _offsets(ends, roles)
+    return (
+        stepped.join(offsets, keys)
+        .withColumn("block", F.col("__before") + F.col("__local"))
+        .withColumn("__next", F.coalesce("__next", "__following"))
+    )
+
+
+def _stepped(df: DataFrame, roles: Roles, state: str, rows_per_chunk: int) -> DataFrame:
+    """Rows with the states before and after them and the number of changes so far, all inside their chunk."""
+    chunked = with_chunks(df, roles, rows_per_chunk)
+    # Rows without an id that agree in everything are interchangeable; others get one order by content.
+    ties = [] if roles.row_id else [F.xxhash64(*[col(c) for c in df.columns])]
+    inside = Window.partitionBy(*[col(k) for k in [*roles.keys, CHUNK]]).orderBy(*[col(c) for c in roles.order], *ties)
+    s = col(state)
+    return (
+        chunked.withColumn("__prev", F.lag(s).over(inside))
+        .withColumn("__next", F.lead(s).over(inside))
+        .withColumn("__step", F.coalesce((F.col("__prev") != s).cast("long"), F.lit(0)))
+        .withColumn("__local", F.sum("__step").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+
+
+def _offsets(ends: DataFrame, roles: Roles) -> DataFrame:
+    """Per chunk the blocks before its first (``__before``) and the state that follows it."""
+    keys = [*roles.keys, CHUNK]
+    # One row per chunk, a millionth of the rows.
     across = Window.partitionBy(*[col(k) for k in roles.keys] or [F.lit(0)]).orderBy(CHUNK)
     joint = F.coalesce((F.lag("__last").over(across) != F.col("__first")).cast("long"), F.lit(0))
-    offsets = ends.withColumn("__joint", joint).select(
+    return ends.withColumn("__joint", joint).select(
         *[col(k) for k in keys],
         (
             F.sum(F.col("__steps") + F.col("__joint")).over(across.rowsBetween(Window.unboundedPreceding, 0))
@@ -108,31 +127,45 @@ def _numbered(df: DataFrame, roles: Roles, state: str, rows_per_chunk: int) -> D
         ).alias("__before"),
         F.lead("__first").over(across).alias("__following"),
     )
-    return (
-        stepped.join(offsets, keys)
-        .withColumn("block", F.col("__before") + F.col("__local"))
-        .withColumn("__next", F.coalesce("__next", "__following"))
-    )
 
 
 def status_runs(df: DataFrame, roles: Roles, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """``(block, status, x0, x1, n)``: maximal stretches of equal status.
 
     ``x1`` is the last time inside the run, one minute later for a run of one instant.
-    A table without readiness has no runs.
+    A table without readiness has no runs. The rows are sorted once, inside their chunks, and
+    give the runs of each chunk; only these are shuffled again, numbered and stitched across chunks.
     """
     d = _timed(df, roles, [status(df, roles).alias("status")])
     if roles.ready is None or roles.on is None:
         d = d.limit(0)
-    runs = (
-        _numbered(d, roles, "status", rows_per_chunk)
-        .groupBy(*[col(k) for k in roles.keys], "block")
+    keys = [col(k) for k in [*roles.keys, CHUNK]]
+    pieces = (
+        _stepped(d, roles, "status", rows_per_chunk)
+        .groupBy(*keys, "__local")
         .agg(
             F.max("status").alias("status"),
             F.min(col(roles.time)).alias("x0"),
             F.max(col(roles.time)).alias("__end"),
             F.count(F.lit(1)).alias("n"),
         )
+        .repartition(*keys)  # the exchange that the summary and the join below share
+    )
+    ends = pieces.groupBy(*keys).agg(
+        F.max("__local").alias("__steps"),
+        F.max(F.when(F.col("__local") == 0, F.col("status"))).alias("__first"),
+        F.max_by("status", "__local").alias("__last"),
+    )
+    runs = (
+        pieces.join(_offsets(ends, roles), [*roles.keys, CHUNK])
+        .withColumn("block", F.col("__before") + F.col("__local"))
+        .groupBy(*[col(k) for k in roles.keys], "block")
+        .agg(
+            F.max("status").alias("status"),
+            F.min("x0").alias("x0"),
+            F.max("__end").alias("__end"),
+            F.sum("n").alias("n"),
+        )
     )
     x1 = F.when(F.col("__end") == F.col("x0"), F.col("__end") + S.interval_literal(ZERO_LENGTH_SECONDS))
     return runs.select(

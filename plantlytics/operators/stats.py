@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plantlytics.functions import scalars as S
 from plantlytics.operators.filters import ready_filter
-from plantlytics.operators.quantiles import SMALL_ROWS, quantiles
+from plantlytics.operators.quantiles import quantiles
 from plantlytics.roles import CONTROL_CATEGORY, CONTROL_WORDS, PROCESS_CATEGORY, Roles, col, quoted
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -54,22 +54,19 @@ def _with_all_states(stats: DataFrame, kpis: Sequence[str], counts: Sequence[str
     return _states(stats, kpis).join(F.broadcast(stats), GROUP, "left").fillna(0, list(counts))
 
 
-def _quartiles(long: DataFrame, keys: Sequence[str], small_rows: int) -> DataFrame:
-    return quantiles(long, keys, "value", QUARTILES, QUARTILE_NAMES, small_rows)
+def _quartiles(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return quantiles(long, keys, "value", QUARTILES, QUARTILE_NAMES)
 
 
-def onoff_quartiles(
-    df: DataFrame, roles: Roles, kpis: Sequence[str], small_rows: int = SMALL_ROWS
-) -> DataFrame:
+def onoff_quartiles(df: DataFrame, roles: Roles, kpis: Sequence[str]) -> DataFrame:
     """Quartiles per KPI and state on ready rows: pass them on where several tables need them."""
-    return _quartiles(ready_values(df, roles, kpis), GROUP, small_rows)
+    return _quartiles(ready_values(df, roles, kpis), GROUP)
 
 
 def onoff_stats(
     df: DataFrame,
     roles: Roles,
     kpis: Sequence[str],
-    small_rows: int = SMALL_ROWS,
     quartiles: DataFrame | None = None,
 ) -> DataFrame:
     """Per KPI and state on ready rows: records, values, mean, sample deviation, min, quartiles, max.
@@ -87,7 +84,7 @@ def onoff_stats(
         F.max(v).alias("max"),
     )
     if quartiles is None:
-        quartiles = _quartiles(long, GROUP, small_rows)
+        quartiles = _quartiles(long, GROUP)
     stats = basic.join(F.broadcast(quartiles), GROUP, "left")
     return _with_all_states(stats, kpis, ["n", "valid_n"]).select(
         *GROUP, "n", "valid_n", "mean", "std", "min", *QUARTILE_NAMES, "max"
@@ -125,15 +122,13 @@ def onoff_means(df: DataFrame, roles: Roles, kpis: Sequence[str]) -> DataFrame:
     return one.select("kpi", F.inline(F.array(*rows)), "t_min", "t_max").where(F.col("mean").isNotNull())
 
 
-def onoff_stats_compact(
-    df: DataFrame, roles: Roles, kpis: Sequence[str], small_rows: int = SMALL_ROWS
-) -> DataFrame:
+def onoff_stats_compact(df: DataFrame, roles: Roles, kpis: Sequence[str]) -> DataFrame:
     """Short form of the statistics, four decimals, without rows for absent states."""
-    full = onoff_stats(df, roles, kpis, small_rows).where(F.col("n") > 0)
+    full = onoff_stats(df, roles, kpis).where(F.col("n") > 0)
     return full.select(*GROUP, "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max", "median")])
 
 
-def describe_profile(df: DataFrame, kpis: Sequence[str], small_rows: int = SMALL_ROWS) -> DataFrame:
+def describe_profile(df: DataFrame, kpis: Sequence[str]) -> DataFrame:
     """Per column: values, missing, mean, deviation, min, quartiles, max over all rows."""
     long = unpivot_numeric(df, kpis)
     v = F.col("value")
@@ -145,14 +140,14 @@ def describe_profile(df: DataFrame, kpis: Sequence[str], small_rows: int = SMALL
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     )
-    joined = basic.join(F.broadcast(_quartiles(long, ["kpi"], small_rows)), "kpi", "left")
+    joined = basic.join(F.broadcast(_quartiles(long, ["kpi"])), "kpi", "left")
     return joined.select("kpi", "count", "null_count", "mean", "std", "min", *QUARTILE_NAMES, "max")
 
 
-def _fences(long: DataFrame, small_rows: int, quartiles: DataFrame | None) -> DataFrame:
+def _fences(long: DataFrame, quartiles: DataFrame | None) -> DataFrame:
     spread = F.col("q3") - F.col("q1")
     if quartiles is None:
-        quartiles = _quartiles(long, GROUP, small_rows)
+        quartiles = _quartiles(long, GROUP)
     return (
         quartiles.withColumn("fence_lo", F.col("q1") - FENCE * spread)
         .withColumn("fence_hi", F.col("q3") + FENCE * spread)
@@ -163,12 +158,11 @@ def box_summary(
     df: DataFrame,
     roles: Roles,
     kpis: Sequence[str],
-    small_rows: int = SMALL_ROWS,
     quartiles: DataFrame | None = None,
 ) -> DataFrame:
     """Per KPI and state on ready rows: records, quartiles, mean, whiskers, number of outliers."""
     long = ready_values(df, roles, kpis)
-    fences = _fences(long, small_rows, quartiles)
+    fences = _fences(long, quartiles)
     v = F.col("value")
     inside = v.between(F.col("fence_lo"), F.col("fence_hi"))
     # The fences have two rows per KPI.
@@ -193,13 +187,12 @@ def box_outliers(
     df: DataFrame,
     roles: Roles,
     kpis: Sequence[str],
-    small_rows: int = SMALL_ROWS,
     quartiles: DataFrame | None = None,
 ) -> DataFrame:
     """Every ready row whose value lies beyond the fences of its state."""
     ids = [col(c) for c in roles.order]
     long = ready_values(df, roles, kpis, ids)
-    fences = _fences(long, small_rows, quartiles).select(*GROUP, "fence_lo", "fence_hi")
+    fences = _fences(long, quartiles).select(*GROUP, "fence_lo", "fence_hi")
     outside = ~F.col("value").between(F.col("fence_lo"), F.col("fence_hi"))
     return (
         long.join(F.broadcast(fences), GROUP).where(outside).select(*ids, *GROUP, "value")

@@ -197,6 +197,7 @@ SELECT state, count(*) AS records, {_r('100.0 * count(*) / CAST(sum(count(*)) OV
 FROM s GROUP BY state""",
     "status_timeline": f"WITH {TELE} SELECT row_id, datetime, {STATUS} AS status FROM tele",
     "status_runs": _runs(TELE),
+    "status_runs_no_row_id": _runs(TELE),
     "status_runs_hot_instant": _runs(HOT),
     "status_runs_by_unit": f"""WITH {TELE},
 s AS (SELECT unit, row_id, datetime, {STATUS} AS status FROM tele),
@@ -277,8 +278,8 @@ long AS (SELECT 'kpi_txt' AS kpi, {_num('kpi_txt')} AS value FROM dirty
     "box_outliers": f"""WITH {_fences(LONG)}
 SELECT datetime, row_id, kpi, "on", value FROM long JOIN f USING (kpi, "on") WHERE NOT value BETWEEN lo AND hi""",
     "padded_range": f"""WITH e AS (
-  SELECT least(min(l_quantity), min(l_discount), min(l_tax)) AS lo,
-         greatest(max(l_quantity), max(l_discount), max(l_tax)) AS hi FROM lineitem)
+  SELECT least(min(l_quantity), min(l_extendedprice), min(l_discount), min(l_tax)) AS lo,
+         greatest(max(l_quantity), max(l_extendedprice), max(l_discount), max(l_tax)) AS hi FROM lineitem)
 SELECT {_r('lo - 0.1 * (hi - lo)')} AS y_min, {_r('hi + 0.1 * (hi - lo)')} AS y_max FROM e WHERE hi > lo""",
     "binary_signal_profile": f"""WITH {TELE},
 wide AS (SELECT kpi AS a, CAST(on_flag AS DOUBLE) AS b, CAST(ready AS DOUBLE) AS c, on_flag + 0.25 AS d,
@@ -294,7 +295,7 @@ SELECT CAST(min(datetime) AS DATE) AS first_day, CAST(max(datetime) AS DATE) AS
        CAST(date_diff('day', CAST(min(datetime) AS DATE), CAST(max(datetime) AS DATE)) + 1 AS INT) AS days
 FROM tele""",
     "kde_counts": _kde(LONG),
-    "kde_counts_by_kpi": _kde(SHIPMENTS, "kpi <> 'l_extendedprice'"),
+    "kde_counts_by_kpi": _kde(SHIPMENTS),
     "kde_counts_row_scale": _kde(
         f"""{DIRTY},
 long AS (SELECT 'kpi_txt' AS kpi, CAST(coalesce({_num('"X_ON"')} >= 1, FALSE) AS INT) AS "on", {_num('kpi_txt')} AS value

@@ -27,9 +27,8 @@ QUERIES: dict[str, Query] = {}
 START, END = dt.date(2024, 1, 5), dt.date(2024, 1, 14)
 RANGES = {"l_quantity": (10.0, 24.0), "l_discount": (0.02, 0.08), "no_such_column": (0.0, 1.0)}
 WANTED = {"l_quantity": (-5.0, 20.0), "l_extendedprice": (-1.0, 1e12), "l_tax": (0.05, 0.02)}
-# Low limits, so that the queries take the way large tables take.
+# A low limit, so that the queries take the way large tables take.
 CHUNK_ROWS = 2_000
-FEW_ROWS = 2_000
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -74,6 +73,11 @@ def status_runs(spark, sf_dir):
     return states.status_runs(tm.tele(spark, sf_dir), ROLES, CHUNK_ROWS)
 
 
+@query
+def status_runs_no_row_id(spark, sf_dir):
+    return states.status_runs(tm.tele(spark, sf_dir), Roles("datetime", "on_flag", "ready"), CHUNK_ROWS)
+
+
 @query
 def status_runs_hot_instant(spark, sf_dir):
     return states.status_runs(tm.hot_orders(spark, sf_dir), ROLES, CHUNK_ROWS)
@@ -207,7 +211,7 @@ def onoff_stats(spark, sf_dir):
 
 @query
 def onoff_stats_by_kpi(spark, sf_dir):
-    return stats.onoff_stats(tm.shipments(spark, sf_dir), ROLES, LINEITEM_KPIS, FEW_ROWS)
+    return stats.onoff_stats(tm.shipments(spark, sf_dir), ROLES, LINEITEM_KPIS)
 
 
 @query
@@ -237,12 +241,12 @@ def describe_profile(spark, sf_dir):
 
 @query
 def describe_profile_dirty(spark, sf_dir):
-    return stats.describe_profile(tm.dirty(spark, sf_dir), ["kpi_txt", "X_ON", "X_READY"], FEW_ROWS)
+    return stats.describe_profile(tm.dirty(spark, sf_dir), ["kpi_txt", "X_ON", "X_READY"])
 
 
 @query
 def box_summary(spark, sf_dir):
-    return stats.box_summary(tm.tele(spark, sf_dir), ROLES, ["kpi"], FEW_ROWS)
+    return stats.box_summary(tm.tele(spark, sf_dir), ROLES, ["kpi"])
 
 
 @query
@@ -257,7 +261,7 @@ def box_outliers(spark, sf_dir):
 
 @query
 def padded_range(spark, sf_dir):
-    return stats.padded_range(tm.table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
+    return stats.padded_range(tm.table(spark, sf_dir, "lineitem"), LINEITEM_KPIS)
 
 
 @query
@@ -286,7 +290,7 @@ def kde_counts(spark, sf_dir):
 
 @query
 def kde_counts_by_kpi(spark, sf_dir):
-    return distribution.kde_counts(tm.shipments(spark, sf_dir), ROLES, ["l_quantity", "l_discount", "l_tax"])
+    return distribution.kde_counts(tm.shipments(spark, sf_dir), ROLES, LINEITEM_KPIS)
 
 
 @query

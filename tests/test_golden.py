@@ -60,9 +60,8 @@ def test_block_points(golden, roles, rows):
     assert {(p.block, p.block_state) for p in points} == {(1, 1), (2, 0), (3, 1), (4, 0)}
 
 
-@pytest.mark.parametrize("small_rows", [0, 3, 1000])
-def test_onoff_stats(golden, roles, small_rows):
-    off, on = stats.onoff_stats(golden, roles, ["kpi"], small_rows).orderBy("on").collect()
+def test_onoff_stats(golden, roles):
+    off, on = stats.onoff_stats(golden, roles, ["kpi"]).orderBy("on").collect()
     assert (off.n, off.valid_n, off.mean, off["min"], off.q1, off.median, off.q3, off["max"]) == (
         5, 4, 23.0, 20.0, 21.5, 23.0, 24.5, 26.0)
     assert off.std == pytest.approx(2.581988897, abs=1e-9)
@@ -71,16 +70,15 @@ def test_onoff_stats(golden, roles, small_rows):
     assert on.std == pytest.approx(39.034173062, abs=1e-9)
 
 
-@pytest.mark.parametrize("small_rows", [0, 1000])
-def test_absent_state_and_empty_kpi(golden, roles, small_rows):
+def test_absent_state_and_empty_kpi(golden, roles):
     df = golden.where("on = 0").withColumn("gone", F.lit(None).cast("double"))
-    rows = {(r.kpi, r.on): r for r in stats.onoff_stats(df, roles, ["kpi", "gone"], small_rows).collect()}
+    rows = {(r.kpi, r.on): r for r in stats.onoff_stats(df, roles, ["kpi", "gone"]).collect()}
     assert len(rows) == 4
     assert (rows["kpi", 1].n, rows["kpi", 1].valid_n, rows["kpi", 1].mean) == (0, 0, None)
     assert (rows["gone", 0].n, rows["gone", 0].valid_n, rows["gone", 0].median) == (5, 0, None)
-    compact = stats.onoff_stats_compact(df, roles, ["kpi", "gone"], small_rows).collect()
+    compact = stats.onoff_stats_compact(df, roles, ["kpi", "gone"]).collect()
     assert {(r.kpi, r.on) for r in compact} == {("kpi", 0), ("gone", 0)}
-    box = {(r.kpi, r.on): r for r in stats.box_summary(df, roles, ["kpi"], small_rows).collect()}
+    box = {(r.kpi, r.on): r for r in stats.box_summary(df, roles, ["kpi"]).collect()}
     assert (box["kpi", 1].n, box["kpi", 1].median, box["kpi", 1].outliers) == (0, None, 0)
 
 
@@ -93,12 +91,11 @@ def test_delta(golden, roles):
     assert (row.delta, row.delta_pct, row.delta_text) == (1.25, None, "N/A")
 
 
-@pytest.mark.parametrize("small_rows", [0, 1000])
-def test_box(golden, roles, small_rows):
-    off, on = stats.box_summary(golden, roles, ["kpi"], small_rows).orderBy("on").collect()
+def test_box(golden, roles):
+    off, on = stats.box_summary(golden, roles, ["kpi"]).orderBy("on").collect()
     assert (off.n, off.whisker_lo, off.whisker_hi, off.outliers) == (5, 20.0, 26.0, 0)
     assert (on.n, on.whisker_lo, on.whisker_hi, on.outliers) == (4, 10.0, 14.0, 1)
-    outliers = stats.box_outliers(golden, roles, ["kpi"], small_rows).collect()
+    outliers = stats.box_outliers(golden, roles, ["kpi"]).collect()
     assert [(r.row_id, r.on, r.value) for r in outliers] == [(10, 1, 90.0)]
 
 

@@ -8,21 +8,21 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plantlytics.operators import ordering, quantiles, states
+from plantlytics.operators import quantiles, states
 from plantlytics.operators.ordering import CHUNK, with_chunks
 from plantlytics.roles import Roles
 
 PROBS, NAMES = (0.25, 0.5, 0.75), ("q1", "median", "q3")
 
 
-def exact(df, small_rows):
-    got = quantiles.quantiles(df, ["g"], "v", PROBS, NAMES, small_rows).collect()
+def exact(df):
+    got = quantiles.quantiles(df, ["g"], "v", PROBS, NAMES).collect()
     return {r.g: (r.q1, r.median, r.q3) for r in got}
 
 
-def assert_same(df, small_rows):
+def assert_same(df):
     want = df.where("v IS NOT NULL").groupBy("g").agg(F.percentile("v", list(PROBS)).alias("q")).collect()
-    got = exact(df, small_rows)
+    got = exact(df)
     assert got.keys() == {r.g for r in want}
     for r in want:
         assert got[r.g] == pytest.approx(tuple(r.q), rel=1e-12, abs=1e-300)
@@ -32,8 +32,7 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "g string, v double")
 
 
-@pytest.mark.parametrize("small_rows", [0, 50])
-def test_quantiles_of_uneven_groups(spark, small_rows):
+def test_quantiles_of_uneven_groups(spark):
     rng = random.Random(3)
     rows = [("glitch", rng.gauss(50, 1)) for _ in range(2000)] + [("glitch", 1e300), ("glitch", -1e12)]
     rows += [("ties", float(rng.randint(0, 3))) for _ in range(3000)]
@@ -41,19 +40,31 @@ def test_quantiles_of_uneven_groups(spark, small_rows):
     rows += [("wide", s * 10.0**e) for e in range(-300, 308, 7) for s in (1, -1)]
     rows += [("tiny", k * 5e-324) for k in range(9)]
     rows += [("ends", -1.7e308), ("ends", 1.7e308), ("ends", 3.0), ("ends", 3.5), ("ends", -2.0)]
-    assert_same(frame(spark, rows), small_rows)
+    assert_same(frame(spark, rows))
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.floats(allow_nan=False, allow_infinity=False, width=64), min_size=1, max_size=60))
 def test_quantiles_of_any_floats(spark, values):
     values = [v for v in values if abs(v) < 1e300] or [0.0]
-    assert_same(frame(spark, [("g", v) for v in values]), 0)
+    assert_same(frame(spark, [("g", v) for v in values]))
 
 
 def test_quantile_pass_shuffles_no_rows(spark):
     df = spark.range(200_000).select(F.lit("g").alias("g"), F.rand(5).alias("v"))
-    assert_same(df, 1000)
+    assert_same(df)
+
+
+@pytest.mark.parametrize("spread", [1, 300])
+def test_quantiles_take_three_scans_at_most(spark, spread, monkeypatch):
+    rng = random.Random(4)
+    rows = [("g", rng.choice([-1, 1]) * 10.0 ** rng.uniform(-spread, spread)) for _ in range(20_000)]
+    counted, scans = quantiles._counted, []
+    monkeypatch.setattr(quantiles, "_counted", lambda *a: scans.append(1) or counted(*a))
+    one = exact(frame(spark, rows))
+    assert len(scans) <= 3
+    assert exact(frame(spark, rows).repartition(7)) == one
+    assert_same(frame(spark, rows))
 
 
 def telemetry(spark, rows):
@@ -108,10 +119,23 @@ def test_hot_instant_is_split(spark):
     assert order == sorted(order)
 
 
-def test_chunk_count_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "MAX_CHUNKS", 5)
+def test_chunks_follow_the_rows(spark):
     df = telemetry(spark, random_rows(2, 1000, 0.0, 400))
-    assert with_chunks(df, ROLES, 10).select(CHUNK).distinct().count() <= 5
+    few, many = (with_chunks(df, ROLES, n).select(CHUNK).distinct().count() for n in (100, 10))
+    assert few <= 11 and many > 50
+
+
+def test_hot_instant_needs_row_ids(spark):
+    df = telemetry(spark, random_rows(1, 1000, 0.5))
+    with pytest.raises(ValueError, match="row_id"):
+        with_chunks(df, Roles("t", "on", "ready"), 100)
+
+
+def test_ties_without_row_id_have_one_order(spark):
+    df = telemetry(spark, random_rows(3, 1000, 0.0, 400)).drop("row_id")
+    roles = Roles("t", "on", "ready")
+    one, two = (sorted(states.status_runs(d, roles, 100).collect()) for d in (df, df.repartition(5)))
+    assert one == two
 
 
 def test_empty_table(spark):
