@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plantlytics.functions import scalars as S
 from plantlytics.roles import TIME, Roles, col
@@ -36,10 +37,11 @@ def bucket_ohlc(
     if width_seconds is None:
         width_seconds = bucket_width(df, roles.time).first()["width_seconds"]
     v = F.col("__main")
-    order = F.struct(*[F.col(f"__o{i}") for i in range(len(roles.order))])
+    order = F.col("__order")
     rows = df.where(col(roles.time).isNotNull()).select(
         S.num(df, main).alias("__main"),
-        *[col(c).alias(f"__o{i}") for i, c in enumerate(roles.order)],
+        _order(df, roles).alias("__order"),
+        col(roles.time).alias("__o0"),
         *[S.flag_int(df, c).alias(f"__f_{c}") for c in _flags(df, roles)],
         *[S.num(df, c).alias(f"__k{i}") for i, c in enumerate(others)],
     )
@@ -59,5 +61,21 @@ def bucket_ohlc(
     return out.select(time, *[col(c) for c in out.columns if c != "__start"])
 
 
+def _order(df: DataFrame, roles: Roles) -> Column:
+    """Time and ``row_id`` as one number of fixed width, which a hash aggregate can hold; a struct would need a sort.
+
+    Ids that are no whole numbers keep the struct.
+    """
+    at = S.micros(col(roles.time))
+    if roles.row_id is None:
+        return at
+    if not isinstance(df.schema[roles.row_id].dataType, T.IntegralType):
+        return F.struct(at, col(roles.row_id))
+    # Ids span less than 2e19 and microseconds of dates up to the year 9999 less than 1e18. A row without an id comes
+    # before all others of its time, as it does in a sort.
+    rid = F.coalesce(col(roles.row_id).cast("decimal(20,0)"), F.lit(str(-(10**19))).cast("decimal(20,0)"))
+    return (at.cast("decimal(18,0)") * F.lit(str(2 * 10**19)).cast("decimal(20,0)") + rid).cast("decimal(38,0)")
+
+
 def _flags(df: DataFrame, roles: Roles) -> list[str]:
     return [c for c in (roles.on, roles.ready) if c and c in df.columns]

@@ -1,6 +1,7 @@
 """The ways large tables take, against plain Spark on small ones."""
 
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plantlytics.operators import quantiles, states
+from plantlytics.operators import distribution, quantiles, rollup, states
 from plantlytics.operators.ordering import CHUNK, with_chunks
 from plantlytics.roles import Roles
 
@@ -144,6 +145,14 @@ def test_empty_table(spark):
     assert states.state_blocks(df, ROLES, []).count() == 0
 
 
+def test_density_shuffles_no_value_and_buckets_need_no_sort(spark, golden):
+    roles = Roles("datetime", "on", "ready", "row_id")
+    curve = distribution.kde_counts(golden, roles, ["kpi"])._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*value", curve)
+    ohlc = rollup.bucket_ohlc(golden, roles, "kpi", [], 3600)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in ohlc and "SortAggregate" not in ohlc
+
+
 @pytest.mark.parametrize("hot_share", [0.0, 0.5])
 def test_both_branches_share_one_shuffle(spark, hot_share):
     df = telemetry(spark, random_rows(5, 3000, hot_share, 400))
