@@ -142,13 +142,9 @@ binned AS (SELECT kpi, "on", lo, (hi - lo) / 40 AS width,
            FROM long JOIN ends USING (kpi) WHERE value IS NOT NULL AND {where})"""
 
 
-def _deltas(source: str, text: bool) -> str:
-    label = (
-        """, CASE WHEN mean_off = 0 THEN 'N/A' ELSE
+def _deltas(source: str) -> str:
+    label = """, CASE WHEN mean_off = 0 THEN 'N/A' ELSE
         format('{:+.2f} ({:+.2f}%)', mean_on - mean_off, 100.0 * (mean_on - mean_off) / mean_off) END AS delta_text"""
-        if text
-        else ""
-    )
     return f"""WITH {source},
 m AS (SELECT kpi, avg(value) FILTER (WHERE "on" = 1) AS mean_on, avg(value) FILTER (WHERE "on" = 0) AS mean_off
       FROM long GROUP BY kpi)
@@ -254,8 +250,8 @@ SELECT count(*) AS rows_before, count(*) FILTER (WHERE ok) AS rows_after,
 FROM k""",
     "onoff_stats": _onoff_stats(LONG),
     "onoff_stats_by_kpi": _onoff_stats(SHIPMENTS),
-    "onoff_delta": _deltas(LONG, True),
-    "onoff_delta_by_kpi": _deltas(SHIPMENTS, False),
+    "onoff_delta": _deltas(LONG),
+    "onoff_delta_by_kpi": _deltas(SHIPMENTS),
     "onoff_means": f"""WITH {LONG},
 e AS (SELECT min(datetime) AS t_min, max(datetime) AS t_max FROM long)
 SELECT kpi, "on", {_r('avg(value)')} AS mean, min(t_min) AS t_min, min(t_max) AS t_max

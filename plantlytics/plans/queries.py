@@ -221,7 +221,7 @@ def onoff_delta(spark, sf_dir):
 
 @query
 def onoff_delta_by_kpi(spark, sf_dir):
-    return stats.onoff_delta(tm.shipments(spark, sf_dir), ROLES, LINEITEM_KPIS).drop("delta_text")
+    return stats.onoff_delta(tm.shipments(spark, sf_dir), ROLES, LINEITEM_KPIS)
 
 
 @query
