@@ -13,10 +13,11 @@ SPAN = 5
 #: Features of the statistic vector, and the least standard deviation each is taken to have: a feature that hardly varies rejects nothing.
 FEATURES = ("x0", "x1", "x2", "x3")
 LEAST_SD = (0.3, 0.08, 0.4, 0.03)
-#: Share of a group that the covariance is fitted to, C-steps, and rows that a group needs (else its language stands in).
-SHARE, STEPS, LEAST_ROWS = 0.75, 4, 100
-#: Median of chi-square with four degrees, by which distances are made consistent, and the squared distance of rejection.
-CHI2_MEDIAN, CUT = 3.3567, 60.0
+#: Rows that a group needs (else its language stands in), and the fall of a log determinant below which C-steps have ended.
+LEAST_ROWS, STILL = 100, 1e-3
+#: Chi-square with four degrees: factors that make the covariance of the nearest half, and of the rows within the 0.975
+#: quantile WITHIN, consistent; and the squared distance of rejection, which one normal row in 3e11 exceeds.
+HALF_FACTOR, WITHIN, WITHIN_FACTOR, CUT = 2.1097, 11.143, 1.0645, 60.0
 #: Cells per unit in the histograms behind quantiles, and the widest logarithm of a squared distance they hold.
 CELLS = 200
 
@@ -67,16 +68,25 @@ def _quantiles(rows: DataFrame, keys: list[str], value: Column, shares: dict[str
         F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("all")), (F.col("cell") + 1) / CELLS)).alias(name) for name, q in shares.items()])
 
 
-def _whitening(moments: DataFrame) -> DataFrame:
-    """Means and the inverse Cholesky factor of the covariance (with floors on its diagonal): columns m0.., i00, i10, ..."""
+def _fit_columns() -> list[str]:
     p = len(FEATURES)
+    return [*[f"m{j}" for j in range(p)], *[f"i{i}{j}" for i in range(p) for j in range(i + 1)]]
+
+
+def _whitening(moments: DataFrame, factor: float) -> DataFrame:
+    """Means, the inverse Cholesky factor of ``factor`` times the covariance (with floors on its diagonal) and its log determinant.
+
+    Columns m0.., i00, i10, ... and det, beside those that are no sums.
+    """
+    p = len(FEATURES)
+    keys = [c for c in moments.columns if c in ("g", "s")]
     out = moments
     for j in range(p):
         out = out.withColumn(f"m{j}", F.col(f"s{j}") / F.col("k"))
     low: dict[tuple[int, int], Column] = {}
     for i in range(p):
         for j in range(i + 1):
-            cov = F.col(f"s{j}{i}") / F.col("k") - F.col(f"m{i}") * F.col(f"m{j}")
+            cov = factor * (F.col(f"s{j}{i}") / F.col("k") - F.col(f"m{i}") * F.col(f"m{j}"))
             for k in range(j):
                 cov = cov - low[i, k] * low[j, k]
             value = F.sqrt(F.greatest(cov, F.lit(0.0)) + LEAST_SD[i] ** 2) if i == j else cov / low[j, j]
@@ -92,7 +102,14 @@ def _whitening(moments: DataFrame) -> DataFrame:
                     value = value - low[i, k] * F.col(f"i{k}{j}")
                 value = value / low[i, i]
             out = out.withColumn(f"i{i}{j}", value)
-    return out.select("g", *[f"m{j}" for j in range(p)], *[f"i{i}{j}" for i in range(p) for j in range(i + 1)])
+    det = sum((2 * F.log(low[i, i]) for i in range(p)), F.lit(0.0))
+    return out.select(*keys, det.alias("det"), *_fit_columns())
+
+
+def _sums(weight: Column, x: list[Column]) -> list[Column]:
+    p = len(x)
+    return [F.sum(weight).alias("k"), *[F.sum(weight * x[j]).alias(f"s{j}") for j in range(p)],
+            *[F.sum(weight * x[j] * x[i]).alias(f"s{j}{i}") for i in range(p) for j in range(i + 1)]]
 
 
 def _distance() -> Column:
@@ -106,35 +123,79 @@ def _distance() -> Column:
     return total
 
 
-def covariance_determinant(rows: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant fit of each group ``g`` of rows with the FEATURES.
+def _starts(rows: DataFrame) -> DataFrame:
+    """First fits of each group: ``g, s`` and a fit each.
 
-    Starts from medians and quartile ranges; each C-step fits mean and covariance to the SHARE of the group that lies
-    nearest by the fit before. Steps are grouped sums and counted cells joined back by group, so a group may be of any
-    size; each step's small table is written to the shared folder. Returns per group the whitening, the number of
-    rows and ``scale``, the factor that makes squared distances consistent.
+    Start 0 has medians and median deviations. The others are moments of: the rows scaled by these and pressed by tanh, their
+    directions from the medians, and for each feature the rows up to and from its median, so that junk on one
+    side of any feature, up to half of the group, is left out by one of them.
     """
-    long = rows.select("g", F.posexplode(F.array(*FEATURES)).alias("f", "x"))
-    q = _quantiles(long, ["g", "f"], F.col("x"), {"lo": 0.25, "mid": 0.5, "hi": 0.75})
-    sd = F.greatest((F.col("hi") - F.col("lo")) / 1.349, F.element_at(F.array(*[F.lit(s) for s in LEAST_SD]), F.col("f") + 1))
-    start = q.groupBy("g").agg(*[F.max(F.when(F.col("f") == j, F.col("mid"))).alias(f"m{j}") for j in range(len(FEATURES))],
-                               *[F.max(F.when(F.col("f") == j, 1 / sd)).alias(f"i{j}{j}") for j in range(len(FEATURES))])
     p = len(FEATURES)
-    for i in range(p):
-        for j in range(i):
-            start = start.withColumn(f"i{i}{j}", F.lit(0.0))
-    fit = stored(start.select("g", *[f"m{j}" for j in range(p)], *[f"i{i}{j}" for i in range(p) for j in range(i + 1)]), "fit")
-    for _ in range(STEPS):
-        near = rows.join(fit, "g").select("g", *FEATURES, F.log1p(_distance()).alias("d"))
-        limit = stored(_quantiles(near, ["g"], F.col("d"), {"limit": SHARE}), "limit")
-        inner = near.join(limit, "g").where("d < limit")
-        sums = [F.sum(f"x{j}").alias(f"s{j}") for j in range(p)]
-        sums += [F.sum(F.col(f"x{j}") * F.col(f"x{i}")).alias(f"s{j}{i}") for i in range(p) for j in range(i + 1)]
-        fit = stored(_whitening(inner.groupBy("g").agg(F.count("*").cast("double").alias("k"), *sums)), "fit")
-    near = rows.join(fit, "g").select("g", F.log1p(_distance()).alias("d"))
-    middle = _quantiles(near, ["g"], F.col("d"), {"mid": 0.5}).select("g", F.greatest(F.expm1("mid") / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
-    sizes = rows.groupBy("g").agg(F.count("*").alias("rows"))
-    return stored(fit.join(middle, "g").join(sizes, "g"), "fit")
+    wide = lambda q, name, sign: q.groupBy("g").agg(*[F.max(F.when(F.col("f") == j, F.col(name))).alias(f"{sign}{j}") for j in range(p)])
+    long = rows.select("g", F.posexplode(F.array(*FEATURES)).alias("f", "x"))
+    middle = stored(wide(_quantiles(long, ["g", "f"], F.col("x"), {"mid": 0.5}), "mid", "c"), "middle")
+    away = rows.join(middle, "g").select("g", F.posexplode(F.array(*[F.abs(F.col(f"x{j}") - F.col(f"c{j}")) for j in range(p)])).alias("f", "x"))
+    spread = wide(_quantiles(away, ["g", "f"], F.col("x"), {"mad": 0.5}), "mad", "d")
+    scale = [F.greatest(1.4826 * F.col(f"d{j}"), F.lit(LEAST_SD[j])).alias(f"d{j}") for j in range(p)]
+    scale = stored(middle.join(spread, "g").select("g", *[f"c{j}" for j in range(p)], *scale), "scale")
+    first = scale.select("g", F.lit(0).alias("s"), F.lit(0.0).alias("det"), *[F.col(f"c{j}").alias(f"m{j}") for j in range(p)],
+                         *[(1 / F.col(f"d{i}") if i == j else F.lit(0.0)).alias(f"i{i}{j}") for i in range(p) for j in range(i + 1)])
+    known = rows.join(scale, "g")
+    x, c, d = ([F.col(f"{n}{j}") for j in range(p)] for n in "xcd")
+    z = [(x[j] - c[j]) / d[j] for j in range(p)]
+    norm = F.greatest(F.sqrt(sum((v * v for v in z), F.lit(0.0))), F.lit(1e-9))
+    shapes = [[c[j] + d[j] * F.tanh(z[j]) for j in range(p)], [c[j] + d[j] * z[j] / norm for j in range(p)]]
+    kinds = [F.struct(F.lit(n + 1).alias("s"), F.lit(1.0).alias("w"), *[v.alias(f"y{j}") for j, v in enumerate(y)]) for n, y in enumerate(shapes)]
+    for j in range(p):
+        for n, side in enumerate((x[j] <= c[j], x[j] >= c[j])):
+            kinds.append(F.struct(F.lit(3 + 2 * j + n).alias("s"), side.cast("double").alias("w"), *[v.alias(f"y{i}") for i, v in enumerate(x)]))
+    every = known.select("g", F.inline(F.array(*kinds))).where("w > 0")
+    others = _whitening(every.groupBy("g", "s").agg(*_sums(F.col("w"), [F.col(f"y{j}") for j in range(p)])), 1.0)
+    return first.unionByName(others)
+
+
+def covariance_determinant(rows: DataFrame) -> DataFrame:
+    """Minimum-covariance-determinant fit of each group ``g`` with LEAST_ROWS rows of the FEATURES.
+
+    From each of :func:`_starts`, C-steps fit mean and covariance to the half of the group, (n + p + 1) / 2 rows, that lies
+    nearest by the fit before, until the determinant falls no more; of all starts the least determinant counts, and the rows
+    within the 0.975 quantile of it give the final fit. Rows in the cell of distances that holds the last of the half share its
+    remaining weight. Steps are grouped sums and counted cells joined back by group, so a group may be of any size; each step's
+    small table is written to the shared folder. Returns per group the whitening and the number of rows.
+    """
+    p, columns = len(FEATURES), _fit_columns()
+    sizes = stored(rows.groupBy("g").agg(F.count("*").alias("rows")).where(F.col("rows") >= LEAST_ROWS), "sizes")
+    rows = rows.join(sizes.select("g"), "g", "left_semi")
+    x = [F.col(f) for f in FEATURES]
+    ended: list[DataFrame] = []
+    fit = stored(_starts(rows).withColumn("det", F.lit(float("inf"))).withColumn("turn", F.lit(0)), "fit")
+    turn = 0
+    while True:
+        turn += 1
+        near = rows.join(fit.select("g", "s", *columns), "g").select("g", "s", *FEATURES, F.floor(F.log1p(_distance()) * CELLS).alias("cell"))
+        run = Window.partitionBy("g", "s").orderBy("cell")
+        cells = near.groupBy("g", "s", "cell").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(run))
+        half = F.floor((F.sum("n").over(Window.partitionBy("g", "s")) + (p + 1)) / 2)
+        edge = cells.withColumn("half", half).where("upto >= half AND upto - n < half")
+        edge = stored(edge.select("g", "s", F.col("cell").alias("last"), ((F.col("half") - F.col("upto") + F.col("n")) / F.col("n")).alias("part")), "edge")
+        inner = near.join(edge, ["g", "s"]).where("cell <= last").withColumn("w", F.when(F.col("cell") < F.col("last"), 1.0).otherwise(F.col("part")))
+        new = _whitening(inner.groupBy("g", "s").agg(*_sums(F.col("w"), x)), HALF_FACTOR).withColumn("turn", F.lit(turn))
+        both = new.unionByName(fit).groupBy("g", "s").agg(F.min(F.struct("det", "turn", *columns)).alias("fit"), F.max("det").alias("before"))
+        # Starts that have met go on as one.
+        both = both.groupBy("g", F.round("fit.det", 9).alias("met")).agg(F.min(F.struct("s", "fit", "before")).alias("b"))
+        both = stored(both.select("g", "b.s", "b.fit.*", (F.col("b.fit.turn") < turn).alias("rose"), "b.before"), "fit")
+        falls = (F.col("before") - F.col("det") > STILL) & ~F.col("rose")
+        ended.append(both.where(~falls).select("g", "s", "det", *columns))
+        fit = both.where(falls).select("g", "s", "det", "turn", *columns)
+        if fit.isEmpty():
+            break
+    every = ended[0]
+    for more in ended[1:]:
+        every = every.unionByName(more)
+    best = stored(every.groupBy("g").agg(F.min(F.struct("det", "s", *columns)).alias("b")).select("g", *[f"b.{c}" for c in columns]), "fit")
+    inner = rows.join(best, "g").where(_distance() <= WITHIN)
+    final = _whitening(inner.groupBy("g").agg(*_sums(F.lit(1.0), x)), WITHIN_FACTOR)
+    return stored(final.join(sizes, "g").select("g", *columns, "rows"), "fit")
 
 
 def quality_verdicts(stats: DataFrame) -> DataFrame:
@@ -142,17 +203,17 @@ def quality_verdicts(stats: DataFrame) -> DataFrame:
 
     Rows that pass the base rule are judged in their group of language and source if it has LEAST_ROWS such rows, else
     among their language; where that is too small as well they are kept with a NULL distance. NULL language or
-    source is the value ''. Rejected are rows whose consistent squared distance exceeds CUT.
+    source is the value ''. Rejected are rows whose squared distance from the final fit exceeds CUT.
     """
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     own = F.to_json(F.array(F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))))
     wide = F.to_json(F.array(F.coalesce("lang", F.lit(""))))
     told = stats.select("*", *_features(), failed.alias("base_failed"), own.alias("_own"), wide.alias("_wide"))
     good = told.where("NOT base_failed")
-    fits = covariance_determinant(good.select(F.explode(F.array("_own", "_wide")).alias("g"), *FEATURES)).where(F.col("rows") >= LEAST_ROWS)
+    fits = covariance_determinant(good.select(F.explode(F.array("_own", "_wide")).alias("g"), *FEATURES))
     known = fits.select(F.col("g").alias("_k"))
     chosen = told.join(known, F.col("_own") == F.col("_k"), "left").withColumn("g", F.when(F.col("_k").isNotNull(), F.col("_own")).otherwise(F.col("_wide"))).drop("_k")
-    judged = chosen.join(fits, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
+    judged = chosen.join(fits, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return judged.select(*stats.columns, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))).alias("kept"))
 
 

@@ -219,6 +219,20 @@ def test_robust_outliers(spark):
     assert all(got[2000 + i] for i in range(20))
 
 
+def test_junk_of_nearly_half_a_group_is_rejected(spark):
+    """Of each source a share of the rows is one kind of junk, near or far."""
+    r, rows, junk = random.Random(7), [], {}
+    for source, (share, symbols) in enumerate([(0.3, 60), (0.45, 60), (0.4, 900), (0.45, 900)]):
+        for i in range(1000):
+            n = int(r.lognormvariate(5, 0.4)) + 12
+            junk[len(rows)] = i < 1000 * share
+            rows.append((len(rows), "en", f"s{source}", n, int(n * r.gauss(5, 0.2)), n * symbols // 100 if i < 1000 * share else 0, 0, 0, int(n * 0.7)))
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_distinct long")
+    got = {x.doc_id: x.kept for x in quality_rules.quality_verdicts(stats).collect()}
+    assert not any(got[i] for i in junk if junk[i])
+    assert sum(got[i] for i in junk if not junk[i]) >= 0.99 * sum(not x for x in junk.values())
+
+
 def entropy_spans(value: str, window: int, bound: float):
     hot = []
     for p in range(len(value) - window + 1):
