@@ -25,6 +25,8 @@ READ, DROP, THIN, BREAK = 1.0, 6.0, 0.5, 4.0
 SYMBOLS = 28
 #: Byte lengths of the word beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5, 6)
+#: Readings of tokens up to this many bytes are remembered; longer ones are decoded each time.
+LONG = 64
 
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = np.arange(1, 27)
@@ -62,11 +64,12 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return -np.log(three)
 
 
-def decode(token: bytes, cost: np.ndarray) -> bytes:
+def decode(token: bytes, cost: list | np.ndarray) -> bytes:
     """Cheapest reading of a lower-case token: Viterbi over its lattice, the state being the last two symbols.
 
     Letters read as themselves, the third and later of a run may go (and the second of a run that long);
     LEET signs read as one of their letters or go; gap signs go or end a word. Other bytes end a word; so may any sign.
+    Tokens may have any length: outputs are chains of shared links, so work and memory grow with the length.
     """
     size = len(token)
     run = [0] * size
@@ -78,8 +81,8 @@ def decode(token: bytes, cost: np.ndarray) -> bytes:
         for x in range(i, j):
             run[x] = x - i if j - i >= 3 and _LETTER[token[i]] else 0
         i = j
-    # state -> (cost, output)
-    beam: dict[tuple[int, int], tuple[float, bytes]] = {(0, 0): (0.0, b"")}
+    # state -> (cost, output as a chain of (chain before, byte))
+    beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for x in range(size):
         byte = token[x]
         options: list[tuple[float, bytes]] = []
@@ -94,23 +97,32 @@ def decode(token: bytes, cost: np.ndarray) -> bytes:
             if sign in LEET or sign in GAPS:
                 options.append((DROP if sign in LEET else 0.0, b""))
             options.append((BREAK if sign in GAPS else 0.0, b" "))
-        after: dict[tuple[int, int], tuple[float, bytes]] = {}
-        for (a, b), (so_far, text) in beam.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (so_far, chain) in beam.items():
             for price, out in options:
                 if out:
                     c = int(_CLASS[out[0]])
                     if c == 0 and b == 0:
                         state, total = (a, b), so_far + price
                     else:
-                        state, total = (b, c), so_far + price + float(cost[a, b, c])
+                        state, total = (b, c), so_far + price + cost[a][b][c]
                 else:
                     state, total = (a, b), so_far + price
                 old = after.get(state)
                 if old is None or total < old[0]:
-                    after[state] = (total, text + out)
+                    after[state] = (total, (chain, out) if out else chain)
         beam = after
-    best = min(beam.items(), key=lambda s: (s[1][0] + float(cost[s[0][0], s[0][1], 0]), s[1][1]))
-    return best[1][1].strip()
+    ends = [(so_far + cost[a][b][0], chain) for (a, b), (so_far, chain) in beam.items()]
+    least = min(total for total, _ in ends)
+    return min(_unlinked(chain) for total, chain in ends if total == least).strip()
+
+
+def _unlinked(chain: tuple | None) -> bytes:
+    out = []
+    while chain is not None:
+        chain, byte = chain
+        out.append(byte)
+    return b"".join(reversed(out))
 
 
 def noisy_spans(raw: np.ndarray) -> list[tuple[int, int]]:
@@ -141,7 +153,7 @@ def noisy_spans(raw: np.ndarray) -> list[tuple[int, int]]:
     total = np.concatenate(([0], np.cumsum(odd)))
     flagged = total[end] > total[begin]
     letters = np.concatenate(([0], np.cumsum(letter)))
-    flagged &= (letters[end] - letters[begin] >= 2) & (end - begin <= 64)
+    flagged &= letters[end] - letters[begin] >= 2
     spans = list(zip(begin[flagged].tolist(), end[flagged].tolist(), strict=True))
     single = (end - begin == 1) & (letter | _SIGN[raw])[begin]
     near = np.concatenate(([False], (begin[1:] - end[:-1] == 1) & single[1:] & single[:-1], [False]))
@@ -178,6 +190,16 @@ def restored_slots(cost: np.ndarray):
     """Make a function from texts to the distinct feature slots of each, its noisy parts decoded first."""
     def make():
         memo: dict[bytes, bytes] = {}
+        costs = cost.tolist()
+
+        def reading(key: bytes) -> bytes:
+            if len(key) > LONG:
+                return decode(key, costs)
+            if key not in memo:
+                if len(memo) >= 50_000:
+                    memo.clear()
+                memo[key] = decode(key, costs)
+            return memo[key]
 
         def restore(raw: np.ndarray) -> list[tuple[int, bytes]]:
             low, out = LOWER[raw], []
@@ -185,12 +207,9 @@ def restored_slots(cost: np.ndarray):
                 token = low[a:b].tobytes()
                 parts = token.split()
                 key = b"".join(parts) if len(parts) > 1 else token
-                if key not in memo:
-                    if len(memo) >= 50_000:
-                        memo.clear()
-                    memo[key] = decode(key, cost)
-                if memo[key] != token:
-                    out.append((a, memo[key]))
+                plain = reading(key)
+                if plain != token:
+                    out.append((a, plain))
             return out
 
         def work(text: pa.Array) -> list[np.ndarray]:

@@ -286,6 +286,17 @@ def test_deobfuscation(spark, table):
     assert toxicity.restore_text(clean, cost).split()[0] == clean.split()[0]
 
 
+def test_long_tokens_are_decoded(table):
+    docs = table([(i, prose(i, 200) + " you are a worthless idiot") for i in range(30)])
+    cost = toxicity.character_model(docs)
+    assert toxicity.restore_text(f"the i{'d' * 500}iot garden", cost) == "the idiot garden"
+    sentence = "_".join(["you_are_a", "w.o.r.t.h.l.e.s.s", "i-d-i-o-t"] * 8)
+    assert len(sentence) > 290
+    got = toxicity.restore_text(f"the {sentence} garden", cost)
+    assert got.startswith("the ") and got.endswith(" garden") and not set(got) & set("_.-")
+    assert got.count("worthless") == got.count("idiot") == 8
+
+
 def test_toxicity_learns_and_reads_noise(spark, table):
     rows = [(i, prose(i, 40) + (" you idiot" if i % 4 == 0 else "") + " " + prose(i + 500, 10)) for i in range(400)]
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
