@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ BEGINNINGS = (4, 5, 6)
 #: Readings of tokens up to this many bytes are remembered; longer ones are decoded each time.
 LONG = 64
 
+_BLANKS = rb"[\x20\x09-\x0D]+"
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[128:] = 27
@@ -64,11 +66,12 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return -np.log(three)
 
 
-def decode(token: bytes, cost: list | np.ndarray) -> bytes:
+def decode(token: bytes, cost: list | np.ndarray, whole: bool = False) -> bytes:
     """Cheapest reading of a lower-case token: Viterbi over its lattice, the state being the last two symbols.
 
     Letters read as themselves, the third and later of a run may go (and the second of a run that long);
-    LEET signs read as one of their letters or go; gap signs go or end a word. Other bytes end a word; so may any sign.
+    LEET signs read as one of their letters or go; gap signs go or end a word, and so does a blank, at no cost. Other bytes
+    end a word; so may any sign, but with ``whole`` no LEET sign.
     Tokens may have any length: outputs are chains of shared links, so work and memory grow with the length.
     """
     size = len(token)
@@ -90,13 +93,16 @@ def decode(token: bytes, cost: list | np.ndarray) -> bytes:
             options.append((0.0, token[x : x + 1]))
             if run[x]:
                 options.append((THIN if run[x] == 1 else 0.0, b""))
+        elif byte == 32:
+            options += [(0.0, b""), (0.0, b" ")]
         else:
             sign = chr(byte)
             for letter in LEET.get(sign, ""):
                 options.append((READ, letter.encode()))
             if sign in LEET or sign in GAPS:
                 options.append((DROP if sign in LEET else 0.0, b""))
-            options.append((BREAK if sign in GAPS else 0.0, b" "))
+            if not (whole and sign in LEET):
+                options.append((BREAK if sign in GAPS else 0.0, b" "))
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (so_far, chain) in beam.items():
             for price, out in options:
@@ -125,43 +131,58 @@ def _unlinked(chain: tuple | None) -> bytes:
     return b"".join(reversed(out))
 
 
-def noisy_spans(raw: np.ndarray) -> list[tuple[int, int]]:
-    """Byte ranges worth decoding in lower-cased bytes: blank-separated tokens in which a sign touches letters on both
-    sides or opens or ends a token before a letter, or a letter repeats three times; and four or more single letters in a row."""
-    letter, sign = _LETTER[raw], (_SIGN | _GAP)[raw]
+def noisy_spans(raw: np.ndarray, off: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Byte ranges worth decoding in lower-cased bytes: blank-separated tokens that hold a letter and a LEET sign, a gap
+    sign between other bytes, or a letter three times in a row; and spelled-out words.
+
+    Gap signs at the ends of a token of letters always go, so these alone need no decoding. Spelled out are two or more tokens of one
+    letter or LEET sign each, with any gap signs and blanks between them: a letter must be among them unless they
+    are four. ``off`` are the places where texts begin; nothing is spelled across them.
+    """
+    letter, sign, gap = _LETTER[raw], _SIGN[raw], _GAP[raw]
     token = NOT_BLANK[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], token, [False])).astype(np.int8)))
     begin, end = edge[0::2], edge[1::2]
     if not len(begin):
         return []
-    odd = np.zeros(len(raw) + 1, np.int64)
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(mask)))
+        return total[end] - total[begin]
+
+    same = np.zeros(len(raw), bool)
     if len(raw) > 2:
-        real = _SIGN[raw]
-        # a letter, signs (up to three), a letter
-        for gap in (1, 2, 3):
-            if len(raw) > gap + 1:
-                hit = letter[: -gap - 1] & letter[gap + 1 :]
-                for x in range(1, gap + 1):
-                    hit = hit & sign[x : len(raw) - gap - 1 + x]
-                odd[1 : len(hit) + 1] += hit
-        same = letter[2:] & (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2])
-        odd[1 : len(same) + 1] += same
-        opens = real[:-1] & letter[1:]
-        first = np.zeros(len(raw), bool)
-        first[begin] = True
-        odd[: len(opens)] += opens & first[:-1]
-    total = np.concatenate(([0], np.cumsum(odd)))
-    flagged = total[end] > total[begin]
-    letters = np.concatenate(([0], np.cumsum(letter)))
-    flagged &= letters[end] - letters[begin] >= 2
-    spans = list(zip(begin[flagged].tolist(), end[flagged].tolist(), strict=True))
-    single = (end - begin == 1) & (letter | _SIGN[raw])[begin]
-    near = np.concatenate(([False], (begin[1:] - end[:-1] == 1) & single[1:] & single[:-1], [False]))
-    runs = np.flatnonzero(np.diff(near.astype(np.int8)))
-    for x, y in zip(runs[0::2], runs[1::2], strict=True):
-        if y - x >= 3:
-            spans.append((int(begin[x]), int(end[y])))
-    return spans
+        same[:-2] = letter[2:] & (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2])
+    solid = token & ~gap
+    pieces = solid & ~np.concatenate(([False], solid[:-1]))
+    letters, signs, gaps = count(letter), count(sign), count(gap)
+    flagged = (letters > 0) & ((signs > 0) | (count(pieces) > 1) | (count(same) > 0))
+
+    one = (letters + signs == 1) & (gaps + 1 == end - begin)
+    member = one | (gaps == end - begin)
+    text = np.searchsorted(off, begin, "right") if off is not None else np.zeros(len(begin), np.int64)
+    fresh = member & ~np.concatenate(([False], member[:-1] & (text[1:] == text[:-1])))
+    run = np.cumsum(fresh)
+    at = np.flatnonzero(one)
+    spelled = []
+    if len(at):
+        cut = np.flatnonzero(np.diff(run[at], prepend=-1))
+        size = np.diff(np.append(cut, len(at)))
+        worth = (size >= 4) | (size >= 2) & (np.add.reduceat(letters[at], cut) > 0)
+        for x, n in zip(cut[worth].tolist(), size[worth].tolist(), strict=True):
+            first, last = int(at[x]), int(at[x + n - 1])
+            spelled.append((int(begin[first]), int(end[last])))
+            flagged[first : last + 1] = False
+    return list(zip(begin[flagged].tolist(), end[flagged].tolist(), strict=True)) + spelled
+
+
+def _readable(part: bytes) -> bytes:
+    """A token as it is; of a spelled-out word the least blanks become a gap sign and wider ones a blank."""
+    gaps = re.findall(_BLANKS, part)
+    if not gaps:
+        return part
+    narrow = min(map(len, gaps))
+    return re.sub(_BLANKS, lambda m: b"." if len(m[0]) == narrow else b" ", part)
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -189,34 +210,35 @@ def _features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def restored_slots(cost: np.ndarray):
     """Make a function from texts to the distinct feature slots of each, its noisy parts decoded first."""
     def make():
-        memo: dict[bytes, bytes] = {}
+        memo: dict[tuple[bytes, bool], bytes] = {}
         costs = cost.tolist()
 
-        def reading(key: bytes) -> bytes:
+        def reading(key: bytes, whole: bool) -> bytes:
             if len(key) > LONG:
-                return decode(key, costs)
-            if key not in memo:
+                return decode(key, costs, whole)
+            if (key, whole) not in memo:
                 if len(memo) >= 50_000:
                     memo.clear()
-                memo[key] = decode(key, costs)
-            return memo[key]
+                memo[key, whole] = decode(key, costs, whole)
+            return memo[key, whole]
 
-        def restore(raw: np.ndarray) -> list[tuple[int, bytes]]:
+        def restore(raw: np.ndarray, off: np.ndarray) -> list[tuple[int, bytes]]:
             low, out = LOWER[raw], []
-            for a, b in noisy_spans(low):
+            for a, b in noisy_spans(low, off):
                 token = low[a:b].tobytes()
-                parts = token.split()
-                key = b"".join(parts) if len(parts) > 1 else token
-                plain = reading(key)
-                if plain != token:
-                    out.append((a, plain))
+                # Letters spelled out count as one word as well as by the cheapest reading.
+                ways = {(_readable(token), False), (b"".join(token.split()), False)}
+                # A sign that opens a token ends a word that never began, at no cost: it is read as a letter as well.
+                if _SIGN[token[0]]:
+                    ways.add((_readable(token), True))
+                out += [(a, plain) for plain in sorted({reading(*way) for way in ways}) if plain != token]
             return out
 
         def work(text: pa.Array) -> list[np.ndarray]:
             result = []
             for a, b, raw, off in blocks(text):
                 slots, rows = _features(raw, off)
-                extra = restore(raw)
+                extra = restore(raw, off)
                 if extra:
                     at = np.searchsorted(off, [x for x, _ in extra], "right") - 1
                     order = np.argsort(at, kind="stable")
@@ -241,8 +263,7 @@ def restore_text(text: str, cost: np.ndarray) -> str:
     out, at = [], 0
     for a, b in sorted(noisy_spans(raw)):
         if a >= at:
-            parts = raw[a:b].tobytes().split()
-            out += [raw[at:a].tobytes(), decode(b"".join(parts), cost)]
+            out += [raw[at:a].tobytes(), decode(_readable(raw[a:b].tobytes()), cost)]
             at = b
     return b"".join([*out, raw[at:].tobytes()]).decode()
 
@@ -257,7 +278,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -
 def toxicity(docs: DataFrame, model: tuple, keep: list[str] | None = None, plain_names: bool = False) -> DataFrame:
     """``docs`` with ``score``: the probability that the restored text is toxic.
 
-    A text is lower-cased; signs inside words, letters thrice in a row and spelled-out words are decoded by the
+    A text is lower-cased; tokens of letters and signs, letters thrice in a row and spelled-out words are decoded by the
     cheapest path through the lattice of their readings under a letter trigram model; words and word
     beginnings as written and as restored are the features of a logistic model. Rows are scored where they are
     read, whole. NULL, empty and blank texts have no features and score the model's bias;

@@ -286,6 +286,21 @@ def test_deobfuscation(spark, table):
     assert toxicity.restore_text(clean, cost).split()[0] == clean.split()[0]
 
 
+def test_deobfuscation_of_signs_anywhere(table):
+    docs = table([(i, prose(i, 200) + " idiot loser asshole scum ass") for i in range(30)])
+    cost = toxicity.character_model(docs)
+    for noisy, plain in (("lo$er$", "loser"), ("loser$", "loser"), ("idi07", "idiot"), ("a$$", "ass"), ("a$$h0l3", "asshole"), ("$cum.", "scum"),
+                         ("i....d....i....o....t", "idiot"), ("a s s", "ass"), ("i  d  i  o  t", "idiot"), ("i . d . i . o . t", "idiot"),
+                         ("i. d. i. o. t", "idiot"), ("i d  i o t", "idiot")):
+        assert toxicity.restore_text(f"the {noisy} garden", cost) == f"the {plain} garden", noisy
+    assert toxicity.decode(b"@$$hole", cost, whole=True) == b"asshole"
+    for noisy in ("@$$hole", "$$um", "i-_-_-d", "a s"):
+        raw = np.frombuffer(f"the {noisy} garden".encode(), np.uint8)
+        assert toxicity.noisy_spans(raw) == [(4, 4 + len(noisy))]
+    two = np.frombuffer(b"see i\nd see\n", np.uint8)
+    assert toxicity.noisy_spans(two, np.array([0, 6, 12])) == [] and toxicity.noisy_spans(two) == [(4, 7)]
+
+
 def test_long_tokens_are_decoded(table):
     docs = table([(i, prose(i, 200) + " you are a worthless idiot") for i in range(30)])
     cost = toxicity.character_model(docs)
