@@ -27,6 +27,8 @@ ALLOWED = (
 )
 #: Thousandths of c * log2(c): whole numbers, so the running sum is exact.
 _TERMS = [round(1000 * c * math.log2(c)) if c else 0 for c in range(WINDOW + 2)]
+#: First and last places in the alphabet, from 1, of hex letters and of digits.
+_UPPER, _LOWER, _DIGITS = ((ALPHABET.index(a) + 1, ALPHABET.index(b) + 1) for a, b in ("AF", "af", "09"))
 _MOST = {k: int(1000 * WINDOW * (math.log2(WINDOW) - t)) for k, t in THRESHOLD.items()}
 
 
@@ -51,17 +53,17 @@ def _spans(text: Column, pattern: str, kind: str, place: int, group: int = 0, le
     return F.when(F.size(found) > 0, F.aggregate(rows, empty, step)["out"]).otherwise(empty["out"])
 
 
-def _hot_runs(value: Column) -> Column:
+def _hot_runs(value: Column, by_window: bool) -> Column:
     """Runs of windows above the class's entropy within one candidate: structs (begin, end), from 0.
 
-    One pass over the characters: the counts of the window and the sum of c * log2(c) change by the character
+    With ``by_window`` a window of hex characters with both letters and digits has the hex bound in any candidate. One pass over the characters: the counts of the window and the sum of c * log2(c) change by the character
     that enters and the one that leaves.
     """
     chars = F.split(value, "")
     most = F.when(value.rlike("^[0-9a-fA-F]+$"), _MOST["entropy_hex"]).otherwise(_MOST["entropy_base64"])
     terms = F.array(*[F.lit(t) for t in _TERMS])
     zero = F.expr(
-        f"named_struct('counts', array_repeat(0, {len(ALPHABET)}), 'sum', 0, 'i', 0, 'begin', -1, 'end', -1, "
+        f"named_struct('counts', array_repeat(0, {len(ALPHABET)}), 'other', 0, 'digits', 0, 'sum', 0, 'i', 0, 'begin', -1, 'end', -1, "
         "'out', cast(array() as array<struct<begin:int,end:int>>))")
 
     # The character that leaves is the one WINDOW places back.
@@ -69,6 +71,9 @@ def _hot_runs(value: Column) -> Column:
         F.position(c, F.lit(ALPHABET)).alias("new"),
         F.when(i >= WINDOW, F.position(F.element_at(chars, F.greatest(i - WINDOW + 1, F.lit(1))), F.lit(ALPHABET))).otherwise(0).alias("old")))
 
+    digit = lambda c: c.between(*_DIGITS)
+    no_hex = lambda c: (c > 0) & ~(c.between(*_UPPER) | c.between(*_LOWER) | digit(c))
+
     def slide(s: Column, r: Column) -> Column:
         had = F.element_at(s["counts"], r["new"])
         entered = s["sum"] - F.element_at(terms, had + 1) + F.element_at(terms, had + 2)
@@ -76,12 +81,16 @@ def _hot_runs(value: Column) -> Column:
         total = F.when(r["old"] > 0, entered - F.element_at(terms, left + 1) + F.element_at(terms, F.greatest(left, F.lit(1)))).otherwise(entered)
         counts = F.transform(s["counts"], lambda v, j: v + F.when(j + 1 == r["new"], 1).otherwise(0) - F.when(j + 1 == r["old"], 1).otherwise(0))
         i = s["i"] + 1
-        hot = (i >= WINDOW) & (total <= most)
+        other = s["other"] + no_hex(r["new"]).cast("int") - no_hex(r["old"]).cast("int")
+        digits = s["digits"] + digit(r["new"]).cast("int") - digit(r["old"]).cast("int")
+        mixed = (other == 0) & (digits > 0) & (digits < WINDOW)
+        bound = F.when(mixed, F.greatest(most, F.lit(_MOST["entropy_hex"]))).otherwise(most) if by_window else most
+        hot = (i >= WINDOW) & (total <= bound)
         joins = hot & (s["end"] >= i - WINDOW)
         closes = hot & ~joins & (s["end"] >= 0)
         run = F.struct(s["begin"].alias("begin"), s["end"].alias("end"))
         return F.struct(
-            counts.alias("counts"), total.alias("sum"), i.alias("i"),
+            counts.alias("counts"), other.alias("other"), digits.alias("digits"), total.alias("sum"), i.alias("i"),
             F.when(hot & ~joins, i - WINDOW).otherwise(s["begin"]).alias("begin"),
             F.when(hot, i).otherwise(s["end"]).alias("end"),
             F.when(closes, F.concat(s["out"], F.array(run))).otherwise(s["out"]).alias("out"))
@@ -93,13 +102,14 @@ def _hot_runs(value: Column) -> Column:
     return F.aggregate(rows, zero, slide, finish)
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
+def find_secrets(docs: DataFrame, by_window: bool = False) -> DataFrame:
     """``docs`` with ``base`` and ``added``: arrays of structs (start, place, end, kind), ordered, in code points.
 
     ``base`` holds assignments (value of 12 characters or more), access keys (18 or more) and hex strings (16
     or more), each kind leftmost and non-overlapping. ``added`` holds the runs of 20-character windows of
     other strings whose Shannon entropy reaches the bound of their class (hex, base64), unless an allow-list
-    pattern fits the string or a base span covers the run. Every step is a column expression on one row:
+    pattern fits the string or a base span covers the run. A string's class is that of all its characters, as in the SQL
+    form; with ``by_window`` hex windows in longer strings (``md5=9F86...``) have the hex bound as well. Every step is a column expression on one row:
     nothing is shuffled and no Python runs on the executors. NULL and empty texts have no
     spans; repeated rows are judged alike; other columns stay as they are.
     """
@@ -114,7 +124,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     def runs(s: Column) -> Column:
         place = F.when(s["value"].rlike("^[0-9a-fA-F]+$"), 3).otherwise(4)
         kind = F.when(place == 3, "entropy_hex").otherwise("entropy_base64")
-        return F.transform(_hot_runs(s["value"]), lambda r: F.struct(
+        return F.transform(_hot_runs(s["value"], by_window), lambda r: F.struct(
             (s["start"] + r["begin"]).alias("start"), place.alias("place"), (s["start"] + r["end"]).alias("end"), kind.alias("kind")))
 
     inside = lambda r: F.exists("base", lambda b: (b["start"] <= r["start"]) & (b["end"] >= r["end"]))
@@ -171,11 +181,11 @@ SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesc
 
 
 def redact_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every found span becomes ``[SECRET]``; texts without any stay as they are."""
+    """Pipeline stage: every found span, hex told by window, becomes ``[SECRET]``; texts without any stay as they are."""
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = names.index("text")
-    rows = find_secrets(plain.withColumn("text", F.col(f"c{at}")))
+    rows = find_secrets(plain.withColumn("text", F.col(f"c{at}")), by_window=True)
     spans = F.array_sort(F.concat("base", "added"))
     text = F.col("text")
 
