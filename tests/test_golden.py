@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import at
+from golden_rows import at
 from pyspark.sql import functions as F
 
 from plantlytics.operators import distribution, filters, rollup, series, states, stats
