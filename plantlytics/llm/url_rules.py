@@ -16,15 +16,22 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 OTHERWISE = "allow"
 
 
+def rest_of(url: Column) -> Column:
+    """What follows the first ``://``; empty without one."""
+    text = F.coalesce(url, F.lit(""))
+    at = F.locate("://", text)
+    return F.when(at > 0, F.substr(text, at + 3)).otherwise("")
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without."""
-    host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
+    host = F.regexp_extract(rest_of(url), r"^[^/?#]*", 0)
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
-    """What follows the host up to ``?``, ``#`` or the end; empty without ``://``."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    """What follows the host up to ``?``, ``#`` or the end; empty without ``://`` or where the host ends at these."""
+    return F.regexp_extract(rest_of(url), r"^[^/?#]*(/?[^?#]*)", 1)
 
 
 def _key(labels: Column, path: Column) -> Column:
@@ -112,9 +119,10 @@ def op5_interval_url_rules(spark, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = f"""
-WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1) AS raw,
-  regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
-p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+c AS (SELECT page_id, split_part(split_part(coalesce(rest, ''), '#', 1), '?', 1) AS place FROM u),
+p AS (SELECT page_id, translate(split_part(place, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  substr(place, length(split_part(place, '/', 1)) + 1) AS path FROM c),
 r(h, pre, given) AS (VALUES {", ".join(str(x) for x in RULES)}),
 m AS (SELECT page_id, host, path, h || pre AS rule, given, row_number() OVER (PARTITION BY page_id ORDER BY length(h || pre) DESC, h || pre DESC) AS k
   FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre))

@@ -1,22 +1,5 @@
-import random
-import re
-
 import pytest
-
-SF = "/root/testdata/sf0.001"
-WORDS = "the of and river stone light over under seven garden paper wind house never again table morning quiet green road".split()
-
-
-def prose(seed: int, n: int) -> str:
-    r = random.Random(seed)
-    return " ".join(r.choice(WORDS) + r.choice(["", "s", "ed", "ing", str(r.randint(0, 99))]) for _ in range(n))
-
-
-def lower(text: str) -> str:
-    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
-
-
-BLANK_WORD = r"[^\x20\x09-\x0D]+"
+from corpus_data import prose
 
 
 @pytest.fixture(scope="package", autouse=True)
@@ -60,5 +43,6 @@ def odd(spark):
 def pages(spark):
     rows = [(1, "http://a.Example.NET/en/1?x#y"), (2, None), (3, "no scheme"), (4, "http://net"), (5, "http://net/"), (6, "ftp://x.org/fr/a"),
             (7, "http://example.com/de/?q"), (8, "http://EXAMPLE.com/de"), (None, "https://b.example.net/en/"), (9, "http://notexample.net/en/"),
-            (10, "http:///en/"), (10, "http:///en/"), (11, "http://example.net:80/en/"), (12, "a://b://c.net/x"), (13, ""), (14, "http://x.net?/en/")]
+            (10, "http:///en/"), (10, "http:///en/"), (11, "http://example.net:80/en/"), (12, "a://b://c.net/x"), (13, ""), (14, "http://x.net?/en/"),
+            (15, "http://a.org?u=http://b.com/fr/x"), (16, "http://a.net?u=http://b.com/q"), (17, "http://a.net#/x://y.net/"), (18, "http://a.net/#?x")]
     return spark.createDataFrame(rows, "page_id long, url string")

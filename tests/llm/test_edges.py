@@ -1,5 +1,7 @@
 """Odd and empty tables through every operator and every stage."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def folding_names(spark):
 
 @pytest.fixture(scope="module")
 def benchmark(spark):
-    from conftest import prose
+    from corpus_data import prose
 
     return spark.createDataFrame([(1, prose(3, 14)), (2, None), (None, "the"), (3, ""), (3, "zzz")], "item_id long, text string")
 
@@ -80,15 +82,36 @@ def test_urls(pages, spark):
         (5, "net", "/", "net/", "block"), (6, "x.org", "/fr/a", "org/fr/", "allow"), (7, "example.com", "/de/", "example.com/de/", "block"),
         (8, "example.com", "/de", None, "allow"), (None, "b.example.net", "/en/", "example.net/en/", "allow"), (9, "notexample.net", "/en/", "net/", "block"),
         (10, "", "/en/", None, "allow"), (10, "", "/en/", None, "allow"), (11, "example.net:80", "/en/", None, "allow"), (12, "b:", "//c.net/x", None, "allow"),
-        (13, "", "", None, "allow"), (14, "x.net", "", None, "allow")]
+        (13, "", "", None, "allow"), (14, "x.net", "", None, "allow"), (15, "a.org", "", None, "allow"), (16, "a.net", "", None, "allow"),
+        (17, "a.net", "", None, "allow"), (18, "a.net", "/", "net/", "block")]
     assert got == sorted(want, key=str)
     assert url_rules.judge_urls(pages.limit(0), rules).count() == 0
     assert url_rules.judge_urls(pages, rules.limit(0)).where("rule IS NOT NULL").count() == 0
 
 
+def parsed(url):
+    """Host and path by string search alone."""
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url[url.index("://") + 3 :]
+    stop = min([rest.index(c) for c in "?#" if c in rest], default=len(rest))
+    slash = rest.find("/", 0, stop)
+    host, path = (rest[:stop], "") if slash < 0 else (rest[:slash], rest[slash:stop])
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path
+
+
+def test_urls_against_string_search(spark):
+    r = random.Random(4)
+    urls = ["".join(r.choice(["http", "://", ":", "/", "?", "#", "a.Net", "example.net", "/en/", "B", "é", "\n", " "]) for _ in range(r.randrange(9)))
+            for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = rows.select("page_id", url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == {i: parsed(u) for i, u in enumerate(urls)}
+
+
 @pytest.mark.parametrize("rows", ["odd", "empty"])
 def test_stages(spark, odd, rows, tmp_path):
-    from conftest import SF
+    from corpus_data import SF
 
     docs = odd if rows == "odd" else odd.limit(0)
     for name, stage in corpus_pipeline.STAGES:

@@ -9,7 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import BLANK_WORD, lower, prose
+from corpus_data import BLANK_WORD, lower, prose
 
 from plantlytics.llm import decontaminate, linear, lm_score, mixing, near_dup, quality_classifier, quality_rules, secrets, suffix_dedup, toxicity, url_rules
 from plantlytics.llm.kernels import ALNUM, shingles, words
