@@ -6,6 +6,7 @@ from plantlytics.llm.decontaminate import OP3_SQL, op3_fm_decontamination
 from plantlytics.llm.lm_score import op10_deleted_interpolation_lm
 from plantlytics.llm.mixing import OP1_SQL, op1_mixture_raking
 from plantlytics.llm.near_dup import op6_minhash_near_dedup
+from plantlytics.llm.packing import op11_cost_balanced_packing
 from plantlytics.llm.quality_classifier import op9_bayes_quality_classifier
 from plantlytics.llm.quality_rules import op8_mcd_quality_rules
 from plantlytics.llm.secrets import OP7_SQL, op7_entropy_secrets
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mcd_quality_rules": op8_mcd_quality_rules,
     "op9_bayes_quality_classifier": op9_bayes_quality_classifier,
     "op10_deleted_interpolation_lm": op10_deleted_interpolation_lm,
+    "op11_cost_balanced_packing": op11_cost_balanced_packing,
 }
 
 ORACLES: dict[str, str] = {
