@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plantlytics.llm.decontaminate import OP3_SQL, op3_fm_decontamination
+from plantlytics.llm.divergence import OP12_SQL, op12_source_divergence
 from plantlytics.llm.lm_score import op10_deleted_interpolation_lm
 from plantlytics.llm.mixing import OP1_SQL, op1_mixture_raking
 from plantlytics.llm.near_dup import op6_minhash_near_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_bayes_quality_classifier": op9_bayes_quality_classifier,
     "op10_deleted_interpolation_lm": op10_deleted_interpolation_lm,
     "op11_cost_balanced_packing": op11_cost_balanced_packing,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -33,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op3_fm_decontamination": OP3_SQL,
     "op5_interval_url_rules": OP5_SQL,
     "op7_entropy_secrets": OP7_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
