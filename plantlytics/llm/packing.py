@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +20,15 @@ from plantlytics.llm.common import pick, read, schema
 CAPACITY, END, WIDTH = 1024, 0, 1024
 #: Tokens that are packed together, in one task: some two thousand sequences.
 GROUP = 1 << 21
-#: Whatever else the text holds, a token ends between a visible ASCII character and a blank or line feed (white space is only at a
-#: token's beginning), and between an ASCII letter and one of these signs.
-BETWEEN_WORDS = re.compile(r"(?<=[!-~])(?=[ \n])|(?<=[A-Za-z])(?=[,.;:!?])")
-#: Characters of a text that are cut into words at a time, and words whose tokens a task keeps.
-SLICE, KNOWN = 1 << 20, 1 << 19
+#: Whatever else the text holds, a token ends between a visible character of these and a blank or line feed (white space is only at a
+#: token's beginning), between a letter and one of these signs, and between a lone line feed and a letter.
+BETWEEN_WORDS = re.compile(r"(?<=[!-~À-ÖØ-öø-ÿ])(?=[ \n])|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[,.;:!?])|(?<=[!-~]\n)(?=[A-Za-z])")
+#: A blank behind something that may count as white space; before every other blank a token ends.
+DOUBTFUL = re.compile("[\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff] ")
+#: These parts are one word to the tokenizer, so its model is asked without cutting them up once more.
+ONE_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+#: Characters of a text that are cut into words at a time, and words and parts whose tokens a worker keeps.
+SLICE, KNOWN = 1 << 20, 1 << 20
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -31,32 +37,68 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Tokens(dict):
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write the blank and Latin letters: visible bytes as they are, the others from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    names = {b: chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)}
+    return {c: "".join(names[b] for b in chr(c).encode()) for c in (32, *range(0xC0, 0x100))}
+
+
+class Parts(dict):
     """Tokens of parts of texts, as little-endian unsigned 32-bit numbers; a part that is not yet known is tokenized."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model, self.letters = tokenizer.encode, tokenizer.model.tokenize, byte_letters()
+
+    def tokens(self, part: str) -> bytes:
+        if ONE_WORD.match(part):
+            written = part.replace(" ", self.letters[32]) if part.isascii() else part.translate(self.letters)
+            return array("I", [t.id for t in self.model(written)]).tobytes()
+        return array("I", self.encode(part, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= KNOWN:
             self.clear()
-        found = self[part] = np.array(self.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        found = self[part] = self.tokens(part)
         return found
 
 
+class Words(dict):
+    """Tokens of a blank and what stands behind it up to the next."""
+
+    def __init__(self, parts: Parts):
+        self.parts, self.whole = parts.__getitem__, parts.tokens
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KNOWN:
+            self.clear()
+        text = " " + word
+        found = self[word] = self.whole(text) if word.isalpha() else b"".join(map(self.parts, BETWEEN_WORDS.split(text)))
+        return found
+
+
+@functools.cache
 def tokens_of(path: str):
-    """Function from a text to its token ids; the text is cut where a token ends in any case."""
-    known = Tokens(path).__getitem__
+    """Function from a text to its token ids; the text is cut where a token ends in any case. A worker keeps it for all its tasks."""
+    parts = Parts(path)
+    words = Words(parts).__getitem__
 
     def encode(text: str) -> bytes:
         out, at = [], 0
         while at < len(text):
             cut = BETWEEN_WORDS.search(text, at + SLICE)
             end = cut.start() if cut else len(text)
-            out += map(known, BETWEEN_WORDS.split(text[at:end]))
-            at = end
+            piece, at = text[at:end], end
+            if DOUBTFUL.search(piece):
+                out += map(parts.__getitem__, BETWEEN_WORDS.split(piece))
+            else:
+                first, *rest = piece.split(" ")
+                out += map(parts.__getitem__, BETWEEN_WORDS.split(first))
+                out += map(words, rest)
         return b"".join(out)
 
     return encode

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plantlytics.llm.decontaminate import OP3_SQL, op3_fm_decontamination
 from plantlytics.llm.divergence import OP12_SQL, op12_source_divergence
+from plantlytics.llm.hard_negatives import OP13_SQL, op13_coordinate_hard_negatives
 from plantlytics.llm.lm_score import op10_deleted_interpolation_lm
 from plantlytics.llm.mixing import OP1_SQL, op1_mixture_raking
 from plantlytics.llm.near_dup import op6_minhash_near_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_deleted_interpolation_lm": op10_deleted_interpolation_lm,
     "op11_cost_balanced_packing": op11_cost_balanced_packing,
     "op12_source_divergence": op12_source_divergence,
+    "op13_coordinate_hard_negatives": op13_coordinate_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -36,4 +38,5 @@ ORACLES: dict[str, str] = {
     "op5_interval_url_rules": OP5_SQL,
     "op7_entropy_secrets": OP7_SQL,
     "op12_source_divergence": OP12_SQL,
+    "op13_coordinate_hard_negatives": OP13_SQL,
 }
