@@ -24,7 +24,8 @@ ROWS, BYTES, RUN = 1024, 1 << 22, 16
 FOCUS, SHARE = 3, 0.25
 #: More than the rounding errors of cosines and angles.
 SLACK = 1e-6
-LEAST, MOST = -(2**63) + 1, 2**63 - 1
+#: Scores are cut off here; beyond is what an anchor without any window needs.
+LEAST, MOST, NONE = -(2**63) + 2, 2**63 - 2, 2**63 - 1
 
 ROW = schema(vec_id="bigint", label="bigint", length="double", vector="binary")
 BUCKET = schema(b="bigint", longest="double", size="int", ids="binary", anon="binary", labels="binary", matrix="binary", lists="binary")
@@ -137,7 +138,7 @@ class Best:
         full = np.flatnonzero(np.bincount(a, minlength=len(least)) == self.k)
         last = np.searchsorted(a, full, "right") - 1
         least[full] = np.maximum(least[full], score[last])
-        return np.where(self.low > self.high, MOST, least)
+        return np.where(self.low > self.high, NONE, least)
 
     def add(self, a: np.ndarray, score: np.ndarray, anon: np.ndarray, ids: np.ndarray) -> None:
         inside = (score >= self.low[a]) & (score <= self.high[a])
@@ -219,15 +220,15 @@ def _search(k: int, same: bool):
             best = []
             for w in range(max(map(len, low))):  # an anchor with fewer windows has empty ones
                 best.append(Best(np.array([x[w] if w < len(x) else MOST for x in low], np.int64), np.array([x[w] if w < len(x) else LEAST for x in high], np.int64), k))
-            most = np.abs(matrix).max(initial=0)
+            most = float(np.abs(matrix).max(initial=0))
             for row in sorted(right.to_pylist(), key=lambda r: (-r["longest"], r["b"])):
                 bucket = Bucket(row)
                 needed = np.minimum.reduce([b.needed() for b in best])
                 own = (labels >= bucket.labels.min()) & (labels <= bucket.labels.max()) if same else np.ones(len(ids), bool)
-                own = np.flatnonzero(own & (needed < MOST))
+                own = np.flatnonzero(own & (needed < NONE))
                 if not len(own):
                     continue
-                wide = most * np.abs(bucket.matrix).max(initial=0) * max(matrix.shape[1], 1) >= 2.0**52
+                wide = most * float(np.abs(bucket.matrix).max(initial=0)) * max(matrix.shape[1], 1) >= 2.0**52
                 i, j, score = candidates(matrix[own], needed[own], bucket, wide)
                 i = own[i]
                 good = (labels[i] == bucket.labels[j]) == same
