@@ -8,8 +8,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plantlytics.llm.common import line, pick, read, schema, stored
 from plantlytics.llm.components import components
@@ -17,6 +19,8 @@ from plantlytics.llm.kernels import NOT_BLANK, blocks, mix, shingles, u64, words
 
 #: 40 bands of 5 bins: a pair of similarity 0.8 shares no bucket with probability (1 - 0.8^5)^40, some 1e-7.
 BANDS, ROWS = 40, 5
+#: Bands whose stars are confirmed at once; those of the others only where their ends are not linked by then.
+FIRST = 4
 #: Sets a task keeps at hand while it checks pairs.
 RECENT = 4000
 #: One-bit bins, and bits of a plain bitmap of the set, by which pairs left over by the stars are sifted before the exact check.
@@ -61,9 +65,11 @@ def sketch(sets: list[np.ndarray], probes: np.ndarray) -> np.ndarray:
 
 
 def _signatures(k: int):
+    """Columns ``doc_id, text`` and any further ones to a number of the row, set size, key, bands and packed text, and the further ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes, press = _probes(BANDS * ROWS), zstandard.ZstdCompressor(level=3)
         order = np.arange(1, BANDS + 1, dtype=np.uint64)
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for a, b, raw, off in blocks(batch.column(1)):
                 sets = _sets(raw, off, k)
@@ -79,10 +85,12 @@ def _signatures(k: int):
                         key[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
                         band[i] = hh
                         text[i] = press.compress(raw[off[i] : off[i + 1]].tobytes())
+                part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(key, pa.binary()),
-                     pa.array(band, pa.list_(pa.int64())), pa.array(text, pa.binary())],
-                    ["doc_id", "n_shingles", "key", "bands", "packed"])
+                    [part.column(0), pa.array(np.arange(row, row + b - a)), pa.array(n), pa.array(key, pa.binary()),
+                     pa.array(band, pa.list_(pa.int64())), pa.array(text, pa.binary()), *part.columns[2:]],
+                    ["doc_id", "row", "n_shingles", "key", "bands", "packed", *part.schema.names[2:]])
+                row += b - a
 
     return run
 
@@ -181,36 +189,31 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Component of each document under "shingle sets at least ``percent`` per cent alike": one row per input row.
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components ``(key, label)`` after further links ``(a, b)`` between keys: only links between two components count."""
+    one, two = (labels.select(F.col("key").alias(x), F.col("label").alias(y)) for x, y in (("a", "la"), ("b", "lb")))
+    across = links.join(one, "a").join(two, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    up = components(across).select(F.col("v").alias("label"), F.col("label").alias("up"))
+    return stored(labels.join(up, "label", "left").select("key", F.coalesce("up", "label").alias("label")), "labels")
 
-    Texts are lower-cased (A-Z) and cut at blanks; a set is the distinct ``k``-word shingles, or the
-    whole sequence of a shorter text. Returns ``doc_id, n_shingles, component_id, kept``.
 
-    Equal sets are one vertex. A set is sketched by one permutation into 200 bins; empty bins borrow from
-    full ones in an order fixed per bin (optimal densification). Each band bucket sends only a star of edges
-    to the exact check on full sets, its centre chosen by hash, so a document meets up to 40 centres. Where a bucket's
-    members end in several components, the pairs between these are left over: a join inside the bucket sifts them by
-    set size, by 1024 one-bit bins (six standard deviations below what the wanted similarity gives) and by the
-    most shingles that two bitmaps can share, and the exact check decides on the rest, so no link is lost.
+def _grouped(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (``doc_id, text`` ending in a line feed, and any others) with their numbers, sets and keys; and per key its component's
+    least ``doc_id`` (``component``) and the number of the row that it has it from (``first``)."""
+    kinds = StructType.fromDDL(schema(doc_id="bigint", row="bigint", n_shingles="bigint", key="binary", bands="array<bigint>", packed="binary"))
+    signed = stored(rows.mapInArrow(_signatures(k), StructType(kinds.fields + rows.schema.fields[2:])), "signatures")
+    some = signed.where("key IS NOT NULL").withColumn("v", F.xxhash64("key"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    classes = stored(some.groupBy("key", "v").agg(least), "classes")  # equal sets are one vertex
 
-    NULL, empty and blank texts: ``n_shingles`` 0, a component of their own. A NULL ``doc_id`` is never
-    the least; a component of such rows alone has a NULL id and all are kept. Repeated rows and other rows
-    with one ``doc_id`` share their fate if their texts do. Other columns are ignored.
-    """
-    rows = pick(docs, doc_id="bigint", text="string").select("doc_id", line(F.col("text")).alias("text"))
-    kinds = schema(doc_id="bigint", n_shingles="bigint", key="binary", bands="array<bigint>", packed="binary")
-    signed = stored(rows.mapInArrow(_signatures(k), kinds), "signatures").withColumn("v", F.xxhash64("key"))
-    some = signed.where("key IS NOT NULL")
-    classes = some.groupBy("key").agg(F.min("doc_id").alias("least"))
-
-    bucket = some.select("v", F.explode("bands").alias("h"))
+    once = some.join(classes.select("least.row"), "row", "left_semi")
+    bucket = once.select("v", F.posexplode("bands").alias("band", "h"))
     star = bucket.groupBy("h").agg(F.min(F.expr("v ^ h")).alias("c"), F.max(F.expr("v ^ h")).alias("hi")).where("c <> hi")
     star = star.select("h", F.expr("c ^ h").alias("c"))
-    arms = stored(bucket.join(star, "h").distinct(), "arms")
-    ends = arms.select("v").distinct()
-    firsts = classes.select(F.xxhash64("key").alias("v"), F.col("key").alias("k"), "least").join(ends, "v", "left_semi").drop("v")
-    reps = stored(some.join(firsts, F.expr("key = k AND doc_id <=> least")).select("key", "v", F.col("n_shingles").alias("n"), "packed"), "reps")
+    arms = stored(bucket.join(star, "h").where("v <> c"), "arms")
+    ends = arms.select("v").union(arms.select("c")).distinct()
+    wanted = classes.join(ends, "v", "left_semi").select("least.row")
+    reps = stored(some.join(wanted, "row", "left_semi").select("key", "v", F.col("n_shingles").alias("n"), "bands", "packed"), "reps")
 
     def confirmed(pairs: DataFrame, on: str) -> DataFrame:
         """Pairs ``(a, b)``, given by the column ``on`` of reps, whose sets are as alike as wanted."""
@@ -219,29 +222,56 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         full = pairs.join(two, "b").join(one, "a").where(f"ka <> kb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
         return stored(full.select("ka", "kb", "ta", "tb").mapInArrow(_confirm(k, percent), schema(a="binary", b="binary")), "links")
 
-    links = confirmed(arms.where("v <> c").select(F.col("c").alias("a"), F.col("v").alias("b")).distinct(), "v")
-    labels = components(links).withColumnRenamed("v", "key")
+    edges = arms.select(F.col("c").alias("a"), F.col("v").alias("b"), "band")
+    links = confirmed(edges.where(F.col("band") < FIRST).select("a", "b").distinct(), "v")
+    up = components(links).withColumnRenamed("v", "key")
+    labels = stored(reps.select("key").join(up, "key", "left").select("key", F.coalesce("label", "key").alias("label")), "labels")
 
-    known = reps.select("v", "key", "n").distinct().join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    rest = arms.where("v <> c").join(known, "v")
-    open_h = rest.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-    rest = stored(rest.join(open_h, "h").select("h", "key", "n", "label"), "open")
+    by_v = reps.select("key", "v").join(labels, "key").select("v", "label")
+    apart = edges.where(F.col("band") >= FIRST).select("a", "b").distinct()
+    apart = apart.join(by_v.toDF("b", "lb"), "b").join(by_v.toDF("a", "la"), "a").where("la <> lb").select("a", "b").distinct()
+    labels = _merged(labels, confirmed(apart, "v"))
+
+    known = reps.select("v", "key", "n").join(labels, "key")
+    members = arms.select("v", "h").union(arms.select(F.col("c").alias("v"), "h").distinct()).join(known, "v")
+    open_h = members.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+    rest = stored(members.join(open_h, "h").select("h", "key", "n", "label").distinct(), "open")
     marked = stored(reps.join(rest.select("key").distinct(), "key", "left_semi").select("key", "packed")
                     .mapInArrow(_bits(k), schema(key="binary", bits="binary", map="binary")), "bits")
-    bands = some.join(firsts, F.expr("key = k AND doc_id <=> least")).select("key", "bands")
-    marked = marked.join(bands, "key").dropDuplicates(["key"])
+    marked = marked.join(reps.select("key", "bands"), "key")
     sizes = rest.groupBy("h").agg(F.ceil(F.count("*") / MEMBERS).alias("cuts"))
     block = rest.join(marked, "key").join(sizes, "h").groupBy("h", F.expr("pmod(xxhash64(key), cuts)").alias("i")).agg(
         F.collect_list(F.struct("key", "n", "label", "bits", "map", "bands")).alias("two"))
     pairs = block.select("h", F.col("i").alias("j"), F.col("two").alias("one")).join(block, "h").where("j <= i").select("h", F.expr("i = j").alias("same"), "one", "two")
     sifted = stored(pairs.mapInArrow(_sift(percent), schema(a="binary", b="binary")), "pairs")
-    more = confirmed(sifted.distinct(), "key")
-    labels = components(links.union(more)).withColumnRenamed("v", "key")
+    labels = _merged(labels, confirmed(sifted.distinct(), "key"))
 
     named = classes.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    roots = named.groupBy("label").agg(F.min("least").alias("component"))
-    found = named.join(roots, "label").select(F.col("key").alias("k"), "component")
-    out = signed.select("doc_id", "n_shingles", "key").join(found, F.col("key") == F.col("k"), "left")
+    roots = named.groupBy("label").agg(F.min("least").alias("root"))
+    return signed, named.join(roots, "label").select("key", F.col("root.doc_id").alias("component"), F.col("root.row").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Component of each document under "shingle sets at least ``percent`` per cent alike": one row per input row.
+
+    Texts are lower-cased (A-Z) and cut at blanks; a set is the distinct ``k``-word shingles, or the
+    whole sequence of a shorter text. Returns ``doc_id, n_shingles, component_id, kept``.
+
+    Equal sets are one vertex. A set is sketched by one permutation into 200 bins; empty bins borrow from
+    full ones in an order fixed per bin (optimal densification). Each band bucket sends only a star of edges
+    to the exact check on full sets, its centre chosen by hash: first those of :data:`FIRST` bands, then, of the other bands, those whose ends
+    are not linked by then, so a large group of copies costs a few edges per document. Where a bucket's
+    members still end in several components, the pairs between these are left over: a join inside the bucket sifts them by
+    set size, by 1024 one-bit bins (six standard deviations below what the wanted similarity gives) and by the
+    most shingles that two bitmaps can share, and the exact check decides on the rest, so no link is lost.
+
+    NULL, empty and blank texts: ``n_shingles`` 0, a component of their own. A NULL ``doc_id`` is never
+    the least; a component of such rows alone has a NULL id and all are kept. Repeated rows and other rows
+    with one ``doc_id`` share their fate if their texts do. Other columns are ignored; an empty table gives an empty result.
+    """
+    rows = pick(docs, doc_id="bigint", text="string").select("doc_id", line(F.col("text")).alias("text"))
+    signed, found = _grouped(rows, k, percent)
+    out = signed.select("doc_id", "n_shingles", "key").join(found.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.expr("doc_id <=> component_id"))
@@ -252,6 +282,18 @@ def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that are the least of their group of near copies (five-word shingles)."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: exactly one row of each group of near copies (five-word shingles), that of the least ``doc_id``.
+
+    The verdict belongs to the row, not to its id: of rows that share an id, only those in one group replace each other, and of repeated rows
+    one stays. A NULL id comes last; a group of such rows alone keeps one. Rows without words (NULL, empty, blank texts) are in no group and all
+    stay. All columns come back as they were, whatever their names; an empty table gives an empty result.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    whole = F.struct(*plain.columns).alias("doc")
+    at = {n: f"c{names.index(n)}" if n in names else None for n in ("doc_id", "text")}
+    key = (F.col(at["doc_id"]) if at["doc_id"] else F.lit(None)).cast("bigint").alias("doc_id")
+    text = line((F.col(at["text"]) if at["text"] else F.lit(None)).cast("string")).alias("text")
+    signed, found = _grouped(plain.select(key, text, whole), 5, 80)
+    stay = signed.where("key IS NULL").select("row").union(found.select("first").distinct())
+    return signed.join(stay.withColumnRenamed("row", "first"), F.col("row") == F.col("first"), "left_semi").select("doc.*").toDF(*names)

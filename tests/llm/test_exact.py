@@ -75,6 +75,63 @@ def test_leftover_pairs_are_linked_too(table, monkeypatch):
     assert {r.component_id for r in near_dup.near_duplicates(table(rows), 4).collect()} == {0}
 
 
+def kept_rows(rows, k=5):
+    """The rows a group keeps, by plain comparison of every pair of texts: the least id (NULL last) of each, and all without words."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(BLANK_WORD, lower(t or ""))
+        sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = group[a], group[b]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    out = [r for r, s in zip(rows, sets, strict=True) if not s]
+    for g in set(group):
+        members = [rows[i] for i in range(len(rows)) if group[i] == g and sets[i]]
+        if members:
+            out.append(min(members, key=lambda r: (r[0] is None, r[0] or 0)))
+    return out
+
+
+def test_stage_keeps_one_row_of_each_group(spark, corpus):
+    """Shared and NULL ids, repeats, and columns whose names clash."""
+    a, b, c, d = (prose(700 + i, 120) for i in range(4))
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, c), (None, c), (3, None), (3, None), (4, " "), (None, ""), *corpus[:60]]
+    rows += [(7000, d)] * 30 + [(7001, changed(d, 100, 1))] * 30
+    want = collections.Counter(i for i, _ in kept_rows(rows))
+    assert want[2] == 1 and want[7000] + want[7001] == 1 and want[None] == 2 and want[3] == 2 + (3 in dict(corpus[:60]))
+    docs = spark.createDataFrame([(i, t, "en", "s", n, "k") for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, key string")
+    out = near_dup.keep_one_of_each_group(spark, docs, "")
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert collections.Counter(r.doc_id for r in got) == want
+    assert all(rows[r.n_chars] == (r.doc_id, r.text) for r in got)
+    assert (2, b) in {(r.doc_id, r.text) for r in got}
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    clash = docs.withColumn("Text", docs.lang).withColumn("DOC_ID", docs.n_chars)
+    assert near_dup.keep_one_of_each_group(spark, clash, "").count() == len(got)
+
+
+def test_a_large_group_needs_few_edges(table, monkeypatch):
+    """Repeats are one vertex, and once a group is linked the other bands' stars need no check."""
+    sent = []
+    base = prose(5, 400)
+    rows = [(i, changed(base, 200, i)) for i in range(150)] + [(1000, base)] * 40
+    stored = near_dup.stored
+
+    def watched(df, label):
+        out = stored(df, label)
+        if label == "links":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "stored", watched)
+    assert {r.component_id for r in near_dup.near_duplicates(table(rows), 4).collect()} == {0}
+    assert sum(sent) <= near_dup.FIRST * 151
+
+
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
 def test_repeated_passages(table, corpus, hot):
     seen, want = set(), {}
