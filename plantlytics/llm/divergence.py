@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ LEAST_DOCS, PARTS, TOP = 3, 1_000_000_000, 200
 TERM, BETWEEN = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"), re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Bytes of a text, different terms, rows and pairs that a task takes at a time.
-SLICE, HELD, ROWS, PAIRS = 1 << 22, 1 << 19, 1 << 19, 1 << 20
+SLICE, HELD, ROWS, PAIRS = 1 << 22, 1 << 20, 1 << 19, 1 << 20
 #: Partitions' skybands of one group are merged in so many tasks.
 MERGERS = 8
 
@@ -38,30 +39,63 @@ def slices(text: bytes) -> Iterator[bytes]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``lang, source, text`` to ``lang, source, term, n, docs``: occurrences and documents among the rows read so far."""
-    found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    found: dict[tuple[str, str], tuple[dict[bytes, int], dict[bytes, int]]] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in found.items():
-            terms = pa.array([*n], pa.binary()).cast(pa.string())
+        for (lang, source), (docs, more) in found.items():
+            n_docs, n = np.fromiter(docs.values(), np.int64, len(docs)), np.fromiter(map(more.get, docs, repeat(0)), np.int64, len(docs))
+            terms = pa.array([*docs], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.repeat(lang, len(n)), pa.repeat(source, len(n)), terms, pa.array([*n.values()], pa.int64()),
-                 pa.array([docs[t] for t in n], pa.int64())], ["lang", "source", "term", "n", "docs"])
+                [pa.repeat(lang, len(docs)), pa.repeat(source, len(docs)), terms, pa.array(n + n_docs), pa.array(n_docs)],
+                ["lang", "source", "term", "n", "docs"])
         found.clear()
 
     for batch in batches:
         for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            n, docs = found.setdefault((lang, source), (Counter(), Counter()))
-            seen: set[bytes] = set()
+            docs, more = found.setdefault((lang, source), (Counter(), {}))
+            own: Counter = Counter()
             for part in slices(text.encode().translate(LOWER)):
-                terms = TERM.findall(part)
-                n.update(terms)
-                seen.update(terms)
-            docs.update(seen)
-        if sum(len(n) for n, _ in found.values()) > HELD:
+                own.update(TERM.findall(part))
+            docs.update(own.keys())
+            if own.total() > len(own):
+                for term, n in own.items():
+                    if n > 1:
+                        more[term] = more.get(term, 0) + n - 1
+        if sum(len(docs) for docs, _ in found.values()) > HELD:
             yield from flush()
     yield from flush()
 
 
+def _kept_terms(least_docs: int):
+    """``lang, term, source, n, docs`` in order of language and term to ``lang, term, total, per`` (a list of source and n) of the terms in enough documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):  # the last term of a batch may go on in the next
+            if batch is not None:
+                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            if held is None or not held.num_rows:
+                continue
+            lang, term, source, n, docs = (held[i].combine_chunks() for i in range(5))
+            new = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.concatenate(([True], new)))
+            if batch is not None:
+                held, done, first = held.slice(first[-1]), first[-1], first[:-1]
+            else:
+                done = held.num_rows
+            if not done:
+                continue
+            good = np.add.reduceat(docs.to_numpy()[:done], first) >= least_docs
+            size = np.diff(np.append(first, done))
+            rows, lead = np.flatnonzero(np.repeat(good, size)), pa.array(first[good])
+            per = pa.StructArray.from_arrays([source.take(pa.array(rows)), n.take(pa.array(rows))], ["source", "n"])
+            off = pa.array(np.concatenate(([0], np.cumsum(size[good]))), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [lang.take(lead), term.take(lead), pa.array(np.add.reduceat(n.to_numpy()[:done], first)[good]), pa.ListArray.from_arrays(off, per)],
+                ["lang", "term", "total", "per"])
+
+    return run
+
+
 def skyband(count: np.ndarray, total: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
     """Places of the terms of one group that fewer than ``k`` others dominate: by a count as high, a total as low and an earlier name.
 
@@ -75,12 +109,13 @@ def skyband(count: np.ndarray, total: np.ndarray, rank: np.ndarray, k: int) -> n
     place = np.arange(len(order))
     new = np.concatenate(([True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])))
     order = order[place - np.maximum.accumulate(np.where(new, place, 0)) < k]  # of equal numbers the first k names
-    t, r = total[order], rank[order]
+    t, r = np.unique(total[order], return_inverse=True)[1].astype(np.int32), np.argsort(np.argsort(rank[order])).astype(np.int32)
+    count_true = lambda there: np.bitwise_count(np.packbits(there, axis=1)).sum(1, dtype=np.int64)
     kept, kept_t, kept_r = [], t[:0], r[:0]
     for a in range(0, len(order), 512):
         tt, rr = t[a : a + 512], r[a : a + 512]
-        over = ((kept_t <= tt[:, None]) & (kept_r < rr[:, None])).sum(1)
-        over += np.tril((tt <= tt[:, None]) & (rr < rr[:, None]), -1).sum(1)
+        over = count_true((kept_t <= tt[:, None]) & (kept_r < rr[:, None]))
+        over += count_true(np.tril((tt <= tt[:, None]) & (rr < rr[:, None]), -1))
         good = over < k
         kept.append(order[a : a + 512][good])
         kept_t, kept_r = np.concatenate((kept_t, tt[good])), np.concatenate((kept_r, rr[good]))
@@ -130,20 +165,32 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Pairs of sources are counted in blocks, and a task hands on one row per combination, not per term.
     """
-    held: list[pd.DataFrame] = []
-    size = 0
+    names: dict[str, int] = {}
     by = ["lang", "s", "cs", "t", "ct"]
 
+    def coded(column: pa.Array) -> np.ndarray:
+        column = column.dictionary_encode()
+        return np.array([names.setdefault(x, len(names)) for x in column.dictionary.to_pylist()], np.int64)[column.indices.to_numpy()]
+
     def total(frames: list[pd.DataFrame]) -> pd.DataFrame:
         return pd.concat(frames).groupby(by, sort=False, as_index=False)["k"].sum()
 
+    def named(frame: pd.DataFrame) -> pa.RecordBatch:
+        text = np.array([*names], object)
+        late = text[frame["s"]] > text[frame["t"]]  # by code point, as UTF-8 sorts
+        s, t = np.where(late, frame["t"], frame["s"]), np.where(late, frame["s"], frame["t"])
+        cs, ct = np.where(late, frame["ct"], frame["cs"]), np.where(late, frame["cs"], frame["ct"])
+        column = lambda x: pa.DictionaryArray.from_arrays(pa.array(x), pa.array([*names], pa.string())).cast(pa.string())
+        return pa.RecordBatch.from_arrays(
+            [column(frame["lang"].to_numpy()), column(s), pa.array(cs), column(t), pa.array(ct), pa.array(frame["k"].to_numpy())], [*by, "k"])
+
+    held: list[pd.DataFrame] = []
+    size = 0
     for batch in batches:
         at, per = pc.list_parent_indices(batch.column(3)).to_numpy(), pc.list_flatten(batch.column(3))
         if not len(at):
             continue
-        names = pc.struct_field(per, 0).to_numpy(zero_copy_only=False).astype(object)
-        known, code = np.unique(names, return_inverse=True)  # by code point, as UTF-8 sorts
-        langs, lang = np.unique(batch.column(0).to_numpy(zero_copy_only=False).astype(object), return_inverse=True)
+        code, lang = coded(pc.struct_field(per, 0)), coded(batch.column(0))
         count = pc.struct_field(per, 1).to_numpy(zero_copy_only=False)
         order = np.lexsort((code, at))
         at, code, count = at[order], code[order], count[order]
@@ -158,19 +205,16 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i in range(0, width - 1, across):
                     x, y = np.nonzero(np.triu(np.ones((min(across, width - 1 - i), width), bool), i + 1))
                     one, two = (own[:, None] + x + i).ravel(), (own[:, None] + y).ravel()
-                    part = pd.DataFrame({"lang": lang[at[one]], "s": code[one], "cs": count[one], "t": code[two], "ct": count[two], "k": 1})
-                    part = total([part])
-                    part["lang"], part["s"], part["t"] = langs[part["lang"]], known[part["s"]], known[part["t"]]
-                    held.append(part)
-                    size += len(part)
-                    if size > 2 * ROWS:
+                    held.append(pd.DataFrame({"lang": lang[at[one]], "s": code[one], "cs": count[one], "t": code[two], "ct": count[two], "k": 1}))
+                    size += len(one)
+                    if size > 2 * PAIRS:
                         held = [total(held)]
                         size = len(held[0])
-                        if size > ROWS:
-                            yield pa.RecordBatch.from_pandas(held[0], preserve_index=False)
+                        if size > PAIRS:
+                            yield named(held[0])
                             held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_pandas(total(held), preserve_index=False)
+        yield named(total(held))
 
 
 def share(count: str, whole: str) -> Column:
@@ -200,9 +244,10 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) ->
     """
     rows = pick(docs, lang="string", source="string", text="string").fillna("")
     counts = rows.mapInArrow(_counts, schema(lang="string", source="string", term="string", n="bigint", docs="bigint"))
-    counts = counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    terms = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("per"))
-    terms = stored(terms.where(F.col("docs") >= least_docs).select("lang", "term", "total", "per"), "terms")
+    counts = counts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    kinds = schema(lang="string", term="string", total="bigint", per="array<struct<source: string, n: bigint>>")
+    terms = counts.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_kept_terms(least_docs), kinds)
+    terms = stored(terms, "terms")
 
     # How many kept terms have a count in a group; all sizes follow from it.
     alone = stored(terms.select("lang", F.inline("per")).groupBy("lang", "source", "n").agg(F.count("*").alias("k")), "counts")

@@ -91,3 +91,18 @@ def test_odd_and_empty(odd):
 def test_shares_beyond_64_bits(spark):
     got = spark.range(1).selectExpr("12345678901234 AS n", "98765432109876543 AS whole").select(divergence.share("n", "whole").alias("p")).first().p
     assert got == 1 + 10**9 * 12345678901235 // 98765432109876543
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_terms_that_go_on_in_the_next_batch(size):
+    import pyarrow as pa
+
+    r = random.Random(size)
+    rows = sorted((r.choice(["de", "en"]), r.choice("abcdeé"), f"s{i}", r.randrange(1, 5), 1) for i in range(60))
+    table = pa.table(dict(zip(["lang", "term", "source", "n", "docs"], map(list, zip(*rows)))))
+    out = divergence._kept_terms(4)(iter([b for b in table.to_batches(max_chunksize=size)]))
+    got = {(x["lang"], x["term"]): (x["total"], sorted((p["source"], p["n"]) for p in x["per"])) for b in out for x in b.to_pylist()}
+    want = collections.defaultdict(list)
+    for lang, term, source, n, _ in rows:
+        want[lang, term].append((source, n))
+    assert got == {k: (sum(n for _, n in v), sorted(v)) for k, v in want.items() if len(v) >= 4}
