@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plantlytics.functions import scalars as S
 from plantlytics.operators.filters import ready_filter
-from plantlytics.operators.ordering import CHUNK, ROWS_PER_CHUNK, with_chunks
+from plantlytics.operators.ordering import (
+    CHUNK, LOCAL, NEXT, WEIGHT, few, in_order, joined, last_chunk, neighbours, row_blocks, run_pieces, time_order, totals_before, with_fields, written,
+)
 from plantlytics.roles import Roles, col
 
 # Names of the three shares and codes of the three states.
@@ -75,95 +78,68 @@ def status_timeline(df: DataFrame, roles: Roles) -> DataFrame:
     return (df if roles.on else df.limit(0)).withColumn("status", status(df, roles))
 
 
-def _numbered(df: DataFrame, roles: Roles, state: str, rows_per_chunk: int) -> DataFrame:
-    """Add the running ``block`` number of equal ``state`` and ``__next`` (state of the next row).
+def _offsets(ends: DataFrame, keys: list[str], chunks: int) -> DataFrame:
+    """To ``lo, hi`` (local block numbers), ``first`` and ``last`` state of each chunk: the number of its first block (``base``)
+    and the state that follows the chunk."""
+    linked = neighbours(ends, keys, chunks)
+    joint = F.coalesce((F.col("previous") != F.col("first")).cast("long"), F.lit(0))
+    linked = linked.withColumn("joint", joint).withColumn("steps", F.col("hi") - F.col("lo") + F.col("joint"))
+    return totals_before(linked, keys, chunks, "steps").withColumn("base", F.col("before") + F.col("joint") + 1 - F.col("lo"))
 
-    Blocks are numbered inside each chunk; the summary below has one row per chunk
-    (and unit) and says how many blocks came before. It meets the rows again on the
-    key they are already partitioned by.
-    """
-    keys = [*roles.keys, CHUNK]
-    s = col(state)
-    stepped = _stepped(df, roles, state, rows_per_chunk)
-    ends = stepped.groupBy(*[col(k) for k in keys]).agg(
-        F.max("__local").alias("__steps"),
-        F.max(F.when(F.col("__prev").isNull(), s)).alias("__first"),
-        F.max(F.when(F.col("__next").isNull(), s)).alias("__last"),
-    )
-    offsets = _offsets(ends, roles)
-    return (
-        stepped.join(offsets, keys)
-        .withColumn("block", F.col("__before") + F.col("__local"))
-        .withColumn("__next", F.coalesce("__next", "__following"))
-    )
 
+def _ends(rows: DataFrame, keys: list[str], state: str) -> DataFrame:
+    names = [col(k) for k in [*keys, CHUNK]]
+    return rows.groupBy(*names).agg(
+        F.min(LOCAL).alias("lo"), F.max(LOCAL).alias("hi"), F.min_by(state, LOCAL).alias("first"), F.max_by(state, LOCAL).alias("last"))
 
-def _stepped(df: DataFrame, roles: Roles, state: str, rows_per_chunk: int) -> DataFrame:
-    """Rows with the states before and after them and the number of changes so far, all inside their chunk."""
-    chunked = with_chunks(df, roles, rows_per_chunk)
-    # Rows without an id that agree in everything are interchangeable; others get one order by content.
-    ties = [] if roles.row_id else [F.xxhash64(*[col(c) for c in df.columns])]
-    inside = Window.partitionBy(*[col(k) for k in [*roles.keys, CHUNK]]).orderBy(*[col(c) for c in roles.order], *ties)
-    s = col(state)
-    return (
-        chunked.withColumn("__prev", F.lag(s).over(inside))
-        .withColumn("__next", F.lead(s).over(inside))
-        .withColumn("__step", F.coalesce((F.col("__prev") != s).cast("long"), F.lit(0)))
-        .withColumn("__local", F.sum("__step").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    )
 
+def _numbered(df: DataFrame, roles: Roles, rows_per_chunk: int | None) -> DataFrame:
+    """Add the running ``block`` number of equal ``state``, the state of the next row and the weight of the row.
 
-def _offsets(ends: DataFrame, roles: Roles) -> DataFrame:
-    """Per chunk the blocks before its first (``__before``) and the state that follows it."""
-    keys = [*roles.keys, CHUNK]
-    # One row per chunk, a millionth of the rows.
-    across = Window.partitionBy(*[col(k) for k in roles.keys] or [F.lit(0)]).orderBy(CHUNK)
-    joint = F.coalesce((F.lag("__last").over(across) != F.col("__first")).cast("long"), F.lit(0))
-    return ends.withColumn("__joint", joint).select(
-        *[col(k) for k in keys],
-        (
-            F.sum(F.col("__steps") + F.col("__joint")).over(across.rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("__steps") + 1
-        ).alias("__before"),
-        F.lead("__first").over(across).alias("__following"),
+    The rows are shuffled once, sorted, numbered inside their chunks and written. One row per chunk (and unit) says how many
+    blocks came before; it is broadcast to the rows unless there are too many.
+    """
+    weighed, order = time_order(df, roles)
+    names = [*roles.keys, *[c for c in weighed.columns if c not in roles.keys]]
+    rows = in_order(weighed, order, rows_per_chunk).select(*[col(c) for c in names])
+    kinds = with_fields(rows, *[T.StructField(n, T.LongType()) for n in (CHUNK, LOCAL)], T.StructField(NEXT, rows.schema["state"].dataType))
+    stepped = written(rows.mapInArrow(row_blocks(len(roles.keys), names.index("state")), kinds), "blocks")
+    offsets = few(_offsets(_ends(stepped, roles.keys, "state"), roles.keys, last_chunk(stepped)), "offsets")
+    offsets = offsets.select(*[col(k) for k in roles.keys], CHUNK, "base", F.col("following").alias("__following"))
+    return (
+        joined(stepped, offsets, [*roles.keys, CHUNK])
+        .withColumn("block", F.col("base") + F.col(LOCAL))
+        .withColumn(NEXT, F.coalesce(NEXT, "__following"))
     )
 
 
-def status_runs(df: DataFrame, roles: Roles, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def status_runs(df: DataFrame, roles: Roles, rows_per_chunk: int | None = None) -> DataFrame:
     """``(block, status, x0, x1, n)``: maximal stretches of equal status.
 
     ``x1`` is the last time inside the run, one minute later for a run of one instant.
-    A table without readiness has no runs. The rows are sorted once, inside their chunks, and
-    give the runs of each chunk; only these are shuffled again, numbered and stitched across chunks.
+    A table without readiness has no runs. The rows are shuffled and sorted once and give the runs of each
+    chunk; only these are written, numbered and stitched across chunks.
     """
     d = _timed(df, roles, [status(df, roles).alias("status")])
     if roles.ready is None or roles.on is None:
         d = d.limit(0)
+    weighed, order = time_order(d, roles)
+    names = [*roles.keys, roles.time, "status", WEIGHT]
+    rows = in_order(weighed, order, rows_per_chunk).select(*[col(c) for c in names])
+    time, long = rows.schema[roles.time].dataType, T.LongType()
+    kinds = T.StructType([*[rows.schema[k] for k in roles.keys], *[T.StructField(n, kind) for n, kind in (
+        (CHUNK, long), (LOCAL, long), ("state", T.IntegerType()), ("x0", time), ("x1", time), ("n", long))]])
     keys = [col(k) for k in [*roles.keys, CHUNK]]
-    pieces = (
-        _stepped(d, roles, "status", rows_per_chunk)
-        .groupBy(*keys, "__local")
-        .agg(
-            F.max("status").alias("status"),
-            F.min(col(roles.time)).alias("x0"),
-            F.max(col(roles.time)).alias("__end"),
-            F.count(F.lit(1)).alias("n"),
-        )
-        .repartition(*keys)  # the exchange that the summary and the join below share
-    )
-    ends = pieces.groupBy(*keys).agg(
-        F.max("__local").alias("__steps"),
-        F.max(F.when(F.col("__local") == 0, F.col("status"))).alias("__first"),
-        F.max_by("status", "__local").alias("__last"),
-    )
+    pieces = written(rows.mapInArrow(run_pieces(len(roles.keys)), kinds), "runs")
+    offsets = _offsets(_ends(pieces, roles.keys, "state"), roles.keys, last_chunk(pieces)).select(*keys, "base")
     runs = (
-        pieces.join(_offsets(ends, roles), [*roles.keys, CHUNK])
-        .withColumn("block", F.col("__before") + F.col("__local"))
+        joined(pieces, offsets, [*roles.keys, CHUNK])
+        .withColumn("block", F.col("base") + F.col(LOCAL))
         .groupBy(*[col(k) for k in roles.keys], "block")
         .agg(
-            F.max("status").alias("status"),
+            F.max("state").alias("status"),
             F.min("x0").alias("x0"),
-            F.max("__end").alias("__end"),
+            F.max("x1").alias("__end"),
             F.sum("n").alias("n"),
         )
     )
@@ -188,18 +164,21 @@ def _ready_series(df: DataFrame, roles: Roles, kpis: list[str]) -> DataFrame:
 
 
 def state_blocks(
-    df: DataFrame, roles: Roles, kpis: list[str], rows_per_chunk: int = ROWS_PER_CHUNK
+    df: DataFrame, roles: Roles, kpis: list[str], rows_per_chunk: int | None = None
 ) -> DataFrame:
     """Ready rows with the running number of their ON/OFF block.
 
     Numbering follows the ready filter, so a block runs on across gaps of readiness.
     """
     series = _ready_series(df, roles, kpis)
-    return _numbered(series, roles, "state", rows_per_chunk).select(*[col(c) for c in series.columns], "block")
+    numbered = _numbered(series, roles, rows_per_chunk)
+    if roles.row_id is None:  # one row per weight
+        numbered = numbered.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col(WEIGHT))).alias("__copy"))
+    return numbered.select(*[col(c) for c in series.columns], "block")
 
 
 def block_points(
-    df: DataFrame, roles: Roles, kpis: list[str], rows_per_chunk: int = ROWS_PER_CHUNK
+    df: DataFrame, roles: Roles, kpis: list[str], rows_per_chunk: int | None = None
 ) -> DataFrame:
     """Points to draw per block: its own rows and the last row before it.
 
@@ -207,11 +186,12 @@ def block_points(
     ``block_state`` is the state of the block the point is drawn with.
     """
     series = _ready_series(df, roles, kpis)
-    numbered = _numbered(series, roles, "state", rows_per_chunk)
+    numbered = _numbered(series, roles, rows_per_chunk)
     own = F.struct(F.col("block").alias("block"), F.col("state").alias("block_state"))
-    carried = F.struct((F.col("block") + 1).alias("block"), F.col("__next").alias("block_state"))
-    is_last = F.col("__next").isNotNull() & (F.col("__next") != F.col("state"))
+    carried = F.struct((F.col("block") + 1).alias("block"), F.col(NEXT).alias("block_state"))
+    is_last = F.col(NEXT).isNotNull() & (F.col(NEXT) != F.col("state"))
+    copies = F.array(own) if roles.row_id else F.array_repeat(own, F.col(WEIGHT).cast("int"))
     return numbered.select(
         *[col(c) for c in series.columns],
-        F.inline(F.when(is_last, F.array(own, carried)).otherwise(F.array(own))),
+        F.inline(F.when(is_last, F.concat(copies, F.array(carried))).otherwise(copies)),
     )

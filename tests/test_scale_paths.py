@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,8 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plantlytics.operators import distribution, quantiles, rollup, states
-from plantlytics.operators.ordering import CHUNK, with_chunks
+from plantlytics.operators import distribution, ordering, quantiles, rollup, states
+from plantlytics.operators.ordering import CHUNK
 from plantlytics.roles import Roles
 
 PROBS, NAMES = (0.25, 0.5, 0.75), ("q1", "median", "q3")
@@ -111,25 +112,115 @@ def test_runs_match_one_big_window(spark, rows_per_chunk, hot_share):
     assert all(a.status != b.status for a, b in zip(ordered, ordered[1:]))
 
 
+def chunked(df, roles, rows_per_chunk):
+    weighed, order = ordering.time_order(df, roles)
+    return ordering.in_order(weighed, order, rows_per_chunk).withColumn(CHUNK, F.spark_partition_id())
+
+
 def test_hot_instant_is_split(spark):
     df = telemetry(spark, random_rows(1, 4000, 0.5))
-    chunked = with_chunks(df, ROLES, 100)
-    sizes = [r["count"] for r in chunked.groupBy(CHUNK).count().collect()]
-    assert len(sizes) > 30 and max(sizes) < 400
-    order = [(r.t, r.row_id) for r in chunked.orderBy(CHUNK, "t", "row_id").collect()]
+    rows = chunked(df, ROLES, 100).select(CHUNK, "t", "row_id").collect()
+    sizes = Counter(r[CHUNK] for r in rows)
+    assert len(sizes) > 30 and max(sizes.values()) < 400
+    order = [(r.t, r.row_id) for r in sorted(rows, key=lambda r: (r[CHUNK], r.t, r.row_id))]
     assert order == sorted(order)
 
 
 def test_chunks_follow_the_rows(spark):
     df = telemetry(spark, random_rows(2, 1000, 0.0, 400))
-    few, many = (with_chunks(df, ROLES, n).select(CHUNK).distinct().count() for n in (100, 10))
-    assert few <= 11 and many > 50
+    small, many = (chunked(df, ROLES, n).select(CHUNK).distinct().count() for n in (100, 10))
+    assert small <= 11 and many > 50
 
 
-def test_hot_instant_needs_row_ids(spark):
-    df = telemetry(spark, random_rows(1, 1000, 0.5))
-    with pytest.raises(ValueError, match="row_id"):
-        with_chunks(df, Roles("t", "on", "ready"), 100)
+def test_hot_instant_without_row_ids_is_split(spark):
+    """Rows of one time follow their content; rows that agree in everything count as one."""
+    df = telemetry(spark, random_rows(1, 4000, 0.5)).withColumn("kpi", F.col("row_id") * 0.5)
+    roles = Roles("t", "on", "ready")
+    sizes = Counter(r[CHUNK] for r in chunked(df.drop("row_id"), roles, 100).select(CHUNK).collect())
+    assert len(sizes) > 30 and max(sizes.values()) < 400
+    blocks = states.state_blocks(df.drop("row_id"), roles, ["kpi"], 100)
+    assert blocks.count() == df.where("ready = 1").count()
+    bare = df.select("t", "on", "ready")
+    assert sum(r.n for r in states.status_runs(bare, roles, 50).collect()) == 4000
+    again = states.state_blocks(bare, roles, [], 50).collect()
+    assert len(again) == df.where("ready = 1").count()
+    points = states.block_points(bare, roles, [], 50).collect()
+    assert len(points) == len(again) + max(r.block for r in again) - 1
+
+
+def one_big_scan(rows, value):
+    """Per key, over chunks in order: previous last, following first, and the sum before."""
+    out = {}
+    for key in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: r[1])
+        for i, r in enumerate(mine):
+            out[key, r[1]] = (mine[i - 1][3] if i else None, mine[i + 1][2] if i + 1 < len(mine) else None, sum(x[4] for x in mine[:i]))
+    return out
+
+
+@pytest.mark.parametrize("width", [2, 3, 256])
+def test_scan_in_levels(spark, monkeypatch, width):
+    monkeypatch.setattr(ordering, "WIDTH", width)
+    rng = random.Random(width)
+    rows = [(k, c, rng.randrange(3), rng.randrange(3), rng.randrange(9)) for k in ("a", "b", None) for c in range(40) if rng.random() < 0.6]
+    table = spark.createDataFrame(rows, "unit string, __chunk long, first int, last int, v long")
+    linked = ordering.neighbours(table, ["unit"], 40).select("unit", CHUNK, "previous", "following", "v")
+    got = ordering.totals_before(linked, ["unit"], 40, "v").collect()
+    assert {(r.unit, r[CHUNK]): (r.previous, r.following, r.before) for r in got} == one_big_scan(rows, 4)
+
+
+def test_runs_and_blocks_over_many_levels(spark, monkeypatch):
+    """Chunks of a few rows, levels of three, small Arrow batches, and units, one of them NULL."""
+    monkeypatch.setattr(ordering, "WIDTH", 3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        df = telemetry(spark, random_rows(9, 600, 0.3, 200)).withColumn("unit", F.expr("CASE WHEN row_id % 5 < 3 THEN 'a' WHEN row_id % 5 = 3 THEN 'b' END"))
+        df = df.withColumn("kpi", F.col("row_id") * 1.0)
+        got = states.status_runs(df.drop("unit"), ROLES, 20).collect()
+        assert sorted((r.block, r.status, r.x0, r.n) for r in got) == plain_runs(df)
+        by_unit = Roles("t", "on", "ready", "row_id", "unit")
+        runs = states.status_runs(df, by_unit, 20).collect()
+        blocks = states.state_blocks(df, by_unit, ["kpi"], 20).collect()
+        points = states.block_points(df, by_unit, ["kpi"], 20).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for unit in ("a", "b", None):
+        own = df.where(F.col("unit").eqNullSafe(F.lit(unit)))
+        assert sorted((r.block, r.status, r.x0, r.n) for r in runs if r.unit == unit) == plain_runs(own)
+        series, block, last = {}, 0, None
+        for r in own.where("ready >= 1").orderBy("t", "row_id").collect():
+            state = int(r.on >= 1)
+            block += state != last
+            last = state
+            series[r.row_id] = (block, state)
+        assert {r.row_id: (r.block, r.state) for r in blocks if r.unit == unit} == series
+        ends = {b: max((r.t, r.row_id) for r in blocks if r.unit == unit and r.block == b)[1] for b, _ in series.values()}
+        want = {(i, b, s) for i, (b, s) in series.items()} | {(ends[b], b + 1, 1 - s) for b, s in series.values() if b + 1 in ends}
+        assert {(r.row_id, r.block, r.block_state) for r in points if r.unit == unit} == want
+
+
+def test_rows_are_shuffled_once_and_no_cut_point_passes_the_driver(spark, monkeypatch):
+    """The rows' one exchange is Spark's own range partitioning; what is read afterwards are the chunks' tables."""
+    plans = []
+    written = ordering.written
+    monkeypatch.setattr(states, "written", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, label))
+    df = telemetry(spark, random_rows(5, 3000, 0.5, 400)).withColumn("kpi", F.lit(1.0))
+    states.state_blocks(df, ROLES, ["kpi"], 100).collect()
+    states.status_runs(df, ROLES, 100).collect()
+    assert len(plans) == 2
+    for plan in plans:
+        plan = plan.split("Initial Plan")[-1]
+        assert plan.count("rangepartitioning") == 1 and "hashpartitioning" not in plan and "SinglePartition" not in plan
+
+
+def test_row_numbers(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "WIDTH", 2)
+    df = spark.range(500).select((F.col("id") * 37 % 500).alias("k"), (F.col("id") % 7).alias("v"))
+    assert {r.k: r.number for r in ordering.row_numbers(df, ["k"], rows_per_chunk=20).collect()} == {k: k + 1 for k in range(500)}
+    rows = sorted((r.k, r.v) for r in df.collect())
+    sums = {r.k: r.s for r in ordering.row_numbers(df, ["k"], "s", 20, "v").collect()}
+    assert sums == {k: sum(v for _, v in rows[:k]) for k, _ in rows}
 
 
 def test_ties_without_row_id_have_one_order(spark):
@@ -151,12 +242,3 @@ def test_density_shuffles_no_value_and_buckets_need_no_sort(spark, golden):
     assert not re.search(r"hashpartitioning\([^)]*value", curve)
     ohlc = rollup.bucket_ohlc(golden, roles, "kpi", [], 3600)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in ohlc and "SortAggregate" not in ohlc
-
-
-@pytest.mark.parametrize("hot_share", [0.0, 0.5])
-def test_both_branches_share_one_shuffle(spark, hot_share):
-    df = telemetry(spark, random_rows(5, 3000, hot_share, 400))
-    path_df = states.status_runs(df, ROLES, 100)
-    path_df.collect()
-    plan = path_df._jdf.queryExecution().executedPlan().toString()
-    assert "ReusedExchange" in plan.split("Initial Plan")[0]
