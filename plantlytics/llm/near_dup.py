@@ -233,9 +233,9 @@ def _grouped(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     labels = _merged(labels, confirmed(apart, "v"))
 
     known = reps.select("v", "key", "n").join(labels, "key")
-    members = arms.select("v", "h").union(arms.select(F.col("c").alias("v"), "h").distinct()).join(known, "v")
+    members = arms.select("v", "h").join(known, "v")  # without the centres: all pairs with these are told
     open_h = members.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-    rest = stored(members.join(open_h, "h").select("h", "key", "n", "label").distinct(), "open")
+    rest = stored(members.join(open_h, "h").select("h", "key", "n", "label"), "open")
     marked = stored(reps.join(rest.select("key").distinct(), "key", "left_semi").select("key", "packed")
                     .mapInArrow(_bits(k), schema(key="binary", bits="binary", map="binary")), "bits")
     marked = marked.join(reps.select("key", "bands"), "key")
