@@ -99,15 +99,87 @@ def test_split_files(spark, tmp_path):
         assert [n for _, n in mine] == list(range(part * 5000, part * 5000 + 5000))
 
 
-def test_preamble_must_fit_one_split(spark, tmp_path):
-    path = put(tmp_path, "a.txt", log(["Date"] + [f"s{i}" for i in range(2000)], ["2025-01-01 00:00:00\t1"]))
+@pytest.fixture
+def split_bytes(spark):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
-    try:
-        with pytest.raises(ValueError, match="preamble"):
-            P.read_plant_log(spark, path)
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    yield lambda size: spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("size,end", [(30, "\r\n"), (41, "\r"), (120, "\n"), (1000, "\n"), (100_000, "\r\n")])
+def test_preambles_longer_than_a_split(spark, tmp_path, split_bytes, end, size):
+    """No line of a preamble becomes a row, whatever the size of the splits."""
+    names, want = ["Date", "v", "long name " * 3], []
+    for part, rows in enumerate([3, 1, 0]):
+        lines = [f"2025-01-01 00:{i:02}:00\t{part * 100 + i}\té" for i in range(rows)]
+        want += [str(part * 100 + i) for i in range(rows)]
+        put(tmp_path, f"f{part}.txt", log(names, lines, end=end, bom=part == 1))
+    put(tmp_path, "f9.txt", log(["Date", "v", "other"], [], end=end))
+    split_bytes(size)
+    rows = P.read_plant_log(spark, P.uploads(str(tmp_path))).collect()
+    assert [r.v for r in sorted(rows, key=lambda r: r.row_id)] == want
+    assert len({r.row_id for r in rows}) == len(want)
+    both = P.read_plant_log(spark, P.uploads(str(tmp_path)), allow_missing=True).collect()
+    assert [r.v for r in sorted(both, key=lambda r: r.row_id)] == want
+    summary = P.load_summary(spark, P.uploads(str(tmp_path))).first()
+    assert (summary.file_count, summary.records, summary.replaced) == (4, len(want), 0)
+
+
+def test_headers_behind_a_split_border(spark, tmp_path, split_bytes):
+    a = put(tmp_path, "a.txt", log(["Date", "v"], ["2025-01-01 00:00:00\t1"]))
+    b = put(tmp_path, "b.txt", log(["Date", "w"], ["2025-01-01 00:00:00\t2"]))
+    split_bytes(40)
+    with pytest.raises(Exception, match="differs from"):
+        P.read_plant_log(spark, [a, b]).collect()
+    assert {(r.v, r.w) for r in P.read_plant_log(spark, [a, b], allow_missing=True).collect()} == {("1", None), (None, "2")}
+
+
+def test_smaller_splits_than_planned_are_an_error(spark, tmp_path, split_bytes):
+    path = put(tmp_path, "a.txt", log(["Date"] + [f"s{i}" for i in range(600)], ["2025-01-01 00:00:00\t1"]))
+    raw = P.read_plant_log(spark, path)
+    split_bytes(2000)
+    with pytest.raises(Exception, match="preamble reaches"):
+        raw.collect()
+
+
+def test_large_files_are_only_looked_into(spark, tmp_path, split_bytes):
+    """The look at the heads reads a batch of each task's first split, not the files."""
+    rows = [f"2025-01-01 00:00:00\t{i}" for i in range(60_000)]
+    path = put(tmp_path, "a.txt", log(["Date", "v"], rows))
+    split_bytes(400_000)
+    heads = P._text(spark, path).mapInArrow(P._first_of_partition, "file_id long, start long, length long, lines long").collect()
+    assert len(heads) > 3 and sorted((r.start, r.lines) for r in heads)[0] == (0, 10)
+    assert P._long_preambles(spark, path, None) is None
+    assert P.read_plant_log(spark, path).count() == 60_000
+
+
+def test_places_of_many_and_large_files(spark, monkeypatch):
+    """Row ids of 100,000 files of three terabytes don't meet, in one task or in chunks."""
+    size = 3 << 40
+    files = spark.range(100_000).select(F.format_string("f%06d", "id").alias("file"), (F.lit(size) + F.col("id")).alias("bytes"))
+    monkeypatch.setattr(P, "_listing", lambda spark, paths: files)
+    for limit in (P.FEW_FILES, 30_000):
+        monkeypatch.setattr(P, "FEW_FILES", limit)
+        places = P._places(spark, "").join(files.withColumn("file_id", F.xxhash64("file")), "file_id").orderBy("file").collect()
+        assert len(places) == 100_000
+        assert all(a.base + a.bytes + 1 == b.base for a, b in zip(places, places[1:])) and places[0].base == 0
+        assert places[-1].base + places[-1].bytes < 2**63
+
+
+def test_replaced_bytes_are_counted(spark, tmp_path):
+    data = log(["Date", "v"], []) + b"2025-01-01 00:00:00\t\xff\n2025-01-01 00:01:00\t\xef\xbf\xbd\n2025-01-01 00:02:00\tx\xfe\xffy\xef\xbf\xbd\nbad\t1\n"
+    path = put(tmp_path, "a.txt", data.replace(b"title", b"t\xff"))
+    row = P.load_summary(spark, path).first()
+    assert (row.file_count, row.records, row.replaced) == (1, 3, 3)
+    same = P.load_summary(spark, path, allow_missing=True).first()
+    assert (same.file_count, same.records, same.replaced, same.total_mb) == (row.file_count, row.records, row.replaced, row.total_mb)
+
+
+def test_quotes_leave_the_other_lines_alone(spark, tmp_path):
+    rows = [f'2025-01-01 00:00:00\t{i}\t"a\tb"' if i % 7 == 0 else f"2025-01-01 00:00:00\t{i}" for i in range(100)]
+    path = put(tmp_path, "a.txt", log(["Date", "v", "w"], rows))
+    got = {int(r.v): r.w for r in P.read_plant_log(spark, path).collect()}
+    assert got == {i: "a\tb" if i % 7 == 0 else None for i in range(100)}
 
 
 def test_discover(spark, tmp_path):
