@@ -6,6 +6,8 @@ because Spark orders NaN above every number and equal to itself.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,12 @@ from pyspark.sql import types as T
 from plantlytics.roles import col
 
 LOG_TIME_PATTERN = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(\.\d{0,9})?$"
+#: Stands for the log time above among other formats; day-first formats, most detailed first.
+ISO = "ISO"
+DAY_FIRST = (
+    "d/M/yyyy H:mm:ss[.SSSSSSSSS]", "d/M/yyyy H:mm", "d/M/yyyy", "d-M-yyyy H:mm:ss[.SSSSSSSSS]", "d-M-yyyy H:mm", "d-M-yyyy",
+    "d.M.yyyy H:mm:ss[.SSSSSSSSS]", "d.M.yyyy H:mm", "d.M.yyyy",
+)
 # Text that stands for a missing value in an export.
 NULL_TOKEN_PATTERN = r"(?i)^\s*(?:nan|null|none|nat)?\s*$"
 BLANK_PATTERN = r"^\s*$"
@@ -90,17 +98,26 @@ def parse_log_time(x: Column) -> Column:
     return F.when(x.rlike(LOG_TIME_PATTERN), x.try_cast("timestamp_ntz"))
 
 
-def to_datetime(x: Column, data_type: T.DataType | None = None) -> Column:
-    """Lenient time: whatever Spark can read as a wall-clock time, else NULL."""
+def to_datetime(x: Column, data_type: T.DataType | None = None, formats: Sequence[str] | None = None) -> Column:
+    """Lenient time: whatever Spark can read as a wall-clock time, else NULL.
+
+    With ``formats``, datetime patterns of Spark, a text is read by the first that fits the whole of it, blanks around it
+    aside, and by nothing else: name :data:`ISO` among them where such times occur too. Their order settles
+    texts that fit several, such as day-first and month-first dates.
+    """
     if isinstance(data_type, T.TimestampNTZType):
         return x
-    return x.try_cast("timestamp_ntz")
+    if formats is None:
+        return x.try_cast("timestamp_ntz")
+    text = F.btrim(x, F.lit(_STRIPPED))
+    readings = [parse_log_time(text) if f == ISO else F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    return F.coalesce(*readings)
 
 
-def time_of(df: DataFrame, name: str) -> Column:
-    """A time column; text is read leniently, unreadable text is NULL."""
+def time_of(df: DataFrame, name: str, formats: Sequence[str] | None = None) -> Column:
+    """A time column; text is read leniently or by formats, unreadable text is NULL."""
     is_text = isinstance(df.schema[name].dataType, T.StringType)
-    return to_datetime(col(name)) if is_text else col(name)
+    return to_datetime(col(name), formats=formats) if is_text else col(name)
 
 
 def micros(x: Column) -> Column:

@@ -16,7 +16,7 @@ from plantlytics.roles import Roles
 GRID = 300
 BINS = 40
 FINE_CELLS = 1 << 14
-_BLOCK = 256  # values per matrix: small enough for the cache
+NEGLECTED = 1e-13  # of a point's height: what all values beyond a kernel's reach may add at most
 _MERGE = 1 << 20  # rows a task holds before it merges equal values and adds up
 
 
@@ -83,8 +83,9 @@ def kde_counts(
     state, missing values included. ``method="binned"`` first spreads the values over
     fine cells: an approximation whose cost no longer grows with the distinct values.
 
-    Each task merges equal values, adds up their kernels at the 300 points and hands on one
-    row per point and state, straight from the scan: no value is shuffled.
+    Each task merges equal values, adds up their kernels at the points within reach and hands on one
+    row per point and state, straight from the scan: no value is shuffled. A kernel reaches as far as it can
+    change the result: beyond, all values together add less than :data:`NEGLECTED`.
     """
     if method not in ("exact", "binned") or scale not in ("valid", "rows"):
         raise ValueError(f"unknown method {method!r} or scale {scale!r}")
@@ -99,6 +100,7 @@ def kde_counts(
         "weight",
         ((F.col("value") - F.col("lo")) / F.col("h")).alias("at"),
         (span / (GRID - 1) / F.col("h")).alias("step"),
+        F.sqrt(2 * F.log(F.greatest(F.col("n") * span * factor / (F.col("h") * GRID * NEGLECTED), F.lit(math.e)))).alias("reach"),
     )
     density = F.col("total") / F.col("h") / math.sqrt(2 * math.pi)
     return (
@@ -115,27 +117,31 @@ def kde_counts(
 
 
 def _kernel_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted kernel sums of one task at the grid points, per KPI and state."""
-    grid = np.arange(GRID, dtype=float)
+    """Weighted kernel sums of one task at the grid points, per KPI and state.
+
+    Values are sorted, so those within reach of a point are a slice.
+    """
     sums: dict[tuple, np.ndarray] = {}
     held: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
-    steps: dict[tuple, float] = {}
+    scales: dict[tuple, tuple[float, float]] = {}
 
     def add_up() -> None:
         for group, parts in held.items():
             at, place = np.unique(np.concatenate([a for a, _ in parts]), return_inverse=True)
             weight = np.bincount(place, np.concatenate([w for _, w in parts]))
-            points = grid * steps[group]
+            step, reach = scales[group]
+            points = np.arange(GRID) * step
             total = sums.setdefault(group, np.zeros(GRID))
-            for k in range(0, len(at), _BLOCK):
-                z = points[:, None] - at[None, k : k + _BLOCK]
-                total += np.exp(-0.5 * z * z) @ weight[k : k + _BLOCK]
+            first, end = np.searchsorted(at, points - reach), np.searchsorted(at, points + reach, "right")
+            for i in np.flatnonzero(end > first):
+                z = at[first[i] : end[i]] - points[i]
+                total[i] += np.exp(-0.5 * z * z) @ weight[first[i] : end[i]]
         held.clear()
 
     rows_held = 0
     for batch in batches:
         for group, rows in batch.to_pandas().groupby(GROUP):
-            steps[group] = rows["step"].iloc[0]
+            scales[group] = rows["step"].iloc[0], rows["reach"].iloc[0]
             held.setdefault(group, []).append((rows["at"].to_numpy(), rows["weight"].to_numpy()))
         rows_held += len(batch)
         if rows_held >= _MERGE:

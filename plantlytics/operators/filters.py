@@ -23,10 +23,11 @@ PREVIEW_ROWS = 1000  # fixed value: most rows a preview shows
 def date_range_filter(df: DataFrame, start: dt.date, end: dt.date, time: str | None = "datetime") -> DataFrame:
     """Rows from the first instant of ``start`` to the last of ``end``.
 
-    A table without the time column passes unchanged. When the table is stored by
+    A table without the time column passes unchanged, with a warning. When the table is stored by
     ``day``, that column is filtered too, so whole folders are skipped.
     """
     if time is None or time not in df.columns:
+        warnings.warn(f"no time column {time!r}: the date filter can't be applied", stacklevel=2)
         return df
     after = end + dt.timedelta(days=1)
     at = S.time_of(df, time)

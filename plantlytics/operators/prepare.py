@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,8 +51,12 @@ def prepare(raw: DataFrame, prefix: str | None = None, keep: tuple[str, ...] = (
 
 
 def write_silver(df: DataFrame, path: str, time: str = TIME, row_id: str | None = None) -> None:
-    """Typed table as Parquet, range-split and sorted by time, so date filters skip files."""
-    order = [col(time)] + ([col(row_id)] if row_id else [])
+    """Typed table as Parquet, range-split and sorted by time, so date filters skip files.
+
+    An instant of any number of rows is split too: by ``row_id``, or without one by a hash of the row's content, which a
+    task that runs again finds alike. Only rows that agree in everything stay together.
+    """
+    order = [col(time), col(row_id) if row_id else F.xxhash64(*[col(c) for c in df.columns])]
     (
         df.withColumn("day", F.to_date(col(time)))
         .repartitionByRange(*order)
@@ -61,6 +67,22 @@ def write_silver(df: DataFrame, path: str, time: str = TIME, row_id: str | None
     )
 
 
+def parse_times(df: DataFrame, name: str, formats: Sequence[str]) -> DataFrame:
+    """A text column of times read by an ordered list of formats, unreadable ones NULL."""
+    return df.withColumn(name, S.time_of(df, name, formats))
+
+
+def time_audit(df: DataFrame, name: str, formats: Sequence[str] | None = None) -> DataFrame:
+    """One row: how many times are ``readable``, ``missing`` (NULL, blank) and ``unreadable``."""
+    read = S.time_of(df, name, formats).isNotNull()
+    missing = col(name).isNull() | F.coalesce(col(name).cast("string").rlike(S.BLANK_PATTERN), F.lit(False))
+    return df.agg(
+        F.count_if(read).alias("readable"),
+        F.count_if(~read & missing).alias("missing"),
+        F.count_if(~read & ~missing).alias("unreadable"),
+    )
+
+
 def clean_null_tokens(df: DataFrame) -> DataFrame:
     """Blank text and spelled-out null tokens become NULL in text columns."""
 

@@ -1,43 +1,44 @@
-"""Exact quantiles of groups of any size, in at most three scans.
+"""Exact quantiles of groups of any size, in two scans.
 
-``percentile`` keeps every distinct value of a group in one task. Here the wanted ranks
-are located by counting instead, the same way for every size and spread:
+``percentile`` keeps every distinct value of a group in one task. Here
 
-1. cells of equal width in the logarithm, a thousand per factor of e and sign,
-2. inside the cells that hold a wanted rank, two million cells of equal width,
-3. inside those, the single values; a cell of step 2 has at most a few million DOUBLEs.
+1. a mergeable sketch of ranks (Spark's own, of :data:`ACCURACY`) brackets each wanted rank by two values,
+2. a second scan counts the values inside the brackets one by one, and those between them in one number each.
 
-A scan is column-pruned and counts partially, so what is shuffled is cells and never rows.
-What comes back to the driver is at most ``2 * len(probs)`` cells per group. Step 3 is left
-out where every cell of step 2 holds one value, and step 2 likewise.
+So what is shuffled is sketches, and then the values of a few ten-thousandths of the rows, counted before. If
+a bracket of a huge group would still hold more than :data:`FEW` rows, it is sketched once more by itself, which
+makes it some hundred times narrower. The sketch only saves work: the result follows from exact counts, and
+a rank that lies outside its bracket is looked for where the counts say it is.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LOG_CELLS = 1000  # per factor of e
-CELLS = 1 << 21
+#: A rank is sketched to within one part in so many.
+ACCURACY = 10_000
+#: Rows that a bracket may hold, and the steps in which a wider one is sketched again.
+FEW, STEPS = 1 << 22, 1000
 _V = "__v"
+_BEYOND = float("inf")
 
 
 @dataclass(frozen=True)
 class _Span:
-    """Value range of one group: the rows of the group, those below the range, and the wanted ranks in it."""
+    """Value range of one group that should hold the wanted ranks, and about how many rows it has."""
 
     group: tuple
     lo: float
     hi: float
-    below: int
-    total: int
-    ranks: list[int]
+    ranks: tuple[int, ...]
+    rows: float
 
 
 def quantiles(
@@ -51,15 +52,12 @@ def quantiles(
     keys = list(keys)
     base = df.select(*keys, F.col(value).alias(_V)).where(F.col(_V).isNotNull())
     found: dict[tuple, float] = {}
-    totals: dict[tuple, int] = {}
-    spans = _first_cut(base, keys, probs)
-    for step in (_equal_cell, lambda v, lo, hi: v):
-        totals |= {s.group: s.total for s in spans}
-        found |= {(s.group, r): s.lo for s in spans if s.lo == s.hi for r in s.ranks}
-        spans = [s for s in spans if s.lo != s.hi]
-        if spans:
-            spans = _cut(base, keys, spans, step)
-    found |= {(s.group, r): s.lo for s in spans for r in s.ranks}
+    totals, spans = _sketched(base, keys, probs)
+    while wide := [s for s in spans if s.rows > FEW and s.lo < s.hi]:
+        spans = [s for s in spans if s not in wide] + _narrowed(base, keys, wide)
+    while spans:
+        exact, spans = _exact(base, keys, spans)
+        found |= exact
     if not totals:
         return base.sparkSession.createDataFrame(
             [], T.StructType([df.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in names])
@@ -83,29 +81,49 @@ def _table(df: DataFrame, keys: list[str], groups: list[tuple], **columns: Seque
     return table.select(*[F.col(k).cast(kinds[k]) for k in keys], *columns)
 
 
-def _log_cell(v: Column) -> Column:
-    """Cell number that never falls as the value grows; 0 is a cell of its own."""
-    # The logarithm of a DOUBLE lies between -746 and 710.
-    size = F.floor(F.log(F.abs(v)) * LOG_CELLS) + 750 * LOG_CELLS
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("long"))
-
-
-def _equal_cell(v: Column, lo: Column, hi: Column) -> Column:
-    return F.floor((v - lo) / (hi - lo) * CELLS)
+def sketch(value: Column, probs: Sequence[float]) -> list[Column]:
+    """Aggregates that bracket the probabilities: ``total``, ``lo``, ``hi`` and ``marks``, two per probability."""
+    margin = 2 / ACCURACY  # one part for the sketch, one for the next whole rank
+    marks = [min(max(p + m, 0.0), 1.0) for p in probs for m in (-margin, margin)]
+    return [
+        F.count(value).alias("total"), F.min(value).alias("lo"), F.max(value).alias("hi"),
+        F.percentile_approx(value, marks, ACCURACY).alias("marks"),
+    ]
 
 
-def _holding(cells: DataFrame, ids: list[str], below: Column, ranks: Column) -> DataFrame:
-    """Of counted cells (``part, rows, part_lo, part_hi``) those that hold one of the ``ranks``, as ``held``."""
-    earlier = Window.partitionBy(*ids).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    start, end = F.col("from"), F.col("from") + F.col("rows")
-    return (
-        cells.withColumn("from", below + F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
-        .withColumn("held", F.filter(ranks, lambda r: (r >= start) & (r < end)))
-        .where(F.size("held") > 0)
+def _sketched(base: DataFrame, keys: list[str], probs: Sequence[float]) -> tuple[dict[tuple, int], list[_Span]]:
+    """Rows of each group, and its brackets."""
+    totals, spans = {}, []
+    for r in base.groupBy(*keys).agg(*sketch(F.col(_V), probs)).collect():
+        group = tuple(r[k] for k in keys)
+        totals[group] = r.total
+        for i, p in enumerate(probs):
+            position = (r.total - 1) * p
+            # A small group is counted as a whole: its ranks may be off by one in the sketch.
+            lo, hi = (r.lo, r.hi) if r.total <= ACCURACY else (r.marks[2 * i], r.marks[2 * i + 1])
+            lo, hi = (r.lo if p * ACCURACY <= 2 else lo), (r.hi if (1 - p) * ACCURACY <= 2 else hi)
+            spans.append(_Span(group, lo, hi, (math.floor(position), math.ceil(position)), min(1.0, 6 / ACCURACY) * r.total))
+    return totals, spans
+
+
+def _narrowed(base: DataFrame, keys: list[str], spans: list[_Span]) -> list[_Span]:
+    """Each rank's own part of a bracket, from a sketch of the rows inside."""
+    wanted = _table(base, keys, [s.group for s in spans], span=list(range(len(spans))), lo=[s.lo for s in spans], hi=[s.hi for s in spans])
+    v, lo, hi = F.col(_V), F.col("lo"), F.col("hi")
+    inside = F.when(v.between(lo, hi), v)
+    rows = base.join(F.broadcast(wanted), keys).groupBy("span").agg(
+        F.count_if(v < lo).alias("below"), F.count(inside).alias("rows"),
+        F.percentile_approx(inside, [i / STEPS for i in range(STEPS + 1)], ACCURACY).alias("marks"),
     )
-
-
-_COUNTS = (F.count, F.min, F.max)
+    out = []
+    for r in rows.collect():
+        s = spans[r.span]
+        for rank in s.ranks:
+            at = math.floor((rank - r.below) * STEPS / max(r.rows, 1))
+            a, b = at - 1, at + 2
+            out.append(_Span(
+                s.group, r.marks[a] if 0 < a <= STEPS else s.lo, r.marks[b] if 0 <= b < STEPS else s.hi, (rank,), r.rows * 3 / STEPS))
+    return out
 
 
 def _counted(rows: DataFrame, ids: Sequence[Column | str], part: Column) -> DataFrame:
@@ -114,33 +132,42 @@ def _counted(rows: DataFrame, ids: Sequence[Column | str], part: Column) -> Data
     )
 
 
-def _first_cut(base: DataFrame, keys: list[str], probs: Sequence[float]) -> list[_Span]:
-    """The logarithmic cells of each group that hold a wanted rank."""
-    cells = _counted(base, keys, _log_cell(F.col(_V))).withColumn("total", F.sum("rows").over(Window.partitionBy(*keys)))
-    places = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
-    ranks = F.array_distinct(F.array(*[f(x) for x in places for f in (F.floor, F.ceil)]))
-    held = _holding(cells, keys, F.lit(0), ranks)
-    return [
-        _Span(tuple(r[k] for k in keys), r.part_lo, r.part_hi, r["from"], r.total, r.held) for r in held.collect()
-    ]
-
-
-def _cut(base: DataFrame, keys: list[str], spans: list[_Span], part) -> list[_Span]:
-    """The parts of the spans that hold a wanted rank."""
-    wanted = _table(
-        base,
-        keys,
-        [s.group for s in spans],
-        span=list(range(len(spans))),
-        lo=[s.lo for s in spans],
-        hi=[s.hi for s in spans],
-        below=[s.below for s in spans],
-        ranks=[s.ranks for s in spans],
-    )
-    # Spans of a group do not overlap, so a row meets at most one of them.
-    inside = base.join(F.broadcast(wanted), keys).where(F.col(_V).between(F.col("lo"), F.col("hi")))
-    cells = _counted(inside, ["span", "below", "ranks"], part(F.col(_V), F.col("lo"), F.col("hi")))
-    held = _holding(cells, ["span"], F.col("below"), F.col("ranks"))
-    return [
-        _Span(spans[r.span].group, r.part_lo, r.part_hi, r["from"], spans[r.span].total, r.held) for r in held.collect()
-    ]
+def _disjoint(spans: list[_Span]) -> list[_Span]:
+    """Spans of one group in order, overlapping ones as one."""
+    out: list[_Span] = []
+    for s in sorted(spans, key=lambda s: (s.lo, s.hi)):
+        if out and s.lo <= out[-1].hi:
+            out[-1] = replace(out[-1], hi=max(out[-1].hi, s.hi), ranks=(*out[-1].ranks, *s.ranks))
+        else:
+            out.append(s)
+    return out
+
+
+def _exact(base: DataFrame, keys: list[str], spans: list[_Span]) -> tuple[dict[tuple, float], list[_Span]]:
+    """Values at the wanted ranks from counts of the single values inside the spans, and spans for ranks that lie elsewhere."""
+    groups: dict[tuple, list[_Span]] = {}
+    for s in spans:
+        groups.setdefault(s.group, []).append(s)
+    groups = {g: _disjoint(own) for g, own in groups.items()}
+    most = max(map(len, groups.values()))
+    ends = {f"{end}{i}": [getattr(own[i], end) if i < len(own) else _BEYOND for own in groups.values()] for i in range(most) for end in ("lo", "hi")}
+    wanted = _table(base, keys, list(groups), group=list(range(len(groups))), ranks=[sorted({r for s in own for r in s.ranks}) for own in groups.values()], **ends)
+    v = F.col(_V)
+    zone, inside = F.lit(0), F.lit(False)
+    for i in range(most):
+        zone = zone + (v > F.col(f"hi{i}")).cast("int")
+        inside = inside | v.between(F.col(f"lo{i}"), F.col(f"hi{i}"))
+    # Groups are few, so the table is small. Between two spans all values are one cell.
+    cells = _counted(base.join(F.broadcast(wanted), keys), ["group", zone.alias("zone")], F.when(inside, v))
+    earlier = Window.partitionBy("group").orderBy("zone", F.col("part").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("from", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    ranks = F.broadcast(wanted.select("group", "ranks"))
+    start, end = F.col("from"), F.col("from") + F.col("rows")
+    held = cells.join(ranks, "group").withColumn("held", F.filter("ranks", lambda r: (r >= start) & (r < end))).where(F.size("held") > 0)
+    names, found, elsewhere = list(groups), {}, []
+    for r in held.collect():
+        if r.part is None and r.part_lo != r.part_hi:
+            elsewhere.append(_Span(names[r.group], r.part_lo, r.part_hi, tuple(r.held), r.rows))
+        else:
+            found |= {(names[r.group], rank): r.part_lo for rank in r.held}
+    return found, elsewhere

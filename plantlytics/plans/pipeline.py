@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from plantlytics.operators import filters
@@ -36,7 +36,8 @@ def filter_and_export(
 ) -> PipelineResult:
     """Apply the filters to a dataset, write the cleaned rows as CSV, register the rows themselves.
 
-    The filtered rows are written once, to the shared folder, and everything after
+    The source is read twice, for the bounds of the ranges and for the write, which counts the rows before and after
+    the filter as they pass. The filtered rows are written once, to the shared folder, and everything after
     reads them there: no step filters again, and a lost executor costs no recomputation.
     With ``order``, the time columns for instance, the CSV parts are sorted. An empty
     result writes and registers nothing.
@@ -48,10 +49,12 @@ def filter_and_export(
     if text is not None:
         predicate = predicate & text
     path = fresh_path(spark, "filtered")
-    source.where(predicate).write.parquet(path)
+    before, after = Observation(), Observation()
+    rows = F.count(F.lit(1)).alias("rows")
+    source.observe(before, rows).where(predicate).observe(after, rows).write.parquet(path)
     filtered = spark.read.schema(source.schema).parquet(path)
-    summary = _summary(source, filtered)
-    if filtered.isEmpty():
+    summary = _summary(spark, before.get["rows"], after.get["rows"])
+    if not after.get["rows"]:
         return PipelineResult(summary, None, None, None)
     csv_path = csv_path or fresh_path(spark, f"{name}_filtrado")
     write_csv(filtered, csv_path, order)
@@ -68,17 +71,7 @@ def _bounds(source: DataFrame, ranges) -> dict[str, tuple[float, float]]:
     return {r.variable: (r.lo, r.hi) for r in filters.range_bounds(source, names).collect()}
 
 
-def _summary(source: DataFrame, filtered: DataFrame) -> DataFrame:
-    """Same columns as ``filter_summary``, from the two tables' own counts."""
-    before = source.select(F.lit(False).alias("kept"))
-    after = filtered.select(F.lit(True).alias("kept"))
-    return (
-        before.unionAll(after)
-        .agg(F.count_if(~F.col("kept")).alias("rows_before"), F.count_if("kept").alias("rows_after"))
-        .withColumn(
-            "reduction_pct",
-            F.coalesce(
-                100.0 * F.try_divide(F.col("rows_before") - F.col("rows_after"), F.col("rows_before")), F.lit(0.0)
-            ),
-        )
-    )
+def _summary(spark: SparkSession, before: int, after: int) -> DataFrame:
+    """Same columns as ``filter_summary``, from the counts that the write observed."""
+    reduction = 100.0 * (before - after) / before if before else 0.0
+    return spark.createDataFrame([(before, after, reduction)], "rows_before long, rows_after long, reduction_pct double")

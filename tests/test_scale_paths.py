@@ -69,6 +69,50 @@ def test_quantiles_take_three_scans_at_most(spark, spread, monkeypatch):
     assert_same(frame(spark, rows))
 
 
+def scans_of(monkeypatch):
+    """Names of the scans that quantiles make."""
+    made = []
+    for name in ("_sketched", "_narrowed", "_exact"):
+        real = getattr(quantiles, name)
+        monkeypatch.setattr(quantiles, name, lambda *a, real=real, name=name: made.append(name) or real(*a))
+    return made
+
+
+def narrow_signal(spark, n):
+    """All in one part in a thousand, with ties, a far outlier and few missing values."""
+    return spark.range(n).select(F.lit("g").alias("g"), F.expr(
+        "CASE WHEN id % 1000 = 7 THEN NULL WHEN id = 5 THEN 1e18 WHEN id % 10 = 3 THEN 20.01 ELSE 20 + 0.02 * rand(4) END").alias("v"))
+
+
+def test_quantiles_take_two_scans_and_shuffle_few_values(spark, monkeypatch):
+    scans, cells, counted = scans_of(monkeypatch), [], quantiles._counted
+    monkeypatch.setattr(quantiles, "_counted", lambda *a: cells.append(counted(*a)) or cells[-1])
+    df = narrow_signal(spark, 300_000).cache()
+    assert_same(df)
+    assert scans == ["_sketched", "_exact"]
+    assert cells[0].count() < 300_000 * 3 * 8 / quantiles.ACCURACY
+    df.unpersist()
+
+
+def test_wide_brackets_are_sketched_again(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "FEW", 20)
+    scans = scans_of(monkeypatch)
+    assert_same(narrow_signal(spark, 100_000).cache())
+    assert scans[0] == "_sketched" and "_narrowed" in scans and scans[-1] == "_exact"
+
+
+def test_a_rank_outside_its_bracket_is_found(spark, monkeypatch):
+    """Whatever the sketch says, the counts decide."""
+    real = quantiles._sketched
+
+    def wrong(*a):
+        totals, spans = real(*a)
+        return totals, [quantiles.replace(s, lo=s.lo + 1, hi=s.hi + 1) for s in spans]
+
+    monkeypatch.setattr(quantiles, "_sketched", wrong)
+    assert_same(spark.range(30_000).select(F.lit("g").alias("g"), F.rand(3).alias("v")).cache())
+
+
 def telemetry(spark, rows):
     return spark.createDataFrame(rows, "row_id long, t timestamp_ntz, on int, ready int")
 
