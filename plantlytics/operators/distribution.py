@@ -30,6 +30,10 @@ def _groups(long: DataFrame) -> DataFrame:
         F.min(v).alias("smallest"),
         F.max(v).alias("largest"),
     )
+    return _scaled(states)
+
+
+def _scaled(states: DataFrame) -> DataFrame:
     both = Window.partitionBy("kpi")  # two rows
     # Scott's rule: the spread shrinks with the fifth root of the number of values.
     h = F.col("std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
@@ -75,6 +79,7 @@ def kde_counts(
     kpis: Sequence[str],
     method: str = "exact",
     scale: str = "valid",
+    states: DataFrame | None = None,
 ) -> DataFrame:
     """``(kpi, on, i, x, y)``: Gaussian density on 300 points, scaled to a number of records.
 
@@ -85,12 +90,13 @@ def kde_counts(
 
     Each task merges equal values, adds up their kernels at the points within reach and hands on one
     row per point and state, straight from the scan: no value is shuffled. A kernel reaches as far as it can
-    change the result: beyond, all values together add less than :data:`NEGLECTED`.
+    change the result: beyond, all values together add less than :data:`NEGLECTED`. ``states`` are the groups' counts,
+    deviations and ends, if an earlier scan has found them.
     """
     if method not in ("exact", "binned") or scale not in ("valid", "rows"):
         raise ValueError(f"unknown method {method!r} or scale {scale!r}")
     long = ready_values(df, roles, kpis)
-    groups = _groups(long)
+    groups = _groups(long) if states is None else _scaled(states)
     # Two rows per KPI.
     curves = F.broadcast(groups.where(_has_curve()).select(*GROUP, "n", "n_rows", "h", "lo", "hi"))
     span = F.col("hi") - F.col("lo")
@@ -181,13 +187,19 @@ def _bars(long: DataFrame, groups: DataFrame, bins: int) -> DataFrame:
 
 
 def distribution(
-    df: DataFrame, roles: Roles, kpis: Sequence[str], method: str = "exact", scale: str = "valid"
+    df: DataFrame, roles: Roles, kpis: Sequence[str], method: str = "exact", scale: str = "valid",
+    states: DataFrame | None = None, all_curved: bool = False,
 ) -> DataFrame:
-    """Curves where a state has one, bars for the other states: ``(kpi, on, shape, i, x, y)``."""
+    """Curves where a state has one, bars for the other states: ``(kpi, on, shape, i, x, y)``.
+
+    ``all_curved``: the states are known to have a curve each, so no row is looked at for bars.
+    """
+    curve = kde_counts(df, roles, kpis, method, scale, states).select(*GROUP, F.lit("curve").alias("shape"), "i", "x", "y")
+    if all_curved:
+        return curve
     long = ready_values(df, roles, kpis)
-    flat = _groups(long).where(~F.coalesce(_has_curve(), F.lit(False)))
-    bars = _bars(long, flat, BINS)
-    curve = kde_counts(df, roles, kpis, method, scale)
-    return curve.select(*GROUP, F.lit("curve").alias("shape"), "i", "x", "y").unionByName(
+    groups = _groups(long) if states is None else _scaled(states)
+    bars = _bars(long, groups.where(~F.coalesce(_has_curve(), F.lit(False))), BINS)
+    return curve.unionByName(
         bars.select(*GROUP, F.lit("bars").alias("shape"), F.col("bin").alias("i"), "x", F.col("n").cast("double").alias("y"))
     )

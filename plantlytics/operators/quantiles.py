@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,17 +42,18 @@ class _Span:
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], sketches: Sequence[Row] | None = None
 ) -> DataFrame:
     """``keys`` and one column per probability, linearly interpolated, missing values left out.
 
     The jobs run here, and the result is a small local table that later steps can use
-    many times. ``keys`` must have few distinct values, such as KPI and state.
+    many times. ``keys`` must have few distinct values, such as KPI and state. ``sketches`` are rows of the keys and the
+    aggregates of :func:`sketch`, if an earlier scan has found them.
     """
     keys = list(keys)
     base = df.select(*keys, F.col(value).alias(_V)).where(F.col(_V).isNotNull())
     found: dict[tuple, float] = {}
-    totals, spans = _sketched(base, keys, probs)
+    totals, spans = _sketched(base, keys, probs, sketches)
     while wide := [s for s in spans if s.rows > FEW and s.lo < s.hi]:
         spans = [s for s in spans if s not in wide] + _narrowed(base, keys, wide)
     while spans:
@@ -91,10 +92,16 @@ def sketch(value: Column, probs: Sequence[float]) -> list[Column]:
     ]
 
 
-def _sketched(base: DataFrame, keys: list[str], probs: Sequence[float]) -> tuple[dict[tuple, int], list[_Span]]:
+def _sketched(
+    base: DataFrame, keys: list[str], probs: Sequence[float], sketches: Sequence[Row] | None
+) -> tuple[dict[tuple, int], list[_Span]]:
     """Rows of each group, and its brackets."""
     totals, spans = {}, []
-    for r in base.groupBy(*keys).agg(*sketch(F.col(_V), probs)).collect():
+    if sketches is None:
+        sketches = base.groupBy(*keys).agg(*sketch(F.col(_V), probs)).collect()
+    for r in sketches:
+        if not r.total:
+            continue
         group = tuple(r[k] for k in keys)
         totals[group] = r.total
         for i, p in enumerate(probs):

@@ -19,34 +19,43 @@ STATUS_ON, STATUS_OFF_READY, STATUS_OTHER = 2, 1, 0
 ZERO_LENGTH_SECONDS = 60  # a run of one instant is drawn one minute long
 
 
-def state_efficiency(df: DataFrame, roles: Roles) -> DataFrame:
-    """One row: records, time span, records per state and ON share of all records.
-
-    Each record stands for one minute. The share is of *all* records, and records
-    whose flags are neither 0 nor 1 count in no state. Without both flags the counts
-    are zero. One pass, partial sums before the exchange.
-    """
+def efficiency_counts(df: DataFrame, roles: Roles) -> list[Column]:
+    """Aggregates: records, time span and records per state; without both flags the states are zero."""
     if roles.on in df.columns and roles.ready in df.columns:
         on, ready = S.flag_int(df, roles.on), S.flag_int(df, roles.ready)
         on_ready, off_ready = F.count_if((on == 1) & (ready == 1)), F.count_if((on == 0) & (ready == 1))
         not_ready = F.count_if(ready == 0)
     else:
-        on_ready = off_ready = not_ready = F.lit(0).cast("long")
-    total = F.count(F.lit(1))
-    return df.agg(
-        total.alias("total_records"),
+        on_ready = off_ready = not_ready = F.sum(F.lit(0).cast("long"))
+    return [
+        F.count(F.lit(1)).alias("total_records"),
         F.min(col(roles.time)).alias("date_min"),
         F.max(col(roles.time)).alias("date_max"),
-        on_ready.alias("on_ready"),
-        off_ready.alias("off_ready"),
-        not_ready.alias("not_ready"),
-        F.coalesce(100.0 * F.try_divide(on_ready, total), F.lit(0.0)).alias("efficiency_pct"),
-    )
+        *[F.coalesce(x, F.lit(0).cast("long")).alias(n) for n, x in (("on_ready", on_ready), ("off_ready", off_ready), ("not_ready", not_ready))],
+    ]
+
+
+def with_efficiency(counts: DataFrame) -> DataFrame:
+    share = 100.0 * F.try_divide(F.col("on_ready"), F.col("total_records"))
+    return counts.withColumn("efficiency_pct", F.coalesce(share, F.lit(0.0)))
+
+
+def state_efficiency(df: DataFrame, roles: Roles) -> DataFrame:
+    """One row: records, time span, records per state and ON share of all records.
+
+    Each record stands for one minute. The share is of *all* records, and records
+    whose flags are neither 0 nor 1 count in no state. Without both flags the counts
+    are zero. One pass, partial sums before the exchange.
+    """
+    return with_efficiency(df.agg(*efficiency_counts(df, roles)))
 
 
 def state_shares(df: DataFrame, roles: Roles) -> DataFrame:
     """``(state, records, share_pct)`` of the three states among themselves."""
-    counts = state_efficiency(df, roles)
+    return shares_of(state_efficiency(df, roles))
+
+
+def shares_of(counts: DataFrame) -> DataFrame:
     whole = F.col("on_ready") + F.col("off_ready") + F.col("not_ready")
     rows = [
         F.struct(F.lit(label).alias("state"), F.col(name).alias("records"),

@@ -7,13 +7,16 @@ so a further KPI costs rows in the same pass and not another job.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plantlytics.functions import scalars as S
 from plantlytics.operators.filters import ready_filter
-from plantlytics.operators.quantiles import quantiles
+from plantlytics.operators.ordering import written
+from plantlytics.operators.quantiles import quantiles, sketch
 from plantlytics.roles import CONTROL_CATEGORY, CONTROL_WORDS, PROCESS_CATEGORY, Roles, col, quoted
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -85,6 +88,10 @@ def onoff_stats(
     )
     if quartiles is None:
         quartiles = _quartiles(long, GROUP)
+    return _full(basic, quartiles, kpis)
+
+
+def _full(basic: DataFrame, quartiles: DataFrame, kpis: Sequence[str]) -> DataFrame:
     stats = basic.join(F.broadcast(quartiles), GROUP, "left")
     return _with_all_states(stats, kpis, ["n", "valid_n"]).select(
         *GROUP, "n", "valid_n", "mean", "std", "min", *QUARTILE_NAMES, "max"
@@ -97,10 +104,13 @@ def onoff_delta(df: DataFrame, roles: Roles, kpis: Sequence[str]) -> DataFrame:
     The text reads "N/A" unless both numbers exist.
     """
     long = ready_values(df, roles, kpis)
-    means = long.groupBy("kpi").agg(
+    return _deltas(long.groupBy("kpi").agg(
         F.avg(F.when(F.col("on") == 1, F.col("value"))).alias("mean_on"),
         F.avg(F.when(F.col("on") == 0, F.col("value"))).alias("mean_off"),
-    )
+    ))
+
+
+def _deltas(means: DataFrame) -> DataFrame:
     deltas = means.withColumn("delta", F.col("mean_on") - F.col("mean_off")).withColumn(
         "delta_pct", 100.0 * F.try_divide(F.col("delta"), F.col("mean_off"))
     )
@@ -112,12 +122,15 @@ def onoff_means(df: DataFrame, roles: Roles, kpis: Sequence[str]) -> DataFrame:
     """Mean lines: per KPI and state the mean and the time extent of all ready rows."""
     long = ready_values(df, roles, kpis, [S.time_of(df, roles.time).alias("t")])
     # Four columns per state and one row per KPI: the extent spans both states.
-    one = long.groupBy("kpi").agg(
+    return _mean_lines(long.groupBy("kpi").agg(
         F.min("t").alias("t_min"),
         F.max("t").alias("t_max"),
         F.avg(F.when(F.col("on") == 0, F.col("value"))).alias("mean_off"),
         F.avg(F.when(F.col("on") == 1, F.col("value"))).alias("mean_on"),
-    )
+    ))
+
+
+def _mean_lines(one: DataFrame) -> DataFrame:
     rows = [F.struct(F.lit(s).alias("on"), F.col(m).alias("mean")) for s, m in ((0, "mean_off"), (1, "mean_on"))]
     return one.select("kpi", F.inline(F.array(*rows)), "t_min", "t_max").where(F.col("mean").isNotNull())
 
@@ -177,7 +190,11 @@ def box_summary(
             F.count_if(~inside).alias("outliers"),
         )
     )
-    stats = basic.join(F.broadcast(fences.select(*GROUP, *QUARTILE_NAMES)), GROUP, "left")
+    return _boxes(basic, fences, kpis)
+
+
+def _boxes(basic: DataFrame, quartiles: DataFrame, kpis: Sequence[str]) -> DataFrame:
+    stats = basic.join(F.broadcast(quartiles.select(*GROUP, *QUARTILE_NAMES)), GROUP, "left")
     return _with_all_states(stats, kpis, ["n", "outliers"]).select(
         *GROUP, "n", *QUARTILE_NAMES, "mean", "whisker_lo", "whisker_hi", "outliers"
     )
@@ -211,6 +228,68 @@ def padded_range(df: DataFrame, kpis: Sequence[str]) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Comparison:
+    """ON against OFF of several KPIs, from three scans: every table but ``outliers`` has a row or two per KPI."""
+
+    statistics: DataFrame
+    box: DataFrame
+    outliers: DataFrame
+    means: DataFrame
+    delta: DataFrame
+    groups: DataFrame
+    all_curved: bool
+
+
+def compare_states(df: DataFrame, roles: Roles, kpis: Sequence[str]) -> Comparison:
+    """All ON/OFF tables of the ready rows at once.
+
+    One scan gives the sums and a sketch of the ranks, the second the exact quartiles, the third the rows beyond the
+    fences, which are written, and on its way what the box still needs. ``groups`` is what the distribution asks for.
+    """
+    spark = df.sparkSession
+    ids = [col(c) for c in roles.order]
+    long = ready_values(df, roles, kpis, ids)
+    v, t = F.col("value"), col(roles.time)
+    sums = long.groupBy(*GROUP).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        F.min(t).alias("t_min"), F.max(t).alias("t_max"), *sketch(v, QUARTILES),
+    )
+    found = sums.collect()  # two rows per KPI
+    kinds = T.StructType([f for f in sums.schema if f.name != "marks"])
+    sums = spark.createDataFrame([tuple(r[f.name] for f in kinds) for r in found], kinds)
+    quartiles = quantiles(long, GROUP, "value", QUARTILES, QUARTILE_NAMES, found)
+
+    fences = _fences(long, quartiles).select(*GROUP, "fence_lo", "fence_hi")
+    fenced = long.join(F.broadcast(fences), GROUP)
+    inside = v.between(F.col("fence_lo"), F.col("fence_hi"))
+    states = [(r.kpi, r.on) for r in found if r.total]
+    seen = Observation()
+    own = [F.when((F.col("kpi") == k) & (F.col("on") == s), True) for k, s in states]
+    metrics = [x for i, mine in enumerate(own) for x in (
+        F.min(F.when(mine & inside, v)).alias(f"lo{i}"), F.max(F.when(mine & inside, v)).alias(f"hi{i}"), F.count_if(mine & ~inside).alias(f"n{i}"))]
+    watched = fenced.observe(seen, *metrics) if metrics else fenced
+    outliers = written(watched.where(~inside).select(*ids, *GROUP, "value"), "outliers")
+    got = seen.get if metrics else {}
+    whiskers = spark.createDataFrame(
+        [(k, s, got[f"lo{i}"], got[f"hi{i}"], got[f"n{i}"]) for i, (k, s) in enumerate(states)],
+        "kpi string, on int, whisker_lo double, whisker_hi double, outliers long")
+    basic = sums.select(*GROUP, "n", F.col("total").alias("valid_n"), "mean", "std", F.col("lo").alias("min"), F.col("hi").alias("max"))
+    means = sums.groupBy("kpi").agg(
+        F.min("t_min").alias("t_min"), F.max("t_max").alias("t_max"),
+        F.max(F.when(F.col("on") == 0, F.col("mean"))).alias("mean_off"), F.max(F.when(F.col("on") == 1, F.col("mean"))).alias("mean_on"),
+    )
+    return Comparison(
+        statistics=_full(basic, quartiles, kpis),
+        box=_boxes(basic.select(*GROUP, "n", "mean").join(F.broadcast(whiskers), GROUP, "left"), quartiles, kpis),
+        outliers=outliers,
+        means=_mean_lines(means),
+        delta=_deltas(means.select("kpi", "mean_on", "mean_off")),
+        groups=sums.select(*GROUP, F.col("n").alias("n_rows"), F.col("total").alias("n"), "std", F.col("lo").alias("smallest"), F.col("hi").alias("largest")),
+        all_curved=all(r.total > 1 and r.std > 0 for r in found if r.total),
+    )
+
+
 def binary_signal_profile(df: DataFrame, signals: Sequence[str]) -> DataFrame:
     """``(kpi, is_binary, category)`` of every signal.
 
