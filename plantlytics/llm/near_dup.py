@@ -192,7 +192,9 @@ def _confirm(k: int, percent: int):
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Components ``(key, label)`` after further links ``(a, b)`` between keys: only links between two components count."""
     one, two = (labels.select(F.col("key").alias(x), F.col("label").alias(y)) for x, y in (("a", "la"), ("b", "lb")))
-    across = links.join(one, "a").join(two, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    across = stored(links.join(one, "a").join(two, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "across")
+    if across.isEmpty():
+        return labels
     up = components(across).select(F.col("v").alias("label"), F.col("label").alias("up"))
     return stored(labels.join(up, "label", "left").select("key", F.coalesce("up", "label").alias("label")), "labels")
 
@@ -206,31 +208,33 @@ def _grouped(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
     classes = stored(some.groupBy("key", "v").agg(least), "classes")  # equal sets are one vertex
 
-    once = some.join(classes.select("least.row"), "row", "left_semi")
+    # Merge joins at every size: a broadcast that only small tables get would hide what large ones shuffle.
+    once = some.join(classes.select("least.row").hint("merge"), "row", "left_semi")
     bucket = once.select("v", F.posexplode("bands").alias("band", "h"))
     star = bucket.groupBy("h").agg(F.min(F.expr("v ^ h")).alias("c"), F.max(F.expr("v ^ h")).alias("hi")).where("c <> hi")
     star = star.select("h", F.expr("c ^ h").alias("c"))
     arms = stored(bucket.join(star, "h").where("v <> c"), "arms")
     ends = arms.select("v").union(arms.select("c")).distinct()
     wanted = classes.join(ends, "v", "left_semi").select("least.row")
-    reps = stored(some.join(wanted, "row", "left_semi").select("key", "v", F.col("n_shingles").alias("n"), "bands", "packed"), "reps")
+    reps = stored(some.join(wanted.hint("merge"), "row", "left_semi").select("key", "v", F.col("n_shingles").alias("n"), "bands", "packed"), "reps")
 
     def confirmed(pairs: DataFrame, on: str) -> DataFrame:
         """Pairs ``(a, b)``, given by the column ``on`` of reps, whose sets are as alike as wanted."""
         two = reps.select(F.col(on).alias("b"), F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("packed").alias("tb"))
         one = reps.select(F.col(on).alias("a"), F.col("key").alias("ka"), F.col("n").alias("na"), F.col("packed").alias("ta"))
-        full = pairs.join(two, "b").join(one, "a").where(f"ka <> kb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        full = pairs.join(two.hint("merge"), "b").join(one.hint("merge"), "a").where(f"ka <> kb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
         return stored(full.select("ka", "kb", "ta", "tb").mapInArrow(_confirm(k, percent), schema(a="binary", b="binary")), "links")
 
     edges = arms.select(F.col("c").alias("a"), F.col("v").alias("b"), "band")
-    links = confirmed(edges.where(F.col("band") < FIRST).select("a", "b").distinct(), "v")
-    up = components(links).withColumnRenamed("v", "key")
-    labels = stored(reps.select("key").join(up, "key", "left").select("key", F.coalesce("label", "key").alias("label")), "labels")
+    def labelled(links: DataFrame, rounds: int | None = None) -> DataFrame:
+        up = components(links, rounds).withColumnRenamed("v", "key")
+        return stored(reps.select("key").join(up, "key", "left").select("key", F.coalesce("label", "key").alias("label")), "labels")
 
-    by_v = reps.select("key", "v").join(labels, "key").select("v", "label")
+    links = confirmed(edges.where(F.col("band") < FIRST).select("a", "b").distinct(), "v")
+    by_v = reps.select("key", "v").join(labelled(links, rounds=2), "key").select("v", "label")
     apart = edges.where(F.col("band") >= FIRST).select("a", "b").distinct()
     apart = apart.join(by_v.toDF("b", "lb"), "b").join(by_v.toDF("a", "la"), "a").where("la <> lb").select("a", "b").distinct()
-    labels = _merged(labels, confirmed(apart, "v"))
+    labels = labelled(links.union(confirmed(apart, "v")))
 
     known = reps.select("v", "key", "n").join(labels, "key")
     members = arms.select("v", "h").join(known, "v")  # without the centres: all pairs with these are told
