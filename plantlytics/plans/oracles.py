@@ -54,6 +54,10 @@ def _time(text: str) -> str:
     return f"try_strptime({text}, '%Y-%m-%d %H:%M:%S.%f')"
 
 
+def _time_text(time: str) -> str:
+    return f"CASE WHEN date_trunc('second', {time}) = {time} THEN strftime({time}, '%Y-%m-%d %H:%M:%S') ELSE strftime({time}, '%Y-%m-%d %H:%M:%S.%f') END"
+
+
 def _clean(text: str) -> str:
     return f"CASE WHEN NOT regexp_matches({text}, '(?i)^\\s*(nan|null|none|nat)?\\s*$') THEN {text} END"
 
@@ -68,6 +72,9 @@ typed AS (
          {_num('kpi_txt')} AS kpi_txt, {_time('"Date"')} AS datetime
   FROM dirty)"""
 
+TYPED_LOGS = f"""WITH {TYPED}
+SELECT datetime, "X_ON", "X_READY", kpi_txt AS "Feed", row_id FROM typed WHERE datetime IS NOT NULL"""
+
 STATUS = "CASE WHEN on_flag = 1 THEN 2 WHEN on_flag = 0 AND ready = 1 THEN 1 ELSE 0 END"
 
 
@@ -239,8 +246,8 @@ WHERE contains(CAST(kpi AS VARCHAR), '9.1') OR contains(CAST(on_flag AS VARCHAR)
 FROM (SELECT l_quantity BETWEEN 10 AND 24 AND l_discount BETWEEN 0.02 AND 0.08 AS ok FROM lineitem)""",
     "preview_topk": f"WITH {TELE} SELECT * FROM tele ORDER BY datetime, row_id LIMIT 1000",
     "dataset_registry": f"""WITH {TELE}
-SELECT 'df_principal' AS name, 0 AS place, count(*) AS rows FROM tele
-UNION ALL SELECT 'ready_rows', 1, count(*) FROM tele WHERE ready = 1""",
+SELECT 'df_principal' AS name, 0 AS place, count(*) AS rows, {_r('sum(kpi)')} AS kpi_sum, min(datetime) AS first, max(datetime) AS last FROM tele
+UNION ALL SELECT 'ready_rows', 1, count(*), {_r('sum(kpi)')}, min(datetime), max(datetime) FROM tele WHERE ready = 1""",
     "filter_pipeline": f"""WITH {TELE},
 k AS (SELECT *, kpi BETWEEN 5 AND 60 AND on_flag = 1 AS ok FROM tele)
 SELECT count(*) AS rows_before, count(*) FILTER (WHERE ok) AS rows_after,
@@ -334,7 +341,17 @@ SELECT row_id, CAST(coalesce({_num('"X_ON"')} >= 1, FALSE) AS INT) AS "X_ON",
        CAST(coalesce({_num('"X_READY"')} >= 1, FALSE) AS INT) AS "X_READY",
        CAST(coalesce({_num('kpi_txt')} >= 1, FALSE) AS INT) AS kpi_txt FROM dirty""",
     "numeric_coerce": f"""WITH {DIRTY} SELECT row_id, {_num('kpi_txt')} AS kpi, {_num('"X_READY"')} AS ready FROM dirty""",
-    "datetime_coerce": f"""WITH {DIRTY} SELECT row_id, TRY_CAST("Date" AS TIMESTAMP) AS datetime FROM dirty""",
+    "datetime_coerce": f"""WITH {DIRTY}
+SELECT row_id, TRY_CAST("Date" AS TIMESTAMP) AS datetime,
+       CASE WHEN row_id % 101 = 0 OR row_id % 103 = 0 THEN NULL WHEN row_id % 3 = 0 THEN date_trunc('second', datetime)
+            WHEN row_id % 3 = 1 THEN date_trunc('minute', datetime) ELSE datetime END AS day_first
+FROM dirty JOIN tele USING (row_id)""",
+    "datetime_audit": f"""WITH {DIRTY}
+SELECT 'Date' AS source, count(*) FILTER (WHERE row_id % 97 <> 0 AND row_id % 89 <> 0) AS readable,
+       count(*) FILTER (WHERE row_id % 97 <> 0 AND row_id % 89 = 0) AS missing, count(*) FILTER (WHERE row_id % 97 = 0) AS unreadable FROM dirty
+UNION ALL
+SELECT 'when', count(*) FILTER (WHERE row_id % 101 <> 0 AND row_id % 103 <> 0),
+       count(*) FILTER (WHERE row_id % 101 <> 0 AND row_id % 103 = 0), count(*) FILTER (WHERE row_id % 101 = 0) FROM tele""",
     "clean_null_tokens": f"""WITH {DIRTY}
 SELECT row_id, {_clean('"Date"')} AS "Date", {_clean('"X_ON"')} AS "X_ON", {_clean('"X_READY"')} AS "X_READY",
        {_clean('kpi_txt')} AS kpi_txt FROM dirty""",
@@ -347,32 +364,99 @@ SELECT datetime, row_id, on_flag AS "on", 'kpi' AS kpi, kpi AS value FROM tele W
     "plant_log_scan": f"""WITH {DIRTY}
 SELECT nullif("Date", '') AS "Date", nullif("X_ON", '') AS "X_ON", nullif("X_READY", 'null') AS "X_READY",
        nullif(kpi_txt, 'NaN') AS "Feed", CAST(row_id AS VARCHAR) AS "Id" FROM dirty""",
+    "plant_log_split": f"""WITH {DIRTY}
+SELECT nullif("Date", '') AS "Date", nullif("X_ON", '') AS "X_ON", nullif("X_READY", 'null') AS "X_READY",
+       nullif(kpi_txt, 'NaN') AS "Feed", CAST(row_id AS VARCHAR) AS "Id", row_number() OVER (ORDER BY row_id) AS number FROM dirty""",
+    "header_unique": f"""WITH {DIRTY}
+SELECT nullif("Date", '') AS "Date", nullif("X_ON", '') AS "X_ON", nullif("X_READY", 'null') AS "X_ON_1",
+       nullif(kpi_txt, 'NaN') AS "Feed", CAST(row_id AS VARCHAR) AS "Feed_1", CAST(row_id AS VARCHAR) AS "Feed_1_1" FROM dirty""",
+    "discover_logs": TYPED_LOGS,
+    "single_path_load": TYPED_LOGS,
+    "accepted_extensions": TYPED_LOGS,
     "multi_file_union": f"""WITH {TYPED}
 SELECT datetime, "X_ON", CASE WHEN row_id % 2 = 0 THEN "X_READY" ELSE 0 END AS "X_READY", kpi_txt AS "Feed", row_id
 FROM typed WHERE datetime IS NOT NULL""",
     "load_summary": f"""WITH {TYPED},
 f AS (SELECT greatest(8, CAST(ceil(count(*) / 2000000.0) AS BIGINT)) AS files,
-             CAST(sum(strlen({LOG_LINE}) + 1) AS BIGINT) AS body FROM dirty)
-SELECT files AS file_count, {_r('(body + files * 124) / 1048576.0')} AS total_mb,
-       (SELECT count(*) FROM typed WHERE datetime IS NOT NULL) AS records FROM f""",
+             CAST(sum(strlen({LOG_LINE}) + 1) AS BIGINT) AS body, count(*) FILTER (WHERE row_id % 31 = 0) AS broken FROM dirty)
+SELECT files AS file_count, {_r('(body + broken + files * 124) / 1048576.0')} AS total_mb,
+       (SELECT count(*) FROM typed WHERE datetime IS NOT NULL) AS records, broken AS replaced FROM f""",
     "csv_roundtrip": f"""WITH {DIRTY}
 SELECT CAST(row_id AS VARCHAR) AS row_id, coalesce({_clean('"Date"')}, 'Null') AS "Date",
        coalesce({_clean('"X_ON"')}, 'Null') AS "X_ON", coalesce({_clean('"X_READY"')}, 'Null') AS "X_READY",
        coalesce({_clean('kpi_txt')}, 'Null') AS kpi_txt FROM dirty""",
     "tsv_roundtrip": f"""WITH {TYPED}
-SELECT row_id, CAST("X_ON" AS VARCHAR) AS "X_ON", CAST("X_READY" AS VARCHAR) AS "X_READY",
+SELECT row_id, {_time_text('"Date"')} AS "Date", {_time_text('datetime')} AS datetime, CAST("X_ON" AS VARCHAR) AS "X_ON", CAST("X_READY" AS VARCHAR) AS "X_READY",
        CAST(kpi_txt AS VARCHAR) AS kpi_txt FROM typed WHERE datetime >= {START} AND datetime < {END}""",
     "report_header": f"""WITH {TELE}
 SELECT 'Weekly report' AS title, 'events' AS dataset, 2 AS kpi_count, 'kpi, unit' AS kpis, count(*) AS records,
-       DATE '2024-01-05' AS start_date, DATE '2024-01-14' AS end_date, 10 AS days
+       count(*) FILTER (WHERE ready = 1) AS ready_records, DATE '2024-01-05' AS start_date, DATE '2024-01-14' AS end_date, 10 AS days
 FROM tele WHERE datetime >= {START} AND datetime < {END}""",
 }
 
-_DATED_LONG = LONG.replace("FROM events)", f"FROM events WHERE ts >= {START} AND ts < {END})")
-ORACLES["report_tables"] = f"""WITH {_fences(_DATED_LONG)}
-SELECT 'header' AS section, CAST(1 AS BIGINT) AS rows UNION ALL SELECT 'efficiency', 1
-UNION ALL SELECT 'state_shares', 3 UNION ALL SELECT 'series', count(*) FROM long
-UNION ALL SELECT 'means', count(DISTINCT "on") FROM long UNION ALL SELECT 'box', 2
-UNION ALL SELECT 'outliers', count(*) FROM long JOIN f USING (kpi, "on") WHERE NOT value BETWEEN lo AND hi
-UNION ALL SELECT 'distribution', 300 * count(DISTINCT "on") FROM long UNION ALL SELECT 'statistics', 2
-UNION ALL SELECT 'delta', 1 UNION ALL SELECT 'errors', 1"""
+ORACLES |= {
+    "role_resolution": f"""WITH {TELE}, {HOT.replace("tele AS", "hot AS")}
+SELECT 'events' AS name, 'datetime' AS time, 'X_ON' AS "on", 'X_READY' AS ready, max(datetime) AS last, CAST(sum(on_flag) AS BIGINT) AS on_rows,
+       CAST(sum(ready) AS BIGINT) AS ready_rows FROM tele
+UNION ALL SELECT 'orders', 'Order Date', 'Season', 'Flag_Ready', max(datetime), CAST(sum(on_flag) AS BIGINT), CAST(sum(ready) AS BIGINT) FROM hot
+UNION ALL SELECT 'plain', 'Fecha', 'Running_ON', NULL, max(datetime), CAST(sum(on_flag) AS BIGINT), count(*) FROM tele""",
+    "kpi_listing": """WITH wide AS (
+  SELECT CAST(l_partkey AS DOUBLE) AS l_partkey, CAST(l_suppkey AS DOUBLE) AS l_suppkey, CAST(l_linenumber AS DOUBLE) AS l_linenumber,
+         l_quantity, l_extendedprice, l_discount, l_tax AS tax_setpoint FROM lineitem),
+long AS (UNPIVOT wide ON l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, tax_setpoint INTO NAME kpi VALUE value)
+SELECT kpi, count(value) AS n, min(value) AS lo, max(value) AS hi, CASE WHEN kpi = 'tax_setpoint' THEN 'Control' ELSE 'Proceso' END AS category
+FROM long GROUP BY kpi""",
+    "rename_date": "SELECT o_orderkey, o_orderdate AS datetime, o_totalprice FROM orders",
+    "drop_duplicate_time": f"""WITH {TYPED} SELECT row_id, "Date", "X_ON", "X_READY", kpi_txt FROM typed WHERE datetime IS NOT NULL""",
+    "search_scope": """SELECT '77' AS needle, c_custkey FROM customer
+WHERE contains(CAST(c_custkey AS VARCHAR), '77') OR contains(CAST(c_nationkey AS VARCHAR), '77')
+UNION ALL SELECT 'machinery', c_custkey FROM customer WHERE contains(upper(c_mktsegment), 'MACHINERY') OR contains(upper(c_name), 'MACHINERY')
+UNION ALL SELECT '#0000000', c_custkey FROM customer WHERE contains(c_name, '#0000000')
+UNION ALL SELECT 'BUILDING', c_custkey FROM customer WHERE contains(upper(c_mktsegment), 'BUILDING') OR contains(upper(c_name), 'BUILDING')""",
+}
+
+_DATED_TELE = TELE.replace("FROM events)", f"FROM events WHERE ts >= {START} AND ts < {END})")
+_DATED_LONG = LONG.replace(TELE, _DATED_TELE)
+
+
+def _numbers(section: str, item: str, source: str, **columns: str) -> str:
+    """The columns of a query as rows ``section, item, name, value``."""
+    parts = [
+        f"SELECT '{section}' AS section, {item} AS item, '{name}' AS name, {_r(f'CAST({value} AS DOUBLE)')} AS value FROM ({source})"
+        for name, value in columns.items()
+    ]
+    return " UNION ALL ".join(parts)
+
+
+def _same(*names: str) -> dict[str, str]:
+    return {n: f'"{n}"' for n in names}
+
+
+_STATE_ITEM = """kpi || '|' || "on\""""
+_STATISTICS = _numbers(
+    "statistics", _STATE_ITEM, _onoff_stats(_DATED_LONG), **_same("n", "valid_n", "mean", "std", "min", "q1", "median", "q3", "max"))
+_SECTIONS = {
+    "header": _numbers(
+        "header", "''", f"WITH {_DATED_TELE} SELECT count(*) AS records, count(*) FILTER (WHERE ready = 1) AS ready FROM tele",
+        kpi_count="2", records="records", ready_records="ready", start_date="DATE '2024-01-05' - DATE '1970-01-01'",
+        end_date="DATE '2024-01-14' - DATE '1970-01-01'", days="10"),
+    "efficiency": _numbers(
+        "efficiency", "''", ORACLES["state_efficiency"].replace(TELE, _DATED_TELE), date_min="epoch_us(date_min) / 1000000.0", date_max="epoch_us(date_max) / 1000000.0",
+        **_same("total_records", "on_ready", "off_ready", "not_ready", "efficiency_pct")),
+    "state_shares": _numbers("state_shares", "state", ORACLES["state_shares"].replace(TELE, _DATED_TELE), **_same("records", "share_pct")),
+    "series": _numbers(
+        "series", "state || '|' || row_id", f"WITH {BLOCKS.replace(TELE, _DATED_TELE)} SELECT * FROM b", datetime="epoch_us(datetime) / 1000000.0", **_same("kpi", "block")),
+    "means": _numbers(
+        "means", _STATE_ITEM, ORACLES["onoff_means"].replace(TELE, _DATED_TELE), mean="mean", t_min="epoch_us(t_min) / 1000000.0", t_max="epoch_us(t_max) / 1000000.0"),
+    "box": _numbers("box", _STATE_ITEM, _box(_DATED_LONG), **_same("n", "q1", "median", "q3", "mean", "whisker_lo", "whisker_hi", "outliers")),
+    "outliers": _numbers(
+        "outliers", f"{_STATE_ITEM} || '|' || row_id", ORACLES["box_outliers"].replace(TELE, _DATED_TELE), datetime="epoch_us(datetime) / 1000000.0", value="value"),
+    "distribution": _numbers("distribution", f"{_STATE_ITEM} || '|curve|' || i", _kde(_DATED_LONG), **_same("x", "y")),
+    "statistics": _STATISTICS,
+    "delta": _numbers("delta", "kpi", _deltas(_DATED_LONG), **_same("mean_on", "mean_off", "delta", "delta_pct")),
+    "errors": "SELECT 'errors', 'lost', 'listed', 1.0::DOUBLE",
+}
+ORACLES["report_tables"] = " UNION ALL ".join(_SECTIONS.values())
+ORACLES["report_isolation"] = " UNION ALL ".join([
+    _STATISTICS, "SELECT 'errors', kpi, 'listed', 1.0::DOUBLE FROM (VALUES ('lost'), ('broken')) AS e(kpi)",
+    f"SELECT 'outcomes', section, 'written', 1.0::DOUBLE FROM (VALUES {', '.join(f'({chr(39)}{s}{chr(39)})' for s in _SECTIONS)}) AS o(section)"])

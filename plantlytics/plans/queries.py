@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantlytics.functions import scalars as S
-from plantlytics.operators import distribution, filters, prepare, rollup, series, states, stats
+from plantlytics import roles
+from plantlytics.operators import distribution, filters, ordering, prepare, rollup, series, states, stats
 from plantlytics.plans import pipeline, report
 from plantlytics.plans import telemetry as tm
 from plantlytics.plans.telemetry import LINEITEM_KPIS, ROLES
@@ -178,13 +179,15 @@ def preview_topk(spark, sf_dir):
 
 @query
 def dataset_registry(spark, sf_dir):
-    """Rows of every dataset that is offered: an empty one is not."""
+    """Rows, sums and times of every dataset that is offered: an empty one is not."""
     datasets, main = Datasets(spark), tm.tele(spark, sf_dir)
     datasets.register("ready_rows", filters.ready_filter(main, ROLES.ready))
     datasets.register("nothing", main.where("row_id < 0"))
     datasets.register(MAIN, main)
     counts = [
-        datasets.get(name).agg(F.lit(name).alias("name"), F.lit(i).alias("place"), F.count(F.lit(1)).alias("rows"))
+        datasets.get(name).agg(
+            F.lit(name).alias("name"), F.lit(i).alias("place"), F.count(F.lit(1)).alias("rows"), F.sum("kpi").alias("kpi_sum"),
+            F.min("datetime").alias("first"), F.max("datetime").alias("last"))
         for i, name in enumerate(datasets.available())
     ]
     return reduce(DataFrame.unionAll, counts)
@@ -369,8 +372,18 @@ def numeric_coerce(spark, sf_dir):
 
 @query
 def datetime_coerce(spark, sf_dir):
-    df = tm.dirty(spark, sf_dir)
-    return df.select("row_id", S.to_datetime(F.col("Date")).alias("datetime"))
+    """The lenient way, and day-first texts of several forms by an ordered list of formats."""
+    df = tm.dirty(spark, sf_dir).select("row_id", S.to_datetime(F.col("Date")).alias("datetime"))
+    texts = prepare.parse_times(tm.day_first(tm.tele(spark, sf_dir)), "when", [*S.DAY_FIRST, S.ISO])
+    return df.join(texts.withColumnRenamed("when", "day_first"), "row_id")
+
+
+@query
+def datetime_audit(spark, sf_dir):
+    """Times that can't be read are counted apart from missing ones."""
+    strict = prepare.time_audit(tm.dirty(spark, sf_dir), "Date", [S.ISO])
+    listed = prepare.time_audit(tm.day_first(tm.tele(spark, sf_dir)), "when", [*S.DAY_FIRST, S.ISO])
+    return strict.withColumn("source", F.lit("Date")).unionByName(listed.withColumn("source", F.lit("when")))
 
 
 @query
@@ -409,6 +422,58 @@ def plant_log_scan(spark, sf_dir):
     return plantlog.read_plant_log(spark, _write_logs(spark, sf_dir)).drop("row_id")
 
 
+@query
+def plant_log_split(spark, sf_dir):
+    """Preambles longer than a split, their headers too; the rows' ids, numbered, follow the files."""
+    path, key = fresh_path(spark, "logs"), "spark.sql.files.maxPartitionBytes"
+    tm.write_logs(_log_text(spark, sf_dir), path, ["Date", "X_ON", "X_READY", "Feed", "Id"], pad=50_000)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "40k")
+    try:  # written while the splits are small
+        rows = ordering.written(plantlog.read_plant_log(spark, path), "split-log")
+    finally:
+        spark.conf.set(key, before)
+    return ordering.row_numbers(rows, ["row_id"], "number", CHUNK_ROWS).drop("row_id")
+
+
+@query
+def header_unique(spark, sf_dir):
+    """Names are stripped and repeated ones get a suffix that is free."""
+    path = fresh_path(spark, "logs")
+    names = ["Date", "X_ON", "X_ON", " Feed ", "Feed", "Feed_1"]
+    tm.write_logs(_log_text(spark, sf_dir).withColumn("Copy", F.col("Id")), path, ["Date", "X_ON", "X_READY", "Feed", "Id", "Copy"], header=names)
+    return plantlog.read_plant_log(spark, path).drop("row_id")
+
+
+def _typed_logs(spark, paths):
+    return plantlog.load_logs(spark, paths).select("datetime", "X_ON", "X_READY", "Feed", F.col("Id").cast("long").alias("row_id"))
+
+
+@query
+def discover_logs(spark, sf_dir):
+    """Files found by prefix, word and extension, among others in the folder."""
+    path = _write_logs(spark, sf_dir)
+    tm.dirty(spark, sf_dir).write.mode("append").parquet(path)
+    return _typed_logs(spark, plantlog.discover(spark, path, prefix="part-", word="-c000"))
+
+
+@query
+def single_path_load(spark, sf_dir):
+    path = fresh_path(spark, "logs")
+    tm.write_logs(_log_text(spark, sf_dir), path, ["Date", "X_ON", "X_READY", "Feed", "Id"], files=1)
+    return _typed_logs(spark, plantlog.discover(spark, path, prefix="part-", word="-c000")[0])
+
+
+@query
+def accepted_extensions(spark, sf_dir):
+    """Logs of two accepted extensions in one folder with files of another."""
+    path, text = fresh_path(spark, "logs"), _log_text(spark, sf_dir)
+    for kind, rest in (("text", 0), ("csv", 1)):
+        tm.write_logs(text.where(F.col("row_id") % 2 == rest), path, ["Date", "X_ON", "X_READY", "Feed", "Id"], kind=kind)
+    text.write.mode("append").parquet(path)
+    return _typed_logs(spark, plantlog.uploads(path))
+
+
 @query
 def multi_file_union(spark, sf_dir):
     """Two sets of files, one without the readiness flag, stacked and typed."""
@@ -423,8 +488,11 @@ def multi_file_union(spark, sf_dir):
 
 @query
 def load_summary(spark, sf_dir):
-    path = _write_logs(spark, sf_dir)
-    return plantlog.load_summary(spark, path, plantlog.load_logs(spark, path))
+    """Some values hold an invalid byte."""
+    path = fresh_path(spark, "logs")
+    broken = F.when(F.col("row_id") % 31 == 0, F.concat("Feed", F.expr("CAST(X'FF' AS STRING)"))).otherwise(F.col("Feed"))
+    tm.write_logs(_log_text(spark, sf_dir).withColumn("Feed", broken), path, ["Date", "X_ON", "X_READY", "Feed", "Id"])
+    return plantlog.load_summary(spark, path)
 
 
 @query
@@ -440,7 +508,64 @@ def tsv_roundtrip(spark, sf_dir):
     typed = prepare.prepare(tm.dirty(spark, sf_dir), keep=("row_id",))
     export.write_tsv(filters.date_range_filter(typed, START, END), path)
     back = spark.read.options(header=True, sep="\t", inferSchema=False).csv(path)
-    return back.drop("Date", "datetime").withColumn("row_id", F.col("row_id").cast("long"))
+    return back.withColumn("row_id", F.col("row_id").cast("long"))
+
+
+# Column roles
+
+
+@query
+def role_resolution(spark, sf_dir):
+    """Roles found by name, and what the columns found hold."""
+    tele, orders = tm.tele(spark, sf_dir), tm.hot_orders(spark, sf_dir)
+    named = {
+        "events": tele.withColumnsRenamed({"on_flag": "X_ON", "ready": "X_READY"}),
+        "orders": orders.withColumnsRenamed({"datetime": "Order Date", "on_flag": "Season", "ready": "Flag_Ready"}),
+        "plain": tele.drop("ready").withColumnsRenamed({"datetime": "Fecha", "on_flag": "Running_ON"}),
+    }
+    parts = []
+    for name, df in named.items():
+        found = roles.resolve_roles(df.columns)
+        flags = [F.sum(S.to01(df, c)) if c else F.count(F.lit(1)) for c in (found.on, found.ready)]
+        parts.append(df.agg(
+            F.lit(name).alias("name"), F.lit(found.time).alias("time"), F.lit(found.on).alias("on"), F.lit(found.ready).cast("string").alias("ready"),
+            F.max(S.time_of(df, found.time)).alias("last"), flags[0].alias("on_rows"), flags[1].alias("ready_rows")))
+    return reduce(DataFrame.unionAll, parts)
+
+
+@query
+def kpi_listing(spark, sf_dir):
+    """Every numeric column that is neither flag nor key, with its category, values and ends."""
+    df = tm.table(spark, sf_dir, "lineitem").withColumnRenamed("l_tax", "tax_setpoint")
+    names = roles.kpi_candidates(df.schema, Roles("l_shipdate", row_id="l_orderkey"))
+    kind = F.create_map(*[F.lit(x) for n in names for x in (n, roles.signal_category(n))])
+    ends = stats.unpivot_numeric(df, names).groupBy("kpi").agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return ends.withColumn("category", kind[F.col("kpi")])
+
+
+@query
+def rename_date(spark, sf_dir):
+    """A dataset without ``datetime`` but with ``Date``."""
+    datasets = Datasets(spark)
+    datasets.register("renamed", tm.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("Date"), "o_totalprice"))
+    return datasets.get("renamed")
+
+
+@query
+def drop_duplicate_time(spark, sf_dir):
+    return roles.drop_duplicate_time(prepare.prepare(tm.dirty(spark, sf_dir), keep=("row_id",)))
+
+
+@query
+def search_scope(spark, sf_dir):
+    """Chosen numeric columns, all columns where none is chosen, and an explicit list."""
+    df = tm.table(spark, sf_dir, "customer")
+    searches = [("77", "numeric", ["c_custkey", "c_nationkey"], []), ("machinery", "numeric", [], []), ("#0000000", "explicit", [], ["c_name"]), ("BUILDING", "all", [], [])]
+    found = [
+        filters.text_search(df, needle, roles.search_scope(df.columns, scope, numeric, explicit)).select(F.lit(needle).alias("needle"), "c_custkey")
+        for needle, scope, numeric, explicit in searches
+    ]
+    return reduce(DataFrame.unionAll, found)
 
 
 # Report
@@ -449,17 +574,23 @@ def tsv_roundtrip(spark, sf_dir):
 @query
 def report_header(spark, sf_dir):
     df = filters.date_range_filter(tm.tele(spark, sf_dir), START, END)
-    return report.report_header(df, ["kpi", "unit"], START, END, "Weekly report", "events")
+    return report.report_header(df, ["kpi", "unit"], START, END, "Weekly report", "events", ROLES.ready)
 
 
 @query
 def report_tables(spark, sf_dir):
-    """Rows of every written report section, read back from the report folder."""
+    """All numbers of every written report section, read back from the report folder."""
     path = fresh_path(spark, "report")
-    tables = report.report_tables(tm.tele(spark, sf_dir), ROLES, ["kpi", "lost"], START, END)
+    tables = report.report_tables(tm.tele(spark, sf_dir), ROLES, ["kpi", "lost"], START, END, "Weekly report", "events")
     report.write_report(tables, path)
-    counts = [
-        spark.read.parquet(f"{path}/section={name}").agg(F.lit(name).alias("section"), F.count(F.lit(1)).alias("rows"))
-        for name in tables
-    ]
-    return reduce(DataFrame.unionAll, counts)
+    return report.long_form(spark, path, tables)
+
+
+@query
+def report_isolation(spark, sf_dir):
+    """A KPI that fails when it is read: it is listed, and everything else is written."""
+    path = fresh_path(spark, "report")
+    df = tm.tele(spark, sf_dir).withColumn("broken", F.raise_error(F.lit("no signal")).cast("double"))
+    tables = report.report_tables(df, ROLES, ["broken", "kpi", "lost"], START, END)
+    report.write_report(tables, path)
+    return report.long_form(spark, path, ["errors", "statistics", report.OUTCOMES])

@@ -170,18 +170,18 @@ def write_report(tables: dict[str, DataFrame], path: str) -> dict[str, str | Non
 
 
 def long_form(spark: SparkSession, path: str, sections: Iterable[str]) -> DataFrame:
-    """All numbers of a written report: ``section, item, name, value``; times in microseconds, dates in days, truth as 0 and 1."""
+    """All numbers of a written report: ``section, item, name, value``; times in seconds, dates in days, truth as 0 and 1."""
     parts = []
     for section in sections:
         table = spark.read.parquet(f"{path}/section={section}")
-        keys = [k for k in _KEYS if k in table.columns]
+        keys = [k for k in _KEYS if k in table.columns and isinstance(table.schema[k].dataType, (T.StringType, T.IntegralType))]
         values = []
         for f in table.schema:
             x = col(f.name)
             if f.name in keys or isinstance(f.dataType, T.StringType):
                 continue
             if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
-                x = S.micros(x)
+                x = S.micros(x) / 1e6
             elif isinstance(f.dataType, T.DateType):
                 x = F.unix_date(x)
             elif isinstance(f.dataType, T.BooleanType):

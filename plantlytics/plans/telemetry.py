@@ -79,21 +79,36 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_logs(df: DataFrame, path: str, columns: Sequence[str], order: str = "row_id") -> None:
-    """Write text columns as plant logs in the order of ``order``, several files below ``path``."""
-    files = max(LOG_FILES, math.ceil(df.select(order).count() / ROWS_PER_LOG))
-    top = ["plant log", "\t".join(columns), *[f"preamble {i}" for i in range(PREAMBLE - 2)]]
+def write_logs(
+    df: DataFrame, path: str, columns: Sequence[str], order: str = "row_id", header: Sequence[str] | None = None,
+    files: int | None = None, kind: str = "text", pad: int = 0,
+) -> None:
+    """Write text columns as plant logs in the order of ``order``, several files below ``path`` (added to what is there).
+
+    ``header`` gives other names, ``kind`` text or csv the extension, ``pad`` makes the preamble longer by so many characters a line.
+    """
+    files = files or max(LOG_FILES, math.ceil(df.select(order).count() / ROWS_PER_LOG))
+    rest = "x" * pad
+    top = [f"plant log{rest}", "\t".join(header or columns), *[f"preamble {i}{rest}" for i in range(PREAMBLE - 2)]]
 
     def with_preamble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(top, pa.string())], names=["value"])
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], names=["value"])
 
-    (
+    lines = (
         df.repartitionByRange(files, col(order))
         .sortWithinPartitions(col(order))
         .select(F.concat_ws("\t", *[F.coalesce(col(c), F.lit("")) for c in columns]).alias("value"))
         .mapInArrow(with_preamble, "value string")
-        .write.mode("errorifexists")
-        .text(path)
     )
+    plain = {"sep": "\x01", "quote": "", "escape": "", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines.write.mode("append").format(kind).options(**plain if kind == "csv" else {}).save(path)
+
+
+def day_first(df: DataFrame) -> DataFrame:
+    """``row_id`` and its time as text in one of three forms, or as no time at all."""
+    rid, t = F.col("row_id"), F.col("datetime")
+    forms = [F.date_format(t, f) for f in ("dd/MM/yyyy HH:mm:ss", "d-M-yyyy HH:mm", "yyyy-MM-dd HH:mm:ss.SSSSSS")]
+    text = F.when(rid % 3 == 0, forms[0]).when(rid % 3 == 1, forms[1]).otherwise(forms[2])
+    return df.select("row_id", F.when(rid % 101 == 0, "31/02/2024").when(rid % 103 == 0, " ").otherwise(text).alias("when"))
