@@ -29,28 +29,49 @@ ALLOWED = (
 _TERMS = [round(1000 * c * math.log2(c)) if c else 0 for c in range(WINDOW + 2)]
 #: First and last places in the alphabet, from 1, of hex letters and of digits.
 _UPPER, _LOWER, _DIGITS = ((ALPHABET.index(a) + 1, ALPHABET.index(b) + 1) for a, b in ("AF", "af", "09"))
+#: Matches that are put into one array one after another.
+BLOCK = 256
 _MOST = {k: int(1000 * WINDOW * (math.log2(WINDOW) - t)) for k, t in THRESHOLD.items()}
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often a lambda inside asks for it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _spans(text: Column, pattern: str, kind: str, place: int, group: int = 0, least: int = 0) -> Column:
     """Non-overlapping matches as structs (start, place, end, kind), those with a shorter ``group`` left out.
 
-    Starts come from the lengths of the pieces between matches, so they count code points.
+    Starts come from the lengths of the pieces between matches, so they count code points. Matches are gone through in
+    blocks of BLOCK, so no long array is built one by one.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     tested = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     pieces = F.split(text, pattern, -1)
-    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,place:int,end:int,kind:string,value:string>>))")
+    none = "cast(array() as array<struct<start:int,place:int,end:int,kind:string,value:string>>)"
     rows = F.arrays_zip(pieces.alias("p"), found.alias("m"), tested.alias("t"))
+    length = lambda row: F.length(row["p"]) + F.coalesce(F.length(row["m"]), F.lit(0))
 
     def step(state: Column, row: Column) -> Column:
         start = state["at"] + F.length(row["p"])
-        end = start + F.coalesce(F.length(row["m"]), F.lit(0))
+        end = state["at"] + length(row)
         one = F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(kind).alias("kind"), row["m"].alias("value"))
         keep = row["m"].isNotNull() & (F.length(row["t"]) >= least)
         return F.struct(end.alias("at"), F.when(keep, F.concat(state["out"], F.array(one))).otherwise(state["out"]).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(rows, empty, step)["out"]).otherwise(empty["out"])
+    def block(rows: Column, at: Column) -> Column:
+        return F.aggregate(rows, F.struct(at.alias("at"), F.expr(none).alias("out")), step)["out"]
+
+    def in_blocks(rows: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int")), lambda b: F.slice(rows, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def starts(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda rows: F.aggregate(rows, F.lit(0), lambda total, row: total + length(row)))
+        every = F.aggregate(sums, F.array(F.lit(0)), lambda out, total: F.concat(out, F.array(F.element_at(out, -1) + total)))
+        return F.slice(every, F.lit(1), F.size(blocks))
+
+    spans = _let(rows, lambda rows: _let(in_blocks(rows), lambda blocks: _let(starts(blocks), lambda at: F.flatten(F.zip_with(blocks, at, block)))))
+    return F.when(F.size(found) > 0, spans).otherwise(F.expr(none))
 
 
 def _hot_runs(value: Column, by_window: bool) -> Column:
@@ -59,7 +80,6 @@ def _hot_runs(value: Column, by_window: bool) -> Column:
     With ``by_window`` a window of hex characters with both letters and digits has the hex bound in any candidate. One pass over the characters: the counts of the window and the sum of c * log2(c) change by the character
     that enters and the one that leaves.
     """
-    chars = F.split(value, "")
     most = F.when(value.rlike("^[0-9a-fA-F]+$"), _MOST["entropy_hex"]).otherwise(_MOST["entropy_base64"])
     terms = F.array(*[F.lit(t) for t in _TERMS])
     zero = F.expr(
@@ -67,9 +87,9 @@ def _hot_runs(value: Column, by_window: bool) -> Column:
         "'out', cast(array() as array<struct<begin:int,end:int>>))")
 
     # The character that leaves is the one WINDOW places back.
-    rows = F.transform(chars, lambda c, i: F.struct(
+    rows = _let(F.split(value, ""), lambda chars: F.transform(chars, lambda c, i: F.struct(
         F.position(c, F.lit(ALPHABET)).alias("new"),
-        F.when(i >= WINDOW, F.position(F.element_at(chars, F.greatest(i - WINDOW + 1, F.lit(1))), F.lit(ALPHABET))).otherwise(0).alias("old")))
+        F.when(i >= WINDOW, F.position(F.element_at(chars, F.greatest(i - WINDOW + 1, F.lit(1))), F.lit(ALPHABET))).otherwise(0).alias("old"))))
 
     digit = lambda c: c.between(*_DIGITS)
     no_hex = lambda c: (c > 0) & ~(c.between(*_UPPER) | c.between(*_LOWER) | digit(c))

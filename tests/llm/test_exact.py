@@ -462,3 +462,22 @@ def test_words_and_shingles_keep_to_their_texts():
     assert ptr.tolist() == [0, 2, 2, 3, 6, 9] and h[0] == h[2] == h[7] and h[1] == h[6] == h[8] and len(set(h.tolist())) == 5
     s, out = shingles(h, ptr, 2)
     assert out.tolist() == [0, 1, 1, 2, 4, 6] and s[0] == s[5] and len(set(s.tolist())) == 5
+
+
+def test_secrets_in_long_texts_take_linear_time(spark):
+    """Tens of thousands of strings, and one very long one: right, and a multiple of the time of fewer."""
+    r = random.Random(8)
+    hexes = " ".join("".join(r.choice("0123456789abcdef") for _ in range(16)) for _ in range(32_000))
+    blob = "".join(r.choice(secrets.ALPHABET[:62]) for _ in range(60_000))
+    docs = spark.createDataFrame([(1, hexes), (2, blob)], "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    assert [(s.start, s.end) for s in found[1].base if s.kind == "hex"] == [(17 * i, 17 * i + 16) for i in range(32_000)]
+    runs: list[list[int]] = []
+    for i in range(len(blob) - secrets.WINDOW + 1):
+        counts = collections.Counter(blob[i : i + secrets.WINDOW]).values()
+        if sum(secrets._TERMS[c] for c in counts) <= secrets._MOST["entropy_base64"]:
+            if runs and i <= runs[-1][1]:
+                runs[-1][1] = i + secrets.WINDOW
+            else:
+                runs.append([i, i + secrets.WINDOW])
+    assert [[s.start, s.end] for s in found[2].added] == runs and len(runs) > 3
