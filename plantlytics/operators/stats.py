@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from plantlytics.functions import scalars as S
 from plantlytics.operators.filters import ready_filter
 from plantlytics.operators.ordering import written
-from plantlytics.operators.quantiles import quantiles, sketch
+from plantlytics.operators.quantiles import approximate, quantiles, sketch
 from plantlytics.roles import CONTROL_CATEGORY, CONTROL_WORDS, PROCESS_CATEGORY, Roles, col, quoted
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -57,13 +57,18 @@ def _with_all_states(stats: DataFrame, kpis: Sequence[str], counts: Sequence[str
     return _states(stats, kpis).join(F.broadcast(stats), GROUP, "left").fillna(0, list(counts))
 
 
-def _quartiles(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return quantiles(long, keys, "value", QUARTILES, QUARTILE_NAMES)
+def _quartiles(long: DataFrame, keys: Sequence[str], method: str = "exact") -> DataFrame:
+    if method not in ("exact", "approximate"):
+        raise ValueError(f"unknown method {method!r}")
+    return (quantiles if method == "exact" else approximate)(long, keys, "value", QUARTILES, QUARTILE_NAMES)
 
 
-def onoff_quartiles(df: DataFrame, roles: Roles, kpis: Sequence[str]) -> DataFrame:
-    """Quartiles per KPI and state on ready rows: pass them on where several tables need them."""
-    return _quartiles(ready_values(df, roles, kpis), GROUP)
+def onoff_quartiles(df: DataFrame, roles: Roles, kpis: Sequence[str], method: str = "exact") -> DataFrame:
+    """Quartiles per KPI and state on ready rows: pass them on where several tables need them.
+
+    ``method="approximate"`` takes them from one scan's sketch, for a look at a large table.
+    """
+    return _quartiles(ready_values(df, roles, kpis), GROUP, method)
 
 
 def onoff_stats(
@@ -141,8 +146,8 @@ def onoff_stats_compact(df: DataFrame, roles: Roles, kpis: Sequence[str]) -> Dat
     return full.select(*GROUP, "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max", "median")])
 
 
-def describe_profile(df: DataFrame, kpis: Sequence[str]) -> DataFrame:
-    """Per column: values, missing, mean, deviation, min, quartiles, max over all rows."""
+def describe_profile(df: DataFrame, kpis: Sequence[str], method: str = "exact") -> DataFrame:
+    """Per column: values, missing, mean, deviation, min, quartiles (exact or ``approximate``), max over all rows."""
     long = unpivot_numeric(df, kpis)
     v = F.col("value")
     basic = long.groupBy("kpi").agg(
@@ -153,7 +158,7 @@ def describe_profile(df: DataFrame, kpis: Sequence[str]) -> DataFrame:
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     )
-    joined = basic.join(F.broadcast(_quartiles(long, ["kpi"])), "kpi", "left")
+    joined = basic.join(F.broadcast(_quartiles(long, ["kpi"], method)), "kpi", "left")
     return joined.select("kpi", "count", "null_count", "mean", "std", "min", *QUARTILE_NAMES, "max")
 
 

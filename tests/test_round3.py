@@ -123,3 +123,16 @@ def test_sorted_files_split_a_hot_instant_without_row_id(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "s"))
     sizes = [r["count"] for r in back.groupBy(F.input_file_name()).count().collect()]
     assert sum(sizes) == 40_000 and max(sizes) < 2 * 40_000 / 8
+
+
+def test_approximate_quartiles_are_an_option(spark, golden, roles):
+    df = spark.range(50_000).select(F.lit(1).alias("on"), F.lit(1).alias("ready"), F.rand(2).alias("v"), F.lit(None).cast("double").alias("none"))
+    own = Roles("t", "on", "ready")
+    near = stats.onoff_quartiles(df, own, ["v", "none"], "approximate").collect()
+    assert [(r.kpi, r.on) for r in near] == [("v", 1)]
+    assert (near[0].q1, near[0].median, near[0].q3) == pytest.approx((0.25, 0.5, 0.75), abs=0.01)
+    told = {r.kpi: r for r in stats.describe_profile(df, ["v", "none"], "approximate").collect()}
+    assert told["v"].median == pytest.approx(0.5, abs=0.01) and told["none"].median is None
+    assert stats.onoff_stats(golden, roles, ["kpi"], stats.onoff_quartiles(golden, roles, ["kpi"], "approximate")).count() == 2
+    with pytest.raises(ValueError, match="unknown method"):
+        stats.onoff_quartiles(df, own, ["v"], "rough")
