@@ -258,7 +258,11 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 
 
 def cut_benchmark_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: benchmark passages are cut out of the texts; a text left without words goes."""
+    """Pipeline stage: benchmark passages are cut out of the texts; a text left without words goes.
+
+    ``n_chars`` follows a changed text. Rows that share or lack an id are cut each by itself, repeated rows alike; NULL and empty texts stay as
+    they are. Other columns, and further ones of the same names, come back as they were; an empty table gives an empty result.
+    """
     names = docs.columns
     found = benchmark_hits(docs, read(spark, sf_dir, "benchmark"), plain_names=True).where("n_hit = 0 OR n_hit < n_words")
     changed = {"text": F.col("cut"), "n_chars": F.length("cut")}

@@ -95,7 +95,12 @@ def op1_mixture_raking(spark, sf_dir: str) -> DataFrame:
 
 
 def sample_to_targets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the sampled documents, with their tokens, topic and probability."""
+    """Pipeline stage: the sampled documents, with their tokens, topic and probability.
+
+    The draw is fixed by the id, so rows that share an id, or lack one, share a draw, and repeated rows go or stay together. NULL source
+    and language are the value ''; texts without tokens are never sampled. All columns come back as they were, whatever their
+    names, before ``mix_topic, mix_tokens, mix_probability``; an empty table gives an empty result.
+    """
     names = docs.columns
     own = {"doc_id": "bigint", "text": "string", "source": "string", "lang": "string"}
     base = pick(docs, **own)

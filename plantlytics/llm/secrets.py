@@ -201,7 +201,12 @@ SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesc
 
 
 def redact_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every found span, hex told by window, becomes ``[SECRET]``; texts without any stay as they are."""
+    """Pipeline stage: every found span, hex told by window, becomes ``[SECRET]``; texts without any stay as they are.
+
+    Overlapping spans become one mark, and ``n_chars`` follows a changed text. Rows that share or lack an id are cut each by itself,
+    repeated rows alike; NULL and empty texts stay. Other columns, and further ones of the same names, come back as they were; an
+    empty table gives an empty result.
+    """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = names.index("text")

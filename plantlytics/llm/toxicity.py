@@ -301,7 +301,12 @@ def op4_noisy_channel_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def reject_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents scored 0.5 or more go."""
+    """Pipeline stage: documents scored 0.5 or more go.
+
+    The verdict is the text's: rows that share or lack an id are judged each by itself, repeated rows alike. NULL and empty texts get the
+    score of a text without signs and stay unless labels say otherwise. All columns come back as they were, whatever their
+    names; an empty table gives an empty result.
+    """
     model = toxicity_model(pick(docs, doc_id="bigint", text="string"), read(spark, sf_dir, "labels"))
     names = docs.columns
     kept = toxicity(docs, model, plain_names=True).where("score < 0.5")
