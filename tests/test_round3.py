@@ -136,3 +136,14 @@ def test_approximate_quartiles_are_an_option(spark, golden, roles):
     assert stats.onoff_stats(golden, roles, ["kpi"], stats.onoff_quartiles(golden, roles, ["kpi"], "approximate")).count() == 2
     with pytest.raises(ValueError, match="unknown method"):
         stats.onoff_quartiles(df, own, ["v"], "rough")
+
+
+def test_empty_and_flagless_tables_give_reports(spark, golden, roles, tmp_path):
+    for name, df, own in (("empty", golden.limit(0), roles), ("bare", golden, Roles("datetime", None, None, "row_id")), ("never", golden.where("ready = 5"), roles)):
+        tables = report.report_tables(df, own, ["kpi"], DAY, DAY)
+        assert set(report.write_report(tables, str(tmp_path / name)).values()) == {None}
+        assert tables["series"].count() == 0 and tables["outliers"].count() == 0 and tables["distribution"].count() == 0
+    datasets = Datasets(spark)
+    datasets.register(MAIN, golden.limit(0))
+    done = pipeline.filter_and_export(datasets, MAIN, {"kpi": (1, 2)}, "1", ["ready"], csv_path=str(tmp_path / "csv"))
+    assert tuple(done.summary.first()) == (0, 0, 0.0) and done.filtered is None
