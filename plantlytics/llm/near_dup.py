@@ -226,15 +226,13 @@ def _grouped(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
         return stored(full.select("ka", "kb", "ta", "tb").mapInArrow(_confirm(k, percent), schema(a="binary", b="binary")), "links")
 
     edges = arms.select(F.col("c").alias("a"), F.col("v").alias("b"), "band")
-    def labelled(links: DataFrame, rounds: int | None = None) -> DataFrame:
-        up = components(links, rounds).withColumnRenamed("v", "key")
-        return stored(reps.select("key").join(up, "key", "left").select("key", F.coalesce("label", "key").alias("label")), "labels")
-
     links = confirmed(edges.where(F.col("band") < FIRST).select("a", "b").distinct(), "v")
-    by_v = reps.select("key", "v").join(labelled(links, rounds=2), "key").select("v", "label")
+    up = components(links, rounds=2).withColumnRenamed("v", "key")
+    first = stored(reps.select("key").join(up, "key", "left").select("key", F.coalesce("label", "key").alias("label")), "labels")
+    by_v = reps.select("key", "v").join(first, "key").select("v", "label")
     apart = edges.where(F.col("band") >= FIRST).select("a", "b").distinct()
     apart = apart.join(by_v.toDF("b", "lb"), "b").join(by_v.toDF("a", "la"), "a").where("la <> lb").select("a", "b").distinct()
-    labels = labelled(links.union(confirmed(apart, "v")))
+    labels = _merged(first, links.union(confirmed(apart, "v")))
 
     known = reps.select("v", "key", "n").join(labels, "key")
     members = arms.select("v", "h").join(known, "v")  # without the centres: all pairs with these are told
