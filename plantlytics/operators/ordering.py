@@ -30,6 +30,8 @@ CHUNK, LOCAL, NEXT, WEIGHT = "__chunk", "__local", "__next", "__weight"
 WIDTH = 256
 #: Rows of a table that may be broadcast: one row per chunk, or per file, of a few numbers each.
 FEW = 1_000_000
+#: Chunks that a number of rows per chunk can lead to, if Spark isn't set to more: what is shuffled to them is chunks times tasks blocks.
+MOST_CHUNKS = 512
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -53,10 +55,14 @@ def few(df: DataFrame, label: str) -> DataFrame:
 
 
 def in_order(df: DataFrame, order: Sequence[Column | str], rows_per_chunk: int | None = None) -> DataFrame:
-    """Sorted range partitions: as many as Spark is set to, or one per ``rows_per_chunk`` rows."""
+    """Sorted range partitions: as many as Spark is set to, or one per ``rows_per_chunk`` rows.
+
+    These are larger where there would be more than :data:`MOST_CHUNKS` and than Spark is set to.
+    """
     if rows_per_chunk is None:
         return df.repartitionByRange(*order).sortWithinPartitions(*order)
-    chunks = max(1, math.ceil(df.count() / rows_per_chunk))
+    most = max(MOST_CHUNKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    chunks = min(most, max(1, math.ceil(df.count() / rows_per_chunk)))
     return df.repartitionByRange(chunks, *order).sortWithinPartitions(*order)
 
 

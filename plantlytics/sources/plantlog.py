@@ -11,6 +11,7 @@ for such files (none, usually) a table says which splits hold the first ten line
 from __future__ import annotations
 
 import csv
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -42,6 +43,8 @@ ROW_ID = "row_id"
 HEADER_PLACE = -1  # instead of a place in the file: the row holds the file's header
 REPLACEMENT = "\ufffd"
 FEW_FILES = 1_000_000  # files whose first row ids, 16 bytes each, are broadcast
+TASK_BYTES = 16 << 20  # smaller splits are read several to a task ...
+TASKS_PER_CORE = 16  # ... as long as there are more tasks than this
 
 
 def side_by_side(*rows: DataFrame) -> DataFrame:
@@ -73,6 +76,19 @@ def _text(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     )
 
 
+def _packed(spark: SparkSession, paths: Sequence[str] | str, text: DataFrame) -> DataFrame:
+    """Lines of :func:`_text`, with neighbouring splits in one task where they are so small that a task each would cost more than reading them."""
+    if not _small_splits(spark):
+        return text
+    cost = _bytes(spark.conf.get("spark.sql.files.openCostInBytes"))
+    size = _listing(spark, paths).agg(F.sum(F.col("bytes") + cost)).first()[0] or 0
+    return text.coalesce(max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES)))
+
+
+def _small_splits(spark: SparkSession) -> bool:
+    return _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) < TASK_BYTES
+
+
 def _segments(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int]]:
     """Stretches of one batch that come from the same split: (file, start, from, to)."""
     files = batch.column(1).to_numpy(zero_copy_only=False)
@@ -220,24 +236,30 @@ def _long_preambles(spark: SparkSession, paths: Sequence[str] | str, expected: l
 
     Files that fit in the smallest split Spark makes are not looked at. Of the others each task reads the first lines of its
     first split; a whole split fills a task, so the first split of every file that is split at all is among them. What can't be
-    told this way is read once more, up to ten lines per split.
+    told this way is read once more, up to ten lines per split. Where several splits share a task, that is done at once.
     """
     smallest = min(_bytes(spark.conf.get(f"spark.sql.files.{x}")) for x in ("maxPartitionBytes", "openCostInBytes"))
-    files = _listing(spark, paths).select(F.xxhash64("file").alias("file_id"), "bytes")
-    if files.where(F.col("bytes") > smallest).isEmpty():
-        return None
-    seen = written(_text(spark, paths).mapInArrow(_first_of_partition, "file_id long, start long, length long, lines long"), "log-heads")
-    largest = seen.agg(F.max("length")).first()[0] or 0  # the files are cut into splits of this length
-    fine = seen.where((F.col("start") == 0) & (F.col("lines") == PREAMBLE_LINES)).select("file_id")
-    open_files = written(files.where(F.col("bytes") > largest).join(fine, "file_id", "left_anti").select("file_id"), "log-long")
-    if open_files.isEmpty():
+    files = _listing(spark, paths).select(F.xxhash64("file").alias("file_id"), "bytes").where(F.col("bytes") > smallest)
+    if files.isEmpty():
         return None
-    lines = _text(spark, paths).mapInArrow(_first_lines, "file_id long, start long, number long, line string").join(open_files, "file_id", "left_semi")
+    if _small_splits(spark):
+        open_files = files.select("file_id")
+    else:
+        seen = written(_text(spark, paths).mapInArrow(_first_of_partition, "file_id long, start long, length long, lines long"), "log-heads")
+        largest = seen.agg(F.max("length")).first()[0] or 0  # the files are cut into splits of this length
+        fine = seen.where((F.col("start") == 0) & (F.col("lines") == PREAMBLE_LINES)).select("file_id")
+        open_files = written(files.where(F.col("bytes") > largest).join(fine, "file_id", "left_anti").select("file_id"), "log-long")
+        if open_files.isEmpty():
+            return None
+    lines = _packed(spark, paths, _text(spark, paths)).mapInArrow(_first_lines, "file_id long, start long, number long, line string")
+    lines = lines.join(open_files, "file_id", "left_semi")
     order = Window.partitionBy("file_id").orderBy("start", "number")
     tops = lines.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PREAMBLE_LINES)
     tops = tops.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("k", "start", "line"))).alias("lines"))
+    tops = tops.where(F.coalesce(F.get("lines", F.lit(PREAMBLE_LINES - 1))["start"] > 0, F.lit(True)))
     kinds = "file_id long, splits array<long>, before array<long>, header string, differs boolean"
-    return written(tops.mapInArrow(_preambles(expected), kinds), "log-preambles")
+    late = written(tops.mapInArrow(_preambles(expected), kinds), "log-preambles")
+    return None if late.isEmpty() else late
 
 
 def _places(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
@@ -286,7 +308,7 @@ def data_lines(
     """
     expected = None if header is None else list(header)
     late = _long_preambles(spark, paths, expected)
-    cut = _text(spark, paths).mapInArrow(_body(expected, list(fields), late is None), _cut_kinds(list(fields)))
+    cut = _packed(spark, paths, _text(spark, paths)).mapInArrow(_body(expected, list(fields), late is None), _cut_kinds(list(fields)))
     kept = _kept(cut, late)
     if not row_ids:
         return kept
@@ -348,7 +370,7 @@ def _cut_once(spark: SparkSession, paths: Sequence[str] | str) -> tuple[DataFram
     The driver gets each different header once.
     """
     late = _long_preambles(spark, paths, None)
-    cut = _text(spark, paths).mapInArrow(_body(None, None, late is None), _cut_kinds(None))
+    cut = _packed(spark, paths, _text(spark, paths)).mapInArrow(_body(None, None, late is None), _cut_kinds(None))
     table = written(_kept(cut, late), "log-lines")
     data = table.where(F.col("place") != HEADER_PLACE)
     headers = table.where(F.col("place") == HEADER_PLACE).select("file_id", F.get("cells", F.lit(0)).alias("header"))
