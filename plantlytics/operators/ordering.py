@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantlytics.roles import Roles, col
-from plantlytics.session import fresh_path
+from plantlytics.session import fresh_path, shared_dir
 
 CHUNK, LOCAL, NEXT, WEIGHT = "__chunk", "__local", "__next", "__weight"
 WIDTH = 256
@@ -41,6 +41,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint below the shared folder: the same partitions, in the same order, for every later read."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on keys that may be NULL; our own, which begin with two underscores, never are."""
     other = right.withColumnsRenamed({k: f"__other_{k}" for k in keys})

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plantlytics.operators.ordering import checkpointed
 from plantlytics.roles import Roles, col
 
 ROLES = Roles("datetime", "on_flag", "ready", "row_id")
@@ -79,6 +80,14 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch of lines as one text of several lines."""
+    for batch in batches:
+        if len(batch):
+            text = "\n".join(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([text], pa.string())], names=["value"])
+
+
 def write_logs(
     df: DataFrame, path: str, columns: Sequence[str], order: str = "row_id", header: Sequence[str] | None = None,
     files: int | None = None, kind: str = "text", pad: int = 0,
@@ -86,8 +95,10 @@ def write_logs(
     """Write text columns as plant logs in the order of ``order``, several files below ``path`` (added to what is there).
 
     ``header`` gives other names, ``kind`` text or csv the extension, ``pad`` makes the preamble longer by so many characters a line.
+    Fewer files than asked for by the number of rows are sorted in parts; a task then copies its parts one after the other.
     """
-    files = files or max(LOG_FILES, math.ceil(df.select(order).count() / ROWS_PER_LOG))
+    parts = max(LOG_FILES, math.ceil(df.select(order).count() / ROWS_PER_LOG))
+    files = files or parts
     rest = "x" * pad
     top = [f"plant log{rest}", "\t".join(header or columns), *[f"preamble {i}{rest}" for i in range(PREAMBLE - 2)]]
 
@@ -97,11 +108,13 @@ def write_logs(
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], names=["value"])
 
     lines = (
-        df.repartitionByRange(files, col(order))
+        df.repartitionByRange(max(files, parts), col(order))
         .sortWithinPartitions(col(order))
         .select(F.concat_ws("\t", *[F.coalesce(col(c), F.lit("")) for c in columns]).alias("value"))
-        .mapInArrow(with_preamble, "value string")
     )
+    if files < parts:
+        lines = checkpointed(lines.mapInArrow(_joined, "value string") if kind == "text" else lines).coalesce(files)
+    lines = lines.mapInArrow(with_preamble, "value string")
     plain = {"sep": "\x01", "quote": "", "escape": "", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     lines.write.mode("append").format(kind).options(**plain if kind == "csv" else {}).save(path)
 

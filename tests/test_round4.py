@@ -6,6 +6,7 @@ from test_sources_sinks import log, put
 
 from plantlytics.operators import ordering
 from plantlytics.operators.ordering import CHUNK
+from plantlytics.plans import telemetry
 from plantlytics.sources import plantlog as P
 
 HEADER = ["Date", "n"]
@@ -60,3 +61,21 @@ def test_chunks_are_bounded(spark, monkeypatch):
     chunks = ordering.in_order(df, ["id"], 10).select(F.spark_partition_id().alias(CHUNK)).distinct().count()
     assert 8 < chunks <= 16
     assert all(r.number == r.id + 1 for r in ordering.row_numbers(df, ["id"], rows_per_chunk=10).collect())
+
+
+def test_one_large_file_is_sorted_in_parts(spark, tmp_path, monkeypatch):
+    """No task sorts all rows; the file holds one preamble and all lines in order."""
+    frame, parts = type(spark.range(0)), []
+    real = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *cols: parts.append(n) or real(self, n, *cols))
+    monkeypatch.setattr(telemetry, "ROWS_PER_LOG", 1000)
+    n = 25_000
+    df = spark.range(n).repartition(3).select(F.col("id").alias("k"), F.col("id").cast("string").alias("a"), F.when(F.col("id") % 3 > 0, "é x").alias("b"))
+    for kind in ("text", "csv"):
+        telemetry.write_logs(df, str(tmp_path / kind), ["a", "b"], order="k", files=1, kind=kind)
+        files = list((tmp_path / kind).glob("part-*"))
+        top = ["plant log", "a\tb", *[f"preamble {i}" for i in range(8)]]
+        assert [f.read_text() for f in files] == ["".join(f"{x}\n" for x in [*top, *[f"{i}\t{'é x' if i % 3 else ''}" for i in range(n)]])]
+    assert parts == [25, 25]
+    telemetry.write_logs(df.limit(0), str(tmp_path / "none"), ["a", "b"], order="k", files=1)
+    assert all(f.read_text().splitlines() == top for f in (tmp_path / "none").glob("part-*"))
